@@ -58,10 +58,14 @@ def flatten_results(documents: DataFrame) -> DataFrame:
     )
 
 
-def _ordered(fields: Column, position: str) -> Column:
+def _ordered(fields: Column, position: str, where: Column | None = None) -> Column:
     """Collected structs in position order, without the position."""
-    collected = F.sort_array(F.collect_list(F.struct(F.col(position).alias("_at"), fields.alias("_item"))))
-    return F.transform(collected, lambda entry: entry["_item"])
+    placed = F.struct(F.col(position).alias("_at"), fields.alias("_item"))
+    collected = F.collect_list(placed if where is None else F.when(where, placed))
+    # Entries hold maps, which have no order of their own.
+    return F.transform(
+        F.array_sort(collected, lambda a, b: a["_at"] - b["_at"]), lambda entry: entry["_item"]
+    )
 
 
 def nest_results(
@@ -118,15 +122,10 @@ def nest_results(
         F.lit("retrieved_papers"), F.size("retrieved_papers").cast("bigint")
     )
     entry = F.struct("question", "retrieved_papers", stats.alias("stats"))
-    collected = F.sort_array(
-        F.collect_list(F.struct("qtype", "q_idx", entry.alias("_item")))
-    )
-    by_document = by_question.groupBy(*document).agg(collected.alias("_all"))
-    of_level = lambda level: F.transform(
-        F.filter("_all", lambda q: q["qtype"] == level), lambda q: q["_item"]
-    ).alias(level)
-    nested = by_document.select(
-        *document, F.struct(*[of_level(level) for level in schemas.LEVELS]).alias("question_types")
+    # Rows of another level are null entries, which collect_list leaves out.
+    of_level = lambda level: _ordered(entry, "q_idx", F.col("qtype") == level).alias(level)
+    nested = by_question.groupBy(*document).agg(
+        F.struct(*[of_level(level) for level in schemas.LEVELS]).alias("question_types")
     )
     if patents is not None:
         nested = nested.join(
