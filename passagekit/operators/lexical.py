@@ -36,15 +36,14 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> LexicalIndex:
         "term", "doc_id", "tf", "doc_len"
     )
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = docs.select(F.size(tokens(text_col)).alias("doc_len"))
-    return LexicalIndex(postings, terms, _stats(lengths))
+    return LexicalIndex(postings, terms, _stats(docs.agg(F.count("*").alias("docs")), postings))
 
 
-def _stats(lengths: DataFrame) -> DataFrame:
-    return lengths.agg(
-        F.count("*").alias("docs"),
-        F.sum("doc_len").cast("long").alias("total_len"),
-        F.avg("doc_len").alias("avg_len"),
+def _stats(doc_count: DataFrame, postings: DataFrame) -> DataFrame:
+    """Corpus statistics; a document without tokens counts, with length 0."""
+    total = F.coalesce(postings.agg(F.sum("tf").alias("total_len")).scalar(), F.lit(0))
+    return doc_count.select("docs", total.alias("total_len")).withColumn(
+        "avg_len", F.try_divide("total_len", "docs")
     )
 
 
@@ -62,11 +61,11 @@ def write_index(index: LexicalIndex, path: str, buckets: int = 64, salts: int =
         .write.partitionBy("bucket")
         .parquet(f"{path}/postings")
     )
-    # Document frequencies come from the stored postings: the texts are
+    # Frequencies and lengths come from the stored postings, so the texts are
     # tokenised once.
     stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
     stored.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
-    index.stats.write.parquet(f"{path}/stats")
+    _stats(index.stats.select("docs"), stored).write.parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:
@@ -108,7 +107,8 @@ def bm25_topk(
     of queries. More query terms than that are joined by term, with the
     postings of frequent terms salted over several tasks.
     """
-    weights = query_weights(index, queries, query_col, text_col)
+    # A written table: used three times below, and its size is then known.
+    weights = stage(query_weights(index, queries, query_col, text_col), "query-weights")
     average = index.stats.select("avg_len").scalar()
     saturation = F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / average)
     postings = index.postings.select("term", "doc_id", (F.col("tf") / saturation).alias("part"))
