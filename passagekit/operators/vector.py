@@ -106,11 +106,16 @@ def knn_exact(
     right = base.select("vec_id", "vector", salt(["vec_id"], fragments).alias("fragment")).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
     )
-    keys = ["chunk", "fragment"]
-    blocks = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    blocks = _cogrouped(left, right, ["chunk", "fragment"])
     return _ranked(blocks.applyInPandas(_block_search(k, skip_same_id), schema), k)
 
 
+def _cogrouped(left: DataFrame, right: DataFrame, keys: list[str]):
+    """Both sides by key; fresh column names let them come from one table."""
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys))
+
+
 def _block_search(k: int, skip_same_id: bool):
     def search(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or stored.empty:
@@ -218,9 +223,8 @@ def paired_blocks(probes: DataFrame, lists: DataFrame):
         .withColumn("fragment", place("vec_id", "_fragments"))
         .withColumn("chunk", copies("_chunks"))
     )
-    keys = ["cid", "chunk", "fragment"]
     drop = ["_fragments", "_chunks"]
-    return left.drop(*drop).groupBy(*keys).cogroup(right.drop(*drop).groupBy(*keys))
+    return _cogrouped(left.drop(*drop), right.drop(*drop), ["cid", "chunk", "fragment"])
 
 
 def ivf_search(
