@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from passagekit.functions.text import overlap, tokens, with_term_counts, word_set
-from passagekit.scale import BROADCAST_ROWS, fits, salt, stage, top_k
+from passagekit.scale import BROADCAST_ROWS, broadcast_if_small, fits, salt, stage, top_k
 
 # Saturation and length normalisation of the ranking formula.
 K1 = 1.5
@@ -133,11 +133,18 @@ def bm25_topk(
     return top_k(scored, [query_col], [F.desc("score"), F.asc("doc_id")], k)
 
 
-def _with_texts(candidates: DataFrame, corpus: DataFrame, id_col: str, value: Column, name: str) -> DataFrame:
-    """Candidates with a value computed once per candidate document."""
-    wanted = candidates.select("doc_id").distinct()
-    docs = corpus.select(F.col(id_col).alias("doc_id"), value.alias(name))
-    return candidates.join(docs.join(wanted, "doc_id", "left_semi"), "doc_id")
+def with_document_values(
+    candidates: DataFrame, corpus: DataFrame, id_col: str, value: Column, name: str
+) -> DataFrame:
+    """Candidates with a value computed once per candidate document.
+
+    Few documents are picked out in the corpus scan; many are met by a
+    shuffle on the document id. The candidates are read twice.
+    """
+    docs = corpus.withColumnRenamed(id_col, "doc_id")
+    wanted = broadcast_if_small(candidates.select("doc_id").distinct())
+    found = docs.join(wanted, "doc_id", "left_semi").select("doc_id", value.alias(name))
+    return candidates.join(found, "doc_id")
 
 
 def overlap_rerank(
@@ -153,10 +160,11 @@ def overlap_rerank(
     """Top ``k`` candidates per query by word-set overlap.
 
     Only word sets travel to the comparison and only ids and scores leave it.
+    The candidates should be a written table.
     """
     asked = queries.select(query_col, word_set(text_col).alias("_asked"))
     words = F.coalesce(word_set(corpus_text), F.array().cast("array<string>"))
-    offered = _with_texts(candidates.select(query_col, "doc_id"), corpus, id_col, words, "_offered")
+    offered = with_document_values(candidates.select(query_col, "doc_id"), corpus, id_col, words, "_offered")
     scored = offered.join(asked, query_col).select(
         query_col, "doc_id", F.round(overlap(F.col("_asked"), F.col("_offered")), 6).alias("score")
     )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from passagekit.scale import broadcast_if_small, top_k
+from passagekit.scale import broadcast_if_small, left_join, top_k
+from passagekit.schemas import QUESTION_KEY
 
 
 def map_ids(corpus: DataFrame, targets: DataFrame, id_col: str, key_col: str) -> DataFrame:
@@ -26,7 +27,8 @@ def paper_metadata(targets: DataFrame, mapping: DataFrame, metadata: DataFrame)
     """
     single = mapping.groupBy("paper_id").agg(F.min("arxiv_id").alias("arxiv_id"))
     found = targets.select("paper_id").distinct().join(single, "paper_id", "left")
-    joined = found.join(metadata, found.arxiv_id == metadata.id, "left")
+    facts = metadata.select(F.col("id").alias("arxiv_id"), "categories", "update_date")
+    joined = left_join(found, facts, "arxiv_id", ["paper_id"])
     known = F.when(F.col("categories") != "", F.col("categories"))
     return joined.select(
         "paper_id",
@@ -54,8 +56,11 @@ def patent_metadata(ids: list[DataFrame], patents: DataFrame) -> DataFrame:
 
 
 def enrich(flat: DataFrame, papers: DataFrame, patents: DataFrame) -> DataFrame:
-    """Attach patent fields (by patent_id) and paper fields (by paper_id)."""
-    return flat.join(patents, "patent_id", "left").join(papers, "paper_id", "left")
+    """Attach patent fields (by patent_id) and paper fields (by paper_id).
+
+    Questions without papers have no paper_id.
+    """
+    return left_join(flat.join(patents, "patent_id", "left"), papers, "paper_id", QUESTION_KEY)
 
 
 def enrichment_counts(enriched: DataFrame) -> DataFrame:

@@ -188,6 +188,17 @@ def nearest_sql(name: str, source: str, k: int) -> str:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict rows as a result table, written once per application."""
+
+    def make() -> str:
+        path = shared_dir(spark, "reviews")
+        _reviews(spark, sf_dir).write.parquet(path)
+        return path
+
+    return configure(spark).read.parquet(once(spark, sf_dir, "reviews", make))
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict rows in the flat result layout.
 
     Six orders make a patent, three per level; an order is a question, the

@@ -10,7 +10,7 @@ from passagekit.operators.scoring import rerank
 from passagekit.plans import fixtures as fx
 from passagekit.plans.fixtures import table, with_sql
 from passagekit.plans.registry import query
-from passagekit.scale import shared_dir
+from passagekit.scale import shared_dir, stage
 
 
 @query("bm25_index", with_sql("""
@@ -55,7 +55,7 @@ def _overlap_sql(name: str, source: str) -> str:
     fx.ranked_sql("hits", "overlap_scores", 50)))
 def overlap_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = fx.questions(spark, sf_dir)
-    candidates = lexical.bm25_topk(fx.paragraph_index(spark, sf_dir), asked, 100)
+    candidates = stage(lexical.bm25_topk(fx.paragraph_index(spark, sf_dir), asked, 100), "candidates")
     return lexical.overlap_rerank(candidates, asked, fx.paragraphs(spark, sf_dir), 50).select(
         "query_id", "doc_id", "score", "rank"
     )
@@ -65,12 +65,12 @@ def question_coverage(spark: SparkSession, sf_dir: str):
     """Last stage of the cascade: share of the question's words in the text."""
 
     def score(candidates: DataFrame) -> DataFrame:
-        wanted = candidates.select("query_id", "doc_id")
-        texts = fx.paragraphs(spark, sf_dir).select(
-            F.col("paper_paragraph_id").alias("doc_id"), word_set("paragraph_text").alias("_text")
+        texts = lexical.with_document_values(
+            candidates.select("query_id", "doc_id"), fx.paragraphs(spark, sf_dir), "paper_paragraph_id",
+            word_set("paragraph_text"), "_text",
         )
         asked = fx.questions(spark, sf_dir).select("query_id", word_set("question").alias("_asked"))
-        pairs = wanted.join(texts, "doc_id").join(asked, "query_id")
+        pairs = texts.join(asked, "query_id")
         return rerank(pairs, coverage(F.col("_asked"), F.col("_text")), 10)
 
     return score

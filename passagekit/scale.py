@@ -68,8 +68,23 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the size; else leave it to AQE."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+    """Write ``df`` once, and hint a broadcast only if it has few rows.
+
+    A larger table is joined by a shuffle, where AQE splits hot keys.
+    """
+    written = stage(df, "join-side")
+    return F.broadcast(written) if fits(written, max_rows) else written
+
+
+def left_join(left: DataFrame, right: DataFrame, key: str, spread_by: Sequence[str]) -> DataFrame:
+    """Left join on a string key that is null for many rows of ``left``.
+
+    Null keys match nothing, yet would all be sent to one task. Each gets a
+    key of its own instead, made from ``spread_by``.
+    """
+    alone = F.concat(F.lit("\u0000"), F.xxhash64(*spread_by).cast("string"))
+    keyed = left.withColumn("_key", F.coalesce(F.col(key), alone))
+    return keyed.join(right.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -165,11 +180,16 @@ def hash_sample(
     edge = prefixes.where(F.col("_before") < n).groupBy(*strata).agg(
         F.max(F.struct("_prefix", "_before", "_n")).alias("_edge")
     )
-    edge = edge.select(
-        *strata,
-        F.col("_edge._prefix").alias("_edge_prefix"),
-        (F.lit(n) - F.col("_edge._before")).alias("_left"),
-        (F.col("_edge._before") + F.col("_edge._n") <= n).alias("_edge_whole"),
+    # One row per stratum; written, so that the join below knows its size and
+    # does not shuffle the table by stratum.
+    edge = stage(
+        edge.select(
+            *strata,
+            F.col("_edge._prefix").alias("_edge_prefix"),
+            (F.lit(n) - F.col("_edge._before")).alias("_left"),
+            (F.col("_edge._before") + F.col("_edge._n") <= n).alias("_edge_whole"),
+        ),
+        "sample-edges",
     )
     if strata:
         marked = hashed.join(edge, strata)
