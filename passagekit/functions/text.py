@@ -1,5 +1,9 @@
 """Tokenising and word-set expressions, all JVM-side."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Token pattern and prompt markers shared with the result contract.
@@ -17,6 +21,12 @@ def tokens(text: str | Column) -> Column:
     )
 
 
+def without_words(words: Sequence[str]) -> Callable[[str | Column], Column]:
+    """Like ``tokens``, leaving out the given (stop) words."""
+    unwanted = list(words)
+    return lambda text: F.filter(tokens(text), lambda token: ~token.isin(unwanted))
+
+
 def word_set(text: str | Column) -> Column:
     """Distinct lower-cased whitespace-separated words."""
     words = F.split(F.lower(F.col(text) if isinstance(text, str) else text), r"\s+")
@@ -60,13 +70,15 @@ def _run_lengths(ordered: Column) -> Column:
     return _let(starts, entries)
 
 
-def with_term_counts(df: DataFrame, text: str) -> DataFrame:
+def with_term_counts(
+    df: DataFrame, text: str, analyse: Callable[[str | Column], Column] = tokens
+) -> DataFrame:
     """Add ``doc_len`` and ``terms array<struct<term,tf>>`` without a shuffle.
 
     Sorting the tokens of a row puts equal terms next to each other; run
     starts then give the counts, in time linear in the row after the sort.
     """
-    found = tokens(text)
+    found = analyse(text)
     counted = F.when(F.size(found) > 0, _let(F.sort_array(found), _run_lengths))
     return df.withColumn("doc_len", F.size(found)).withColumn("terms", counted)
 

@@ -18,6 +18,9 @@ B = 0.75
 ROWS_PER_SALT = 200_000
 
 
+Analyser = Callable[[str | Column], Column]
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """``postings`` (term, doc_id, tf, doc_len), ``terms`` (term, df) and the
@@ -28,10 +31,18 @@ class LexicalIndex:
     stats: DataFrame
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str) -> LexicalIndex:
-    """Term counts are taken inside each row, so postings need no shuffle;
-    frequent terms are pre-aggregated before the document frequencies are."""
-    counted = with_term_counts(docs.select(F.col(id_col).alias("doc_id"), text_col), text_col)
+def build_index(
+    docs: DataFrame, id_col: str, text_col: str, analyse: Analyser = tokens
+) -> LexicalIndex:
+    """Index of ``docs``; null text is an empty document.
+
+    Term counts are taken inside each row, so postings need no shuffle;
+    frequent terms are pre-aggregated before the document frequencies are.
+    ``analyse`` turns text into tokens, e.g. without stop words; a search
+    must be given the same.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_col)
+    counted = with_term_counts(texts, text_col, analyse)
     postings = counted.select("doc_id", "doc_len", F.inline("terms")).select(
         "term", "doc_id", "tf", "doc_len"
     )
@@ -76,10 +87,12 @@ def read_index(spark: SparkSession, path: str) -> LexicalIndex:
     )
 
 
-def query_weights(index: LexicalIndex, queries: DataFrame, query_col: str, text_col: str) -> DataFrame:
+def query_weights(
+    index: LexicalIndex, queries: DataFrame, query_col: str, text_col: str, analyse: Analyser = tokens
+) -> DataFrame:
     """(query, term, weight): idf times the term's occurrences in the query."""
     occurrences = (
-        queries.select(query_col, F.explode(tokens(text_col)).alias("term"))
+        queries.select(query_col, F.explode(analyse(text_col)).alias("term"))
         .groupBy(query_col, "term")
         .agg(F.count("*").alias("qtf"))
     )
@@ -98,6 +111,7 @@ def bm25_topk(
     k1: float = K1,
     b: float = B,
     max_broadcast_rows: int = BROADCAST_ROWS,
+    analyse: Analyser = tokens,
 ) -> DataFrame:
     """Top ``k`` documents of every query: (query, doc_id, score, rank).
 
@@ -108,7 +122,7 @@ def bm25_topk(
     postings of frequent terms salted over several tasks.
     """
     # A written table: used three times below, and its size is then known.
-    weights = stage(query_weights(index, queries, query_col, text_col), "query-weights")
+    weights = stage(query_weights(index, queries, query_col, text_col, analyse), "query-weights")
     average = index.stats.select("avg_len").scalar()
     saturation = F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / average)
     postings = index.postings.select("term", "doc_id", (F.col("tf") / saturation).alias("part"))
@@ -207,23 +221,28 @@ def containing_documents(
     passage_text: str,
     doc_id: str,
     doc_text: str,
+    owner: Callable[[str], Column] = F.col,
 ) -> DataFrame:
     """(passage, document) pairs where the document holds the passage verbatim.
 
     A word strictly inside the passage is a word of every containing
     document, so only documents with the passage's rarest inner word are
-    compared. ``index`` covers the whole documents; passages need three words.
+    compared. ``index`` covers the documents, or parts of them when ``owner``
+    maps an indexed id to its document. Passages need three words.
     """
     words = passages.select(passage_id, tokens(passage_text).alias("_words"))
-    inner = words.select(
-        passage_id, F.explode(F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0)))).alias("term")
-    ).distinct()
+    inside = F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0)))
+    inner = words.select(passage_id, F.explode(inside).alias("term")).distinct()
     known = inner.join(index.terms, "term")
-    rarest = top_k(known, [passage_id], [F.asc("df"), F.asc("term")], 1, "_pick").select(passage_id, "term")
-    candidates = index.postings.select("term", F.col("doc_id").alias(doc_id)).join(rarest, "term")
+    rarest = top_k(known, [passage_id], [F.asc("df"), F.asc("term")], 1, "_pick")
+    candidates = (
+        index.postings.join(rarest.select(passage_id, "term"), "term")
+        .select(passage_id, owner("doc_id").alias(doc_id))
+        .distinct()
+    )
     return (
         candidates.join(passages.select(passage_id, F.col(passage_text).alias("_passage")), passage_id)
-        .join(docs.select(doc_id, F.col(doc_text).alias("_text")), doc_id)
+        .join(docs.select(F.col(doc_id).cast("string").alias(doc_id), F.col(doc_text).alias("_text")), doc_id)
         .where(F.contains("_text", "_passage"))
         .select(passage_id, doc_id)
     )

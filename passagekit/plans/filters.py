@@ -177,7 +177,12 @@ SELECT patent_id, qtype, q_idx, rank,
        'Decide whether the paragraph below answers the question about the patent.' || chr(10) || 'Title: ' || title
          || chr(10) || 'Abstract: ' || abstract || chr(10) || 'Question: ' || question || chr(10) || 'Paragraph: '
          || coalesce(paragraph_text, '') || chr(10) || 'Reply with two lines:' || chr(10) || 'CONTAINS_ANSWER: Y or N'
-         || chr(10) || 'ANSWER: the answer, or N/A' AS verdict
+         || chr(10) || 'ANSWER: the answer, or N/A' AS verdict,
+       'Patent title: ' || title || chr(10) || 'Patent abstract: ' || abstract || chr(10) || 'Write 3 questions at the '
+         || qtype || ' level that this patent''s field should be able to answer.' || chr(10)
+         || 'Reply as JSON: {{"1": "...", "2": "...", "3": "..."}}' AS generation,
+       'Title: ' || title || chr(10) || 'Abstract: ' || abstract || chr(10) || 'Question: ' || question || chr(10)
+         || 'List the search keywords for this question as search_query=[...]' AS keywords
 FROM (SELECT *, 'patent ' || patent_id AS title, 'about ' || qtype AS abstract FROM reviews)""", fx.REVIEWS))
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.reviews(spark, sf_dir)
@@ -190,6 +195,8 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
         prompts.rerank_context(title, abstract, question).alias("context"),
         prompts.web_query(question, title).alias("web"),
         prompts.verdict_prompt(title, abstract, question, F.col("paragraph_text")).alias("verdict"),
+        prompts.question_prompt(title, abstract, F.col("qtype")).alias("generation"),
+        prompts.keyword_prompt(title, abstract, question).alias("keywords"),
     )
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from passagekit.functions.ids import paper_id
 from passagekit.functions.text import coverage, word_set
 from passagekit.operators import lexical, metrics, ranking
 from passagekit.operators.scoring import rerank
 from passagekit.plans import fixtures as fx
 from passagekit.plans.fixtures import table, with_sql
 from passagekit.plans.registry import query
-from passagekit.scale import shared_dir, stage
+from passagekit.scale import stage
 
 
 @query("bm25_index", with_sql("""
@@ -112,18 +113,11 @@ def ordered_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def containment_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query, paper) pairs whose document holds the passage verbatim."""
-
-    def make() -> str:
-        path = shared_dir(spark, "document-index")
-        docs = fx.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-        lexical.write_index(lexical.build_index(docs, "doc_id", "text"), path, buckets=8, salts=2)
-        return path
-
-    index = lexical.read_index(spark, fx.once(spark, sf_dir, "document-index", make))
     pairs = lexical.containing_documents(
-        index, fx.questions(spark, sf_dir), table(spark, sf_dir, "documents"), "query_id", "question", "doc_id", "text"
+        fx.paragraph_index(spark, sf_dir), fx.questions(spark, sf_dir), table(spark, sf_dir, "documents"),
+        "query_id", "question", "doc_id", "text", owner=paper_id,
     )
-    return pairs.select("query_id", F.col("doc_id").cast("string").alias("paper_id"))
+    return pairs.withColumnRenamed("doc_id", "paper_id")
 
 
 TRUTH = """truth AS (

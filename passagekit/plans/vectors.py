@@ -208,6 +208,15 @@ def unique_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.unique_at_k(hits, "query_id", "label")
 
 
+@query("mean_unique_at_k", with_sql("SELECT count(*) AS questions, " + ", ".join(
+    f"round(avg(u{k}), 6) AS unique_at_{k}" for k in metrics.CUTOFFS
+) + " FROM (SELECT query_id, " + ", ".join(
+    f"count(DISTINCT CASE WHEN rank <= {k} THEN label END) AS u{k}" for k in metrics.CUTOFFS
+) + " FROM labelled GROUP BY query_id)", fx.DISTANCES, fx.nearest_sql("nearest", "distances", 100), LABELS))
+def mean_unique_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.mean_unique_at_k(unique_at_k(spark, sf_dir))
+
+
 @query("ann_recall", with_sql("""
 SELECT e.query_id, count(*) AS expected, count(a.vec_id) AS found, round(count(a.vec_id) / count(*), 6) AS overlap
 FROM exact e LEFT JOIN approx a ON a.query_id = e.query_id AND a.vec_id = e.vec_id GROUP BY e.query_id""",

@@ -79,6 +79,19 @@ def test_tokens_and_term_counts(spark):
     assert all(rows[n].doc_len == 0 and rows[n].terms is None for n in (2, 3, 4))
 
 
+def test_stop_words_are_an_option(spark):
+    from passagekit.operators.lexical import bm25_topk, build_index
+
+    docs = spark.createDataFrame([("d1", "the cat"), ("d2", "the the dog"), ("d3", None)], "id string, t string")
+    asked = spark.createDataFrame([(1, "The cat")], "query_id int, question string")
+    plain = bm25_topk(build_index(docs, "id", "t"), asked, 5)
+    assert [r.doc_id for r in plain.orderBy("rank").collect()] == ["d1", "d2"]
+    analyse = text.without_words(["the"])
+    index = build_index(docs, "id", "t", analyse)
+    assert index.stats.first().asDict() == {"docs": 3, "total_len": 2, "avg_len": 2 / 3}
+    assert [r.doc_id for r in bm25_topk(index, asked, 5, analyse=analyse).collect()] == ["d1"]
+
+
 def test_head_tail(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (2, ""), (3, "a b c d")], "id int, t string")
     got = values(text.head_tail(df, "t", 4), "id", "part", "chunk", "weight")
