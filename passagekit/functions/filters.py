@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from passagekit.functions.parse import strip
 
@@ -13,16 +14,13 @@ def usable_passages(candidates: DataFrame, question: Sequence[str], text: str =
     """Candidates with text, at their original rank.
 
     A question none of whose candidates has text keeps all of them, marked
-    with ``fallback`` so that their order is used as it is.
+    with ``fallback`` so that their order is used as it is. A question's
+    candidates are bounded by the retrieval cut-off.
     """
     usable = F.coalesce(strip(F.col(text)) != "", F.lit(False))
-    marked = candidates.withColumn("_usable", usable)
-    hopeless = (
-        marked.groupBy(*question).agg(F.bool_or("_usable").alias("_any")).where(~F.col("_any")).select(*question)
-    )
-    kept = marked.where("_usable").withColumn("fallback", F.lit(False))
-    whole = marked.join(hopeless, list(question), "left_semi").withColumn("fallback", F.lit(True))
-    return kept.unionByName(whole).drop("_usable")
+    found = F.bool_or("_usable").over(W.partitionBy(*question))
+    marked = candidates.withColumn("_usable", usable).withColumn("fallback", ~found)
+    return marked.where(F.col("_usable") | F.col("fallback")).drop("_usable")
 
 
 def normalise_hits(

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 
 from passagekit.functions.ids import with_paragraph_keys
 from passagekit.functions.text import NEXT_MARK, PREVIOUS_MARK
-from passagekit.scale import broadcast_if_small, top_k
+from passagekit.scale import broadcast_if_small, left_join, stage, top_k
 
 PERCENTILES = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
 SHORT_LIMITS = [10, 25, 50, 100, 200]
@@ -63,7 +63,8 @@ def merge_context(targets: DataFrame, texts: DataFrame, min_length: int = 200) -
     before = given.select(F.col(id_col).alias("prev_id"), text.alias("_prev"))
     after = given.select(F.col(id_col).alias("next_id"), text.alias("_next"))
     keyed = with_paragraph_keys(targets.where(short), id_col)
-    joined = keyed.join(before, "prev_id", "left").join(after, "next_id", "left")
+    # First paragraphs and malformed ids have no neighbour to look up.
+    joined = left_join(left_join(keyed, before, "prev_id", [id_col]), after, "next_id", [id_col])
     merged = F.concat_ws(
         "\n\n",
         F.concat(F.lit(PREVIOUS_MARK), "_prev"),
@@ -84,9 +85,10 @@ def merge_context(targets: DataFrame, texts: DataFrame, min_length: int = 200) -
 
 def length_counts(corpus: DataFrame, text: str = "paragraph_text") -> DataFrame:
     """Number of paragraphs per length: the one pass over the corpus that all
-    profiles below share. Its size is bounded by the longest paragraph."""
+    profiles below share. It is a written table, bounded by the longest
+    paragraph, so that they do not repeat the pass."""
     lengths = corpus.where(F.col(text).isNotNull()).select(F.length(text).alias("length"))
-    return lengths.groupBy("length").agg(F.count("*").alias("n"))
+    return stage(lengths.groupBy("length").agg(F.count("*").alias("n")), "lengths")
 
 
 def length_summary(corpus: DataFrame, text: str = "paragraph_text") -> DataFrame:

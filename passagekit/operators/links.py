@@ -8,26 +8,21 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from passagekit.operators.verdicts import is_yes
+from passagekit.scale import stage
+from passagekit.schemas import QUESTION_KEY
 
-LINK_FIELDS = [
-    "patent_id", "patent_year", "patent_cpc", "patent_section",
-    "paper_id", "paper_year", "paper_cat", "q_type",
-]
-
-
-def verified_links(rows: DataFrame, question: Sequence[str]) -> DataFrame:
+def verified_links(
+    flat: DataFrame, patents: DataFrame, papers: DataFrame, question: Sequence[str] = QUESTION_KEY
+) -> DataFrame:
     """One row per question and paper with at least one yes.
 
-    ``rows`` are enriched paragraph rows carrying ``LINK_FIELDS``; those are
-    functions of the question and the paper.
+    Paragraphs are reduced to links before the attributes of ``patents`` (by
+    patent_id) and ``papers`` (by paper_id) are attached.
     """
-    rest = [name for name in LINK_FIELDS if name not in question and name != "paper_id"]
-    return (
-        rows.groupBy(*question, "paper_id")
-        .agg(F.bool_or(is_yes()).alias("_verified"), *[F.max(name).alias(name) for name in rest])
-        .where("_verified")
-        .drop("_verified")
-    )
+    keys = list(dict.fromkeys(["patent_id", *question, "paper_id"]))
+    links = flat.groupBy(*keys).agg(F.bool_or(is_yes()).alias("_verified")).where("_verified")
+    known = links.where(F.col("paper_id").isNotNull()).drop("_verified")
+    return known.join(patents, "patent_id", "left").join(papers, "paper_id", "left")
 
 
 def with_field(links: DataFrame) -> DataFrame:
@@ -53,6 +48,7 @@ def link_matrix(links: DataFrame, fields: Sequence[str] | None = None) -> DataFr
     """
     counts = field_counts(links)
     if fields is None:
+        counts = stage(counts, "link-counts")
         fields = [row.paper_field for row in counts.select("paper_field").distinct().orderBy("paper_field").collect()]
     return counts.groupBy("patent_section").pivot("paper_field", list(fields)).agg(F.sum("links")).na.fill(0)
 
@@ -66,7 +62,10 @@ def link_matrix_norm(links: DataFrame, top_fields: int = 15, top_sections: int =
     chosen = with_field(links).where(
         (F.col("q_type") == "understanding") & (F.col("paper_field") != "Unknown")
     )
-    counts = chosen.groupBy("patent_section", "paper_field").agg(F.count("*").alias("links"))
+    # Sections x fields; written because both tops and the result read it.
+    counts = stage(
+        chosen.groupBy("patent_section", "paper_field").agg(F.count("*").alias("links")), "link-counts"
+    )
     top = lambda name, n: (
         counts.where(F.col(name).isNotNull())
         .groupBy(name).agg(F.sum("links").alias("_n"))
@@ -95,13 +94,11 @@ def lag_histogram(links: DataFrame, low: int = -5, high: int = 29) -> DataFrame:
     Bins without links are present with zero for every level that occurs.
     """
     dated = with_lag(links).where(F.col("lag").between(low, high))
-    counts = dated.groupBy("q_type", F.least("lag", F.lit(high - 1)).alias("lag_bin")).agg(
-        F.count("*").alias("links")
-    )
-    spine = counts.select("q_type").distinct().select(
-        "q_type", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("lag_bin")
-    )
-    return spine.join(counts, ["q_type", "lag_bin"], "left").na.fill(0, ["links"])
+    slot = F.least("lag", F.lit(high - 1))
+    bins = [
+        F.struct(F.lit(at).alias("lag_bin"), F.count_if(slot == at).alias("links")) for at in range(low, high)
+    ]
+    return dated.groupBy("q_type").agg(F.array(*bins).alias("_bins")).select("q_type", F.inline("_bins"))
 
 
 def lag_evolution(links: DataFrame, first: int = 2000, last: int = 2024) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from passagekit.scale import hash_sample
 
@@ -94,7 +95,10 @@ def stratified_cap(
     id_col: str = "patent_id",
     flag: str = "is_computer_science_patent",
 ) -> DataFrame:
-    """At most ``n`` rows per class, and whether the whole class sample is flagged."""
+    """At most ``n`` rows per class, and whether the whole class sample is flagged.
+
+    ``n`` bounds the rows of a class that meet in the window.
+    """
     sampled = hash_sample(df, n, id_col, seed, by=[by])
-    marks = sampled.groupBy(by).agg(F.bool_and(F.coalesce(flag, F.lit(False))).alias("class_is_cs"))
-    return sampled.join(marks, by)
+    whole = F.bool_and(F.coalesce(flag, F.lit(False))).over(W.partitionBy(by))
+    return sampled.withColumn("class_is_cs", whole)

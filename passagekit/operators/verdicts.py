@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from passagekit.scale import stage
 from passagekit.schemas import POSITION_KEY, QUESTION_KEY
 
 
@@ -110,7 +111,8 @@ def method_status(first: DataFrame, second: DataFrame) -> DataFrame:
 def merge_methods(first: DataFrame, second: DataFrame) -> DataFrame:
     """Rows of the first method, plus the second's first paper holding a yes
     for every question only the second method answered."""
-    gaps = method_status(first, second).where(F.col("status") == "second_only").select(*QUESTION_KEY)
+    status = method_status(first, second)
+    gaps = stage(status.where(F.col("status") == "second_only").select(*QUESTION_KEY), "gaps")
     wanted = (
         second.where(is_yes())
         .join(gaps, QUESTION_KEY, "left_semi")
@@ -125,8 +127,7 @@ def merge_methods(first: DataFrame, second: DataFrame) -> DataFrame:
         .drop("_next")
     )
     # A question that had no paper gives up its empty row for the added paper.
-    filled = added.select(*QUESTION_KEY).distinct()
-    empty = first.where(F.col("paper_id").isNull()).join(filled, QUESTION_KEY, "left_anti")
+    empty = first.where(F.col("paper_id").isNull()).join(gaps, QUESTION_KEY, "left_anti")
     kept = first.where(F.col("paper_id").isNotNull())
     return kept.unionByName(empty).unionByName(added.select(*first.columns))
 

@@ -295,60 +295,54 @@ SECOND = """second AS (
 # -- patents ----------------------------------------------------------------
 
 
-def links_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enriched verdict rows for the link tables.
+def link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict rows for the link tables: order lines, returned ones are a yes."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("patent_id"),
+        F.when(F.col("l_linestatus") == "F", "remembering").otherwise("understanding").alias("q_type"),
+        F.col("l_partkey").cast("string").alias("paper_id"),
+        F.when(F.col("l_returnflag") == "R", "Y").otherwise("N").alias("contains_answer"),
+    )
 
-    Patent year is the ship year, paper year the order year, section the
-    customer's region, category the part's type and size.
-    """
-    part = table(spark, sf_dir, "part")
+
+def link_patents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the nation as class and the region as section."""
     place = (
         table(spark, sf_dir, "customer")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("c_custkey", "n_name", "r_name")
-    )
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linestatus", "l_returnflag", "l_shipdate"
+        .select(F.col("c_custkey").alias("o_custkey"), "n_name", "r_name")
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    category = F.when(
-        F.col("p_size") > 3, F.concat_ws(".", F.lower("p_type"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "orders").join(place, "o_custkey", "left").select(
+        F.col("o_orderkey").cast("string").alias("patent_id"),
+        F.year("o_orderdate").alias("patent_year"),
+        F.col("n_name").alias("patent_cpc"),
+        F.when(F.col("r_name") != "ASIA", F.col("r_name")).alias("patent_section"),
     )
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(place, F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            F.col("l_orderkey").cast("string").alias("patent_id"),
-            F.year("l_shipdate").alias("patent_year"),
-            F.col("n_name").alias("patent_cpc"),
-            F.when(F.col("r_name") != "ASIA", F.col("r_name")).alias("patent_section"),
-            F.col("l_partkey").cast("string").alias("paper_id"),
-            F.when(F.col("p_size") < 48, F.year("o_orderdate")).alias("paper_year"),
-            category.alias("paper_cat"),
-            F.when(F.col("l_linestatus") == "F", "remembering").otherwise("understanding").alias("q_type"),
-            F.when(F.col("l_returnflag") == "R", "Y").otherwise("N").alias("contains_answer"),
-        )
+
+
+def link_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with a year and a category, some without."""
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("paper_id"),
+        F.when(size < 48, 1960 + size).alias("paper_year"),
+        F.when(size > 3, F.concat_ws(".", F.lower("p_type"), size.cast("string"))).alias("paper_cat"),
     )
 
 
-LINKS = """link_rows AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS patent_id, CAST(year(l_shipdate) AS INTEGER) AS patent_year,
+LINKS = """pairs AS (
+  SELECT l_orderkey, l_partkey, CASE WHEN l_linestatus = 'F' THEN 'remembering' ELSE 'understanding' END AS q_type
+  FROM lineitem GROUP BY ALL HAVING bool_or(l_returnflag = 'R')),
+links AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS patent_id, CAST(year(o_orderdate) AS INTEGER) AS patent_year,
          n_name AS patent_cpc, CASE WHEN r_name <> 'ASIA' THEN r_name END AS patent_section,
          CAST(l_partkey AS VARCHAR) AS paper_id,
-         CASE WHEN p_size < 48 THEN CAST(year(o_orderdate) AS INTEGER) END AS paper_year,
-         CASE WHEN p_size > 3 THEN lower(p_type) || '.' || p_size END AS paper_cat,
-         CASE WHEN l_linestatus = 'F' THEN 'remembering' ELSE 'understanding' END AS q_type,
-         l_returnflag = 'R' AS yes
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+         CASE WHEN p_size < 48 THEN CAST(1960 + p_size AS INTEGER) END AS paper_year,
+         CASE WHEN p_size > 3 THEN lower(p_type) || '.' || p_size END AS paper_cat, q_type
+  FROM pairs JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey),
-links AS (
-  SELECT patent_id, max(patent_year) AS patent_year, max(patent_cpc) AS patent_cpc,
-         max(patent_section) AS patent_section, paper_id, max(paper_year) AS paper_year,
-         max(paper_cat) AS paper_cat, q_type
-  FROM link_rows GROUP BY patent_id, q_type, paper_id HAVING bool_or(yes)),
 fielded AS (
   SELECT *, CASE WHEN coalesce(paper_cat, '') <> '' THEN split_part(paper_cat, '.', 1) ELSE 'Unknown' END AS paper_field
   FROM links)"""

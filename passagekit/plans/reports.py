@@ -96,7 +96,9 @@ def paper_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A link is identified by patent, level and paper."""
-    return links.verified_links(fx.links_source(spark, sf_dir), ["patent_id", "q_type"])
+    return links.verified_links(
+        fx.link_rows(spark, sf_dir), fx.link_patents(spark, sf_dir), fx.link_papers(spark, sf_dir), ["q_type"]
+    )
 
 
 @query("verified_links", with_sql("""

@@ -180,16 +180,14 @@ def hash_sample(
     edge = prefixes.where(F.col("_before") < n).groupBy(*strata).agg(
         F.max(F.struct("_prefix", "_before", "_n")).alias("_edge")
     )
-    # One row per stratum; written, so that the join below knows its size and
-    # does not shuffle the table by stratum.
-    edge = stage(
+    # One row per stratum: broadcast, so that the table is not shuffled by it.
+    edge = broadcast_if_small(
         edge.select(
             *strata,
             F.col("_edge._prefix").alias("_edge_prefix"),
             (F.lit(n) - F.col("_edge._before")).alias("_left"),
             (F.col("_edge._before") + F.col("_edge._n") <= n).alias("_edge_whole"),
-        ),
-        "sample-edges",
+        )
     )
     if strata:
         marked = hashed.join(edge, strata)

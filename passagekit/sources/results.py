@@ -167,6 +167,7 @@ def merge_shards(documents: DataFrame, shards: int) -> tuple[DataFrame, DataFram
     current = documents.join(F.broadcast(found), "shard").where(
         F.col("is_checkpoint") == F.col("_only_checkpoint")
     )
+    # Only ids are aggregated; the parts of a patent never have to meet.
     winner = current.groupBy("patent_id").agg(F.max("shard").alias("shard"))
     merged = current.join(winner, ["patent_id", "shard"], "left_semi").drop("_only_checkpoint")
     spark = documents.sparkSession
