@@ -35,6 +35,10 @@ def mean_unique_at_k(per_question: DataFrame, cutoffs: Sequence[int] = CUTOFFS)
     )
 
 
+def questions_per_level(questions: DataFrame, level: str = "qtype") -> DataFrame:
+    return questions.groupBy(level).agg(F.count("*").alias("questions"))
+
+
 def retrieval_metrics(
     questions: DataFrame,
     hits: DataFrame,

@@ -129,6 +129,11 @@ def truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment_truth(spark, sf_dir)
 
 
+@query("questions_per_level", with_sql("SELECT qtype, count(*) AS questions FROM questions GROUP BY qtype", fx.QUESTIONS))
+def questions_per_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.questions_per_level(fx.questions(spark, sf_dir))
+
+
 def _metric_columns(cutoffs: list[int]) -> str:
     recall = [f"round(avg(CASE WHEN first_rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_at_{k}" for k in cutoffs]
     mrr = [f"round(avg(CASE WHEN first_rank <= {k} THEN 1.0 / first_rank ELSE 0.0 END), 6) AS mrr_at_{k}" for k in cutoffs]

@@ -36,6 +36,15 @@ def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.every_nth(rows.select(*POSITION_KEY, "paragraph_id"), POSITION_KEY, 250).drop("row_idx")
 
 
+@query("sequential_sample", with_sql("""
+SELECT patent_id, qtype, q_idx, paper_idx, para_idx, paragraph_id FROM reviews WHERE paragraph_id IS NOT NULL
+ORDER BY patent_id, qtype, q_idx, paper_idx, para_idx LIMIT 250""", fx.REVIEWS))
+def sequential_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 250 paragraphs in document order."""
+    rows = fx.reviews(spark, sf_dir).where(F.col("paragraph_id").isNotNull())
+    return ranking.first_n(rows.select(*POSITION_KEY, "paragraph_id"), POSITION_KEY, 250).drop("row_idx")
+
+
 @query("shard_assign", with_sql("""
 SELECT patent_id, row_idx, CAST(row_idx // ((total + 9) // 10) AS INTEGER) AS shard FROM (
   SELECT patent_id, row_number() OVER (ORDER BY patent_id) - 1 AS row_idx, count(*) OVER () AS total

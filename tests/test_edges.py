@@ -1,6 +1,7 @@
 """Hand-written rows for the corner cases of single operators."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from passagekit import schemas
 from passagekit.functions import filters, ids, parse, text
@@ -264,3 +265,42 @@ def test_box_and_histogram_of_known_lengths(spark):
     bins = corpus.length_histogram(counts, 2000, inclusive=True).collect()
     assert len(bins) == 100 and sum(r.n for r in bins) == 5
     assert max(r.bin for r in bins if r.n) == 99
+
+
+def test_truncated_file_is_reported(spark, tmp_path):
+    from passagekit.sources.readers import read_tolerant
+
+    path = str(tmp_path / "table")
+    spark.range(100).repartition(4).write.parquet(path)
+    spark.range(0).coalesce(1).write.mode("append").parquet(path)
+    files = sorted(f for f in (tmp_path / "table").iterdir() if f.suffix == ".parquet")
+    broken = max(files, key=lambda f: f.stat().st_size)
+    broken.write_bytes(broken.read_bytes()[: broken.stat().st_size // 2])
+    df, skipped = read_tolerant(spark, path, "id long")
+    assert 0 < df.count() < 100
+    got = skipped.collect()
+    assert len(got) == 1 and got[0].path.endswith(broken.name) and got[0].state == "unreadable"
+
+
+def test_corpus_scan_prunes_and_pushes(spark, tmp_path, capsys):
+    from passagekit.sources.readers import read_paragraphs
+
+    rows = [("1_p0", "a", 1, None, 0), ("1_p1", None, 1, None, 1)]
+    path = str(tmp_path / "corpus")
+    spark.createDataFrame(rows, schemas.PARAGRAPHS).write.partitionBy("shard").parquet(path)
+    df = read_paragraphs(spark, path, ["paragraph_text"])
+    assert [r.paragraph_text for r in df.collect()] == ["a"]
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "PushedFilters: [IsNotNull(paragraph_text)]" in plan
+    assert "ReadSchema: struct<paragraph_text:string>" in plan
+
+
+def test_left_join_spreads_missing_keys(spark):
+    from passagekit.scale import left_join
+
+    left = spark.range(1000).select("id", F.when(F.col("id") < 3, F.col("id").cast("string")).alias("k"))
+    right = spark.createDataFrame([("0", "a"), ("2", "b"), (None, "never")], "k string, v string")
+    got = left_join(left, right, "k", ["id"])
+    assert got.count() == 1000 and got.where("v is not null").count() == 2
+    assert {(r.id, r.v) for r in got.where("v is not null").collect()} == {(0, "a"), (2, "b")}
