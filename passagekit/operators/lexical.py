@@ -24,7 +24,8 @@ Analyser = Callable[[str | Column], Column]
 @dataclass(frozen=True)
 class LexicalIndex:
     """``postings`` (term, doc_id, tf, doc_len), ``terms`` (term, df) and the
-    one-row ``stats`` (docs, total_len, avg_len)."""
+    one-row ``stats`` (docs, total_len, avg_len). A stored index also has the
+    postings' term ``bucket`` and the number of ``buckets``."""
 
     postings: DataFrame
     terms: DataFrame
@@ -50,6 +51,19 @@ def build_index(
     return LexicalIndex(postings, terms, _stats(docs.agg(F.count("*").alias("docs")), postings))
 
 
+def _buckets_of(index: LexicalIndex, weights: DataFrame) -> DataFrame:
+    """Postings of the buckets that hold a query term.
+
+    The number of buckets bounds the collected values.
+    """
+    if "bucket" not in index.postings.columns:
+        return index.postings
+    buckets = index.stats.select("buckets").scalar()
+    number = F.pmod(F.xxhash64("term"), buckets).cast("int").alias("bucket")
+    wanted = [row.bucket for row in weights.select(number).distinct().collect()]
+    return index.postings.where(F.col("bucket").isin(wanted))
+
+
 def _stats(doc_count: DataFrame, postings: DataFrame) -> DataFrame:
     """Corpus statistics; a document without tokens counts, with length 0."""
     total = F.coalesce(postings.agg(F.sum("tf").alias("total_len")).scalar(), F.lit(0))
@@ -61,9 +75,9 @@ def _stats(doc_count: DataFrame, postings: DataFrame) -> DataFrame:
 def write_index(index: LexicalIndex, path: str, buckets: int = 64, salts: int = 8) -> None:
     """Store the index as three Parquet tables below ``path``.
 
-    Postings are partitioned by term bucket and sorted by term, so a search
-    reads only the buckets and row groups of its terms. The salt splits the
-    bucket of a very frequent term over several files.
+    Postings are partitioned by term bucket, so a search opens only the
+    buckets of its terms. The salt splits the bucket of a very frequent term
+    over several files.
     """
     bucketed = index.postings.withColumn("bucket", salt(["term"], buckets))
     (
@@ -76,7 +90,8 @@ def write_index(index: LexicalIndex, path: str, buckets: int = 64, salts: int =
     # tokenised once.
     stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
     stored.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
-    _stats(index.stats.select("docs"), stored).write.parquet(f"{path}/stats")
+    stats = _stats(index.stats.select("docs"), stored)
+    stats.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:
@@ -125,7 +140,9 @@ def bm25_topk(
     weights = stage(query_weights(index, queries, query_col, text_col, analyse), "query-weights")
     average = index.stats.select("avg_len").scalar()
     saturation = F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / average)
-    postings = index.postings.select("term", "doc_id", (F.col("tf") / saturation).alias("part"))
+    postings = _buckets_of(index, weights).select(
+        "term", "doc_id", (F.col("tf") / saturation).alias("part")
+    )
 
     if fits(weights.select("term"), max_broadcast_rows):
         wanted = F.broadcast(weights.select("term").distinct())

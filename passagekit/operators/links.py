@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from passagekit.operators.verdicts import is_yes
 from passagekit.scale import stage
 from passagekit.schemas import QUESTION_KEY
 
@@ -16,13 +15,12 @@ def verified_links(
 ) -> DataFrame:
     """One row per question and paper with at least one yes.
 
-    Paragraphs are reduced to links before the attributes of ``patents`` (by
+    Only the yes rows are read; they are reduced to links before the attributes of ``patents`` (by
     patent_id) and ``papers`` (by paper_id) are attached.
     """
     keys = list(dict.fromkeys(["patent_id", *question, "paper_id"]))
-    links = flat.groupBy(*keys).agg(F.bool_or(is_yes()).alias("_verified")).where("_verified")
-    known = links.where(F.col("paper_id").isNotNull()).drop("_verified")
-    return known.join(patents, "patent_id", "left").join(papers, "paper_id", "left")
+    yes = flat.where((F.col("contains_answer") == "Y") & F.col("paper_id").isNotNull())
+    return yes.select(*keys).distinct().join(patents, "patent_id", "left").join(papers, "paper_id", "left")
 
 
 def with_field(links: DataFrame) -> DataFrame:

@@ -11,11 +11,11 @@ from passagekit.schemas import QUESTION_KEY
 def map_ids(corpus: DataFrame, targets: DataFrame, id_col: str, key_col: str) -> DataFrame:
     """Distinct (id, foreign key) pairs of the target ids.
 
-    Missing keys are null or empty. The targets are broadcast when they are
+    Missing keys are null or empty strings. The targets are broadcast when they are
     few, so that the corpus is filtered in its scan stage.
     """
     wanted = broadcast_if_small(targets.select(id_col).distinct())
-    known = corpus.where(F.coalesce(F.col(key_col).cast("string"), F.lit("")) != "")
+    known = corpus.where(F.col(key_col).isNotNull() & (F.col(key_col) != ""))
     return known.select(id_col, key_col).join(wanted, id_col, "left_semi").distinct()
 
 

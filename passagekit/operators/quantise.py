@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from passagekit.functions import vectors as kernel
-from passagekit.operators.vector import QUERY_SLICE, _centres, _hits, _hit_schema, _ranked, ivf_probes, paired_blocks
-from passagekit.scale import hash_sample
+from passagekit.operators.vector import (
+    QUERY_SLICE, _centres, _hit_schema, _hits, _ranked, ivf_probes, paired_blocks, probed_only,
+)
+from passagekit.scale import hash_sample, stage
 
 
 def _residuals(vectors: np.ndarray, cids: np.ndarray, names: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -42,7 +44,10 @@ def pq_fit(
     """
     names, centres = _centres(centroids)
     spark = lists.sparkSession
-    training = hash_sample(lists.select("vec_id", "vector", "cid"), sample, "vec_id", seed)
+    # Written once: every iteration reads it.
+    training = stage(
+        hash_sample(lists.select("vec_id", "vector", "cid"), sample, "vec_id", seed), "training"
+    )
     start = hash_sample(training, words, "vec_id", seed + "-words").toPandas().sort_values("vec_id")
     seeds = _residuals(kernel.stack(start["vector"]), start["cid"].to_numpy(), names, centres)
     width = seeds.shape[1] // parts
@@ -117,8 +122,8 @@ def pq_search(
     """
     names, centres = _centres(centroids)
     shared = queries.sparkSession.sparkContext.broadcast((names, centres, books))
-    probes = ivf_probes(queries.select("query_id", "vector"), centroids, nprobe)
-    blocks = paired_blocks(probes, encoded.select("vec_id", "codes", "cid"))
+    probes = stage(ivf_probes(queries.select("query_id", "vector"), centroids, nprobe), "probes")
+    blocks = paired_blocks(probes, probed_only(probes, encoded.select("vec_id", "codes", "cid")))
 
     def search(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or stored.empty:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from passagekit.functions import vectors as kernel
-from passagekit.scale import hash_sample, row_index, salt, top_k
+from passagekit.scale import hash_sample, row_index, salt, stage, top_k
 
 #: Query vectors (as float64) that may be broadcast; above it they are joined.
 MAX_QUERY_BYTES = 128 * 1024 * 1024
@@ -199,6 +199,24 @@ def ivf_probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFra
     return queries.withColumn("cid", F.explode(nearest_lists("vector")))
 
 
+def write_lists(lists: DataFrame, path: str, salts: int = 8) -> None:
+    """Store assigned (or encoded) vectors partitioned by list.
+
+    The salt spreads a list that holds most of the vectors over several files.
+    """
+    lists.repartition(F.col("cid"), salt(["vec_id"], salts)).write.partitionBy("cid").parquet(path)
+
+
+def probed_only(probes: DataFrame, lists: DataFrame) -> DataFrame:
+    """The lists some query probes, as a static filter on ``cid``.
+
+    Stored partitioned by ``cid``, the other lists are then never opened. The
+    number of lists bounds the collected values.
+    """
+    wanted = [row.cid for row in probes.select("cid").distinct().collect()]
+    return lists.where(F.col("cid").isin(wanted))
+
+
 def paired_blocks(probes: DataFrame, lists: DataFrame):
     """Queries and stored vectors of the same list in blocks of bounded size.
 
@@ -237,11 +255,10 @@ def ivf_search(
 ) -> DataFrame:
     """Exact distances to the vectors of the ``nprobe`` nearest lists only.
 
-    ``lists`` is (vec_id, vector, cid); stored partitioned by ``cid`` only
-    the probed lists are read.
+    ``lists`` is (vec_id, vector, cid), best as stored by ``write_lists``.
     """
-    probes = ivf_probes(queries.select("query_id", "vector"), centroids, nprobe)
-    blocks = paired_blocks(probes, lists.select("vec_id", "vector", "cid"))
+    probes = stage(ivf_probes(queries.select("query_id", "vector"), centroids, nprobe), "probes")
+    blocks = paired_blocks(probes, probed_only(probes, lists.select("vec_id", "vector", "cid")))
     schema = _hit_schema(queries, lists)
     return _ranked(blocks.applyInPandas(_block_search(k, skip_same_id), schema), k)
 

@@ -114,7 +114,7 @@ def merge_methods(first: DataFrame, second: DataFrame) -> DataFrame:
     status = method_status(first, second)
     gaps = stage(status.where(F.col("status") == "second_only").select(*QUESTION_KEY), "gaps")
     wanted = (
-        second.where(is_yes())
+        second.where(F.col("contains_answer") == "Y")
         .join(gaps, QUESTION_KEY, "left_semi")
         .groupBy(*QUESTION_KEY)
         .agg(F.min("paper_idx").alias("paper_idx"))

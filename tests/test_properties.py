@@ -249,3 +249,26 @@ def test_wanted_ids_filter_the_corpus_scan(spark, sf_dir, capsys):
     wanted = spark.createDataFrame([("1_p0",)], "paper_paragraph_id string")
     corpus.fetch_texts(wanted, fx.paragraphs(spark, sf_dir)).explain()
     assert "LeftSemi" in capsys.readouterr().out
+
+
+def test_search_opens_only_the_buckets_of_its_terms(spark, sf_dir, capsys):
+    index = fx.paragraph_index(spark, sf_dir)
+    word = index.terms.orderBy("term").first().term
+    asked = spark.createDataFrame([(1, word)], "query_id int, question string")
+    hits = lexical.bm25_topk(index, asked, 5)
+    assert 0 < hits.count() <= 5
+    hits.explain()
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan, plan
+
+
+def test_search_opens_only_probed_lists(spark, base, asked, tmp_path, capsys):
+    centroids = vector.label_centroids(base, "label")
+    path = str(tmp_path / "lists")
+    vector.write_lists(vector.ivf_assign(base, centroids).select("vec_id", "vector", "cid"), path)
+    one = asked.where("query_id = 'v000'")
+    hits = vector.ivf_search(one, spark.read.parquet(path), centroids, 1, 5, skip_same_id=True)
+    assert hits.count() == 5
+    hits.explain()
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(cid" in plan or "PartitionFilters: [(cid" in plan, plan
