@@ -9,8 +9,9 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from tools.compare import difference, duck
 
-NAMES = sorted(queries())
-CHECKED = sorted(oracle_sql())
+# The queries of the optional subpackage have tests of their own.
+NAMES = sorted(name for name in queries() if not re.match(r"op\d+_|pipeline$", name))
+CHECKED = sorted(set(oracle_sql()) & set(NAMES))
 
 
 @pytest.fixture(scope="module")
