@@ -103,7 +103,7 @@ def _hash_lists(texts: DataFrame, segments: int, min_chars: int) -> DataFrame:
     return texts.mapInArrow(run, "segment int, once binary, twice binary")
 
 
-def _build_filter(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _build_filter(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The two filters of one segment; what is returned is the second."""
     once, twice = np.zeros(SEGMENT_BITS // 8, np.uint8), np.zeros(SEGMENT_BITS // 8, np.uint8)
     for batch in batches:

@@ -49,8 +49,8 @@ MIN_SHARE = 0.005
 MIN_CHARS_JUDGED = 200
 MIN_WORDS_JUDGED = 100
 
-MAX_CHAR_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.60
+MAX_CHAR_DISTANCE = 0.28
+MAX_WORD_DISTANCE = 0.39
 
 
 @dataclass(frozen=True)
