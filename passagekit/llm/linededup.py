@@ -291,14 +291,14 @@ def _rewrite(docs, id_col, text_col, out, min_chars, sent, listed, first=False)
 
 SQL = f"""
 WITH numbered AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-lines AS (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM numbered),
+lines AS (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM numbered),
 keyed AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{UPPER.lower()}') AS key
   FROM lines),
 gone AS (SELECT key FROM keyed WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT r) >= {MIN_DOCS}),
 kept AS (
   SELECT r, count(*) AS n_lines, count(g.key) AS n_dropped,
-         coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE g.key IS NULL), '') AS text
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE g.key IS NULL), '') AS text
   FROM keyed k LEFT JOIN gone g ON g.key = k.key GROUP BY r)
 SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM numbered JOIN kept USING (r)
 """
