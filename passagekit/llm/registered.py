@@ -1,3 +1,3 @@
 """Importing this registers the queries of the subpackage."""
 
-from passagekit.llm import decontaminate, linededup, mixture, quality, rans, simhash, warc  # noqa: F401
+from passagekit.llm import chat, decontaminate, linededup, mixture, quality, rans, simhash, warc  # noqa: F401
