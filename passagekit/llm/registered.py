@@ -1,3 +1,5 @@
 """Importing this registers the queries of the subpackage."""
 
-from passagekit.llm import chat, decontaminate, licence, linededup, mixture, quality, rans, simhash, warc  # noqa: F401
+from passagekit.llm import (  # noqa: F401
+    chat, decontaminate, langid, licence, linededup, mixture, quality, rans, simhash, warc,
+)
