@@ -92,13 +92,13 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     """Words that lie in a window of words found twice or more."""
 
     def covered(hashes: Column) -> Column:
-        ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def starts(s: Column) -> Column:
             again = F.filter(s, lambda x, k: (
                 (F.get(s, k - 1)["h"] == x["h"]) & (k > 0) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
             ))
-            return F.array_sort(F.transform(again, lambda x: x["i"]))
+            return F.sort_array(F.transform(again, lambda x: x["i"]))
 
         step = lambda acc, at: F.struct(
             at.alias("last"), (acc["n"] + F.least(F.lit(window), at - acc["last"])).alias("n")
@@ -134,7 +134,7 @@ def term_counts(terms: Column) -> Column:
             x["word"].alias("word"), (F.coalesce(F.get(f, k + 1)["at"], size) - x["at"]).alias("n")
         )))
 
-    return let(F.array_sort(terms), runs)
+    return let(F.sort_array(terms), runs)
 
 
 def language_references(
@@ -287,7 +287,10 @@ def assess(
         nearest["word"].alias("word_distance"),
     )
     kept = [c for c in plain if c != out]
-    return df.select(*kept, verdict.alias(out))
+    # Always true, but not known to be: a filter on the verdict then stays above it
+    # instead of being pushed down with copies of all the expressions.
+    once = F.when(F.monotonically_increasing_id() >= 0, verdict)
+    return df.select(*kept, once.alias(out))
 
 
 def without_rejected(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
