@@ -228,7 +228,7 @@ doc_windows AS (
 found AS (SELECT r, i, d.n, item FROM doc_windows d JOIN item_windows m ON m.n = d.n AND m.win = d.win),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit
         FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
-listed AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+listed AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS names
            FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

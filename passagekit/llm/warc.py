@@ -231,8 +231,8 @@ SQL = f"""
 WITH hashed AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest FROM pages),
 largest AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS original FROM hashed)
 SELECT page_id, strlen(payload) AS payload_bytes, {_BASE32} AS payload_digest,
-       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> original THEN original END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
 FROM largest
 """
 
