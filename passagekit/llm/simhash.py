@@ -126,14 +126,15 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def dealt(tables: DataFrame, total: int, max_bits: int = MAX_BITS, max_group: int = MAX_GROUP) -> DataFrame:
+def dealt(tables: DataFrame, masks: list[int], max_group: int = MAX_GROUP) -> DataFrame:
     """(group, fp, distances): rows to be compared within each group.
 
     A group with more than ``max_group`` rows is cut into slices, and each pair of
     slices becomes a group.
     """
-    masks = [_signed(m) for m in block_masks(total, max_bits)]
-    shared = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
+    shared = F.array(*[
+        F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)
+    ])
     rows = tables.select("fp", "distances", F.inline(shared))
     large = (
         tables.select(F.inline(shared)).groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > max_group)
@@ -192,11 +193,16 @@ def linked(groups: np.ndarray, fps: np.ndarray, table_: np.ndarray, max_bits: in
     return fps[leaf], fps[labels[leaf]]
 
 
-def find_links(fps: DataFrame, total: int, max_bits: int = MAX_BITS, max_group: int = MAX_GROUP) -> DataFrame:
-    """(a, b): links that connect whatever is within ``max_bits`` of each other."""
+def find_links(
+    fps: DataFrame, total: int, max_bits: int = MAX_BITS, max_group: int = MAX_GROUP, masks: list[int] | None = None
+) -> DataFrame:
+    """(a, b): links that connect whatever is within ``max_bits`` of each other.
+
+    ``total`` is the number of rows of ``fps``; it sets the masks if none are given.
+    """
     tables = stage(pivot_table(fps), "pivot-table")
-    masks = len(block_masks(total, max_bits))
-    tasks = max(1, -(-total * masks // TASK_ROWS))
+    masks = block_masks(total, max_bits) if masks is None else masks
+    tasks = max(1, -(-total * len(masks) // TASK_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -210,7 +216,7 @@ def find_links(fps: DataFrame, total: int, max_bits: int = MAX_BITS, max_group:
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     # A task holds about TASK_ROWS narrow rows; a group has max_group at most.
-    spread = dealt(tables, total, max_bits, max_group).repartition(tasks, "group")
+    spread = dealt(tables, masks, max_group).repartition(tasks, "group")
     return spread.mapInArrow(run, "a long, b long")
 
 

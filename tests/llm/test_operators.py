@@ -13,6 +13,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from passagekit.llm import chat, decontaminate, langid, licence, linededup, mixture, quality, rans, simhash, warc
+from passagekit.llm.common import python_batches
 from passagekit.llm.components import components
 from passagekit.llm.licence_texts import LICENCES
 from passagekit.llm.tokens import WordTokenizer
@@ -117,11 +118,12 @@ def test_file_notices_damage(tmp_path):
 
 
 def test_many_files_keep_the_order(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)
+    docs = python_batches(spark, 15).read.parquet(f"{sf_dir}/documents.parquet").repartition(5)
     ids = rans.tokenised(docs, "doc_id", "text", rans.vocabulary())
     files = rans.write_ids(ids, 50_257, file_ids=3_000)
     assert files.count() > 8
     found = rans.read_ids(files).join(ids.select("seq", "id", "n"), "seq").orderBy("start").collect()
+    python_batches(spark)
     assert [r.id for r in found] == sorted(r.id for r in found) and all(r.n == r.n_tokens for r in found)
     assert [r.start for r in found] == np.cumsum([0, *(r.n for r in found)])[:-1].tolist()
 
@@ -241,7 +243,7 @@ def test_spans_are_those_of_the_original(spark, dirty_dir):
 # -- mixture -----------------------------------------------------------------------
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 1_000), st.integers(1, 9)), min_size=1, max_size=6))
 def test_targets_share_out_everything(spark, sources):
     rows = [(str(i), size, weight) for i, (size, weight) in enumerate(sources)]
@@ -303,9 +305,9 @@ def _crowd(seed, centres=6, around=60, apart=300):
 @pytest.mark.parametrize("max_group", [16, 4_096])
 def test_links_connect_what_is_near(spark, total, max_group):
     """Any number of blocks and slices gives the classes of brute force."""
-    fps = _crowd(total)
+    fps = _crowd(total % 97)
     df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")
-    links = simhash.find_links(df, total, max_group=max_group)
+    links = simhash.find_links(df, len(fps), max_group=max_group, masks=simhash.block_masks(total))
     pairs = [(r.a, r.b) for r in links.collect()]
     assert all(0 < ((a ^ b) & (2**64 - 1)).bit_count() for a, b in pairs)
     roots = {r.node: r.root for r in components(links).collect()}
@@ -379,7 +381,7 @@ def _jsd(p, q):
 
 def test_distances_are_those_of_the_definition(spark):
     words = ["the", "of", "xyzzy", "and", "der"]
-    rows = [("en", "The of the of and. " * 60), ("de", "der Der, die! 12 " * 60), ("en", "xyzzy ### " * 80), (None, "the " * 120)]
+    rows = [("en", "The of the of and. " * 60), ("de", "der Der, die! 12 " * 60), ("en", "xyzzy ### " * 120), (None, "the " * 120)]
     docs = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(rows)], "doc_id long, lang string, text string")
     references = quality.language_references(docs)
     assert [r.language for r in references] == ["de", "en"]
