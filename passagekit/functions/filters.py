@@ -10,16 +10,20 @@ from pyspark.sql.window import Window as W
 from passagekit.functions.parse import strip
 
 
-def usable_passages(candidates: DataFrame, question: Sequence[str], text: str = "paragraph_text") -> DataFrame:
+def usable_passages(
+    candidates: DataFrame, question: Sequence[str], text: str = "paragraph_text", asked: str | None = None
+) -> DataFrame:
     """Candidates with text, at their original rank.
 
-    A question none of whose candidates has text keeps all of them, marked
+    A question none of whose candidates has text, or whose own text (column
+    ``asked``, if given) is null or blank, keeps all of them, marked
     with ``fallback`` so that their order is used as it is. A question's
     candidates are bounded by the retrieval cut-off.
     """
     usable = F.coalesce(strip(F.col(text)) != "", F.lit(False))
     found = F.bool_or("_usable").over(W.partitionBy(*question))
-    marked = candidates.withColumn("_usable", usable).withColumn("fallback", ~found)
+    blank = F.lit(False) if asked is None else F.coalesce(strip(F.col(asked)) == "", F.lit(True))
+    marked = candidates.withColumn("_usable", usable).withColumn("fallback", ~found | blank)
     return marked.where(F.col("_usable") | F.col("fallback")).drop("_usable")
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from passagekit.functions.text import overlap, tokens, with_term_counts, word_set
-from passagekit.scale import BROADCAST_ROWS, broadcast_if_small, fits, salt, stage, top_k
+from passagekit.scale import BROADCAST_ROWS, broadcast_if_small, fits, one_per_id, salt, stage, top_k
 
 # Saturation and length normalisation of the ranking formula.
 K1 = 1.5
@@ -18,6 +18,9 @@ B = 0.75
 ROWS_PER_SALT = 200_000
 
 
+#: Passages without an inner word that are looked for in one scan.
+SHORT_PASSAGES = 200
+
 Analyser = Callable[[str | Column], Column]
 
 
@@ -37,11 +40,14 @@ def build_index(
 ) -> LexicalIndex:
     """Index of ``docs``; null text is an empty document.
 
-    Term counts are taken inside each row, so postings need no shuffle;
-    frequent terms are pre-aggregated before the document frequencies are.
+    Of several rows with one id the first by shard (if there is one) and text is
+    indexed, as everywhere. Term counts are taken inside each row, so postings need no
+    shuffle; frequent terms are pre-aggregated before the document frequencies are.
     ``analyse`` turns text into tokens, e.g. without stop words; a search
     must be given the same.
     """
+    order = [c for c in ("shard", text_col) if c in docs.columns]
+    docs = one_per_id(docs.select(id_col, *order), id_col, order)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_col)
     counted = with_term_counts(texts, text_col, analyse)
     postings = counted.select("doc_id", "doc_len", F.inline("terms")).select(
@@ -151,10 +157,13 @@ def bm25_topk(
     else:
         splits = F.ceil(F.col("df") / ROWS_PER_SALT).cast("int")
         spread_terms = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1)))
+        # Only the few terms above the bound are looked up, so that no posting of a
+        # frequent term is moved before it has its salt.
+        frequent = weights.where(F.col("df") > ROWS_PER_SALT).select("term", splits.alias("_splits")).distinct()
         salted = (
-            postings.join(index.terms, "term")
-            .withColumn("_salt", F.pmod(F.xxhash64("doc_id"), splits).cast("int"))
-            .drop("df")
+            postings.join(broadcast_if_small(frequent), "term", "left")
+            .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "_splits").cast("int"), F.lit(0)))
+            .drop("_splits")
         )
         pairs = salted.join(spread_terms.drop("df"), ["term", "_salt"])
 
@@ -170,12 +179,18 @@ def with_document_values(
     """Candidates with a value computed once per candidate document.
 
     Few documents are picked out in the corpus scan; many are met by a
-    shuffle on the document id. The candidates are read twice.
+    shuffle on the document id. The candidates are read twice. Of several rows with
+    one id the first by its other columns counts; a candidate that the corpus lacks
+    keeps a null.
     """
     docs = corpus.withColumnRenamed(id_col, "doc_id")
     wanted = broadcast_if_small(candidates.select("doc_id").distinct())
-    found = docs.join(wanted, "doc_id", "left_semi").select("doc_id", value.alias(name))
-    return candidates.join(found, "doc_id")
+    reduced = docs.join(wanted, "doc_id", "left_semi").select("doc_id", value.alias(name), *[
+        F.col(c).alias(f"_order_{c}") for c in ("shard", "paragraph_text") if c in docs.columns
+    ])
+    order = [F.asc(c) for c in reduced.columns if c.startswith("_order_")] or [F.asc(name)]
+    found = top_k(reduced, ["doc_id"], order, 1, "_copy").select("doc_id", name)
+    return candidates.join(found, "doc_id", "left")
 
 
 def overlap_rerank(
@@ -191,11 +206,14 @@ def overlap_rerank(
     """Top ``k`` candidates per query by word-set overlap.
 
     Only word sets travel to the comparison and only ids and scores leave it.
-    The candidates should be a written table.
+    A candidate that the corpus lacks scores 0, like one without text. The candidates
+    should be a written table.
     """
     asked = queries.select(query_col, word_set(text_col).alias("_asked"))
-    words = F.coalesce(word_set(corpus_text), F.array().cast("array<string>"))
-    offered = with_document_values(candidates.select(query_col, "doc_id"), corpus, id_col, words, "_offered")
+    none = F.array().cast("array<string>")
+    offered = with_document_values(
+        candidates.select(query_col, "doc_id"), corpus, id_col, F.coalesce(word_set(corpus_text), none), "_offered"
+    ).withColumn("_offered", F.coalesce("_offered", none))
     scored = offered.join(asked, query_col).select(
         query_col, "doc_id", F.round(overlap(F.col("_asked"), F.col("_offered")), 6).alias("score")
     )
@@ -245,9 +263,14 @@ def containing_documents(
     A word strictly inside the passage is a word of every containing
     document, so only documents with the passage's rarest inner word are
     compared. ``index`` covers the documents, or parts of them when ``owner``
-    maps an indexed id to its document. Passages need three words.
+    maps an indexed id to its document. Passages of fewer than three words have no
+    inner word; they are looked for in one scan of the texts for every
+    ``SHORT_PASSAGES`` of them.
     """
-    words = passages.select(passage_id, tokens(passage_text).alias("_words"))
+    texts = docs.select(F.col(doc_id).cast("string").alias(doc_id), F.col(doc_text).alias("_text"))
+    sized = passages.select(passage_id, passage_text, tokens(passage_text).alias("_words"))
+    short = sized.where(F.size("_words") < 3).where(F.col(passage_text).isNotNull()).select(passage_id, passage_text)
+    words = sized.where(F.size("_words") >= 3).select(passage_id, "_words")
     inside = F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0)))
     inner = words.select(passage_id, F.explode(inside).alias("term")).distinct()
     known = inner.join(index.terms, "term")
@@ -257,9 +280,23 @@ def containing_documents(
         .select(passage_id, owner("doc_id").alias(doc_id))
         .distinct()
     )
-    return (
+    pairs = (
         candidates.join(passages.select(passage_id, F.col(passage_text).alias("_passage")), passage_id)
-        .join(docs.select(F.col(doc_id).cast("string").alias(doc_id), F.col(doc_text).alias("_text")), doc_id)
+        .join(texts, doc_id)
         .where(F.contains("_text", "_passage"))
         .select(passage_id, doc_id)
     )
+    short = stage(short, "short-passages")
+    blocks = -(-short.count() // SHORT_PASSAGES)
+    for number in range(blocks):
+        # A block holds about SHORT_PASSAGES passages.
+        block = short.where(F.pmod(F.xxhash64(passage_id), F.lit(blocks)) == number).collect()
+        if not block:
+            continue
+        kind = f"array<struct<id:{short.schema[passage_id].dataType.simpleString()},text:string>>"
+        listed = F.array(*[F.struct(F.lit(r[0]).alias("id"), F.lit(r[1]).alias("text")) for r in block]).cast(kind)
+        found = texts.where(F.col("_text").isNotNull()).select(doc_id, F.explode(
+            F.filter(listed, lambda p: F.contains(F.col("_text"), p["text"]))
+        ).alias("_found"))
+        pairs = pairs.unionByName(found.select(F.col("_found.id").alias(passage_id), doc_id))
+    return pairs

@@ -10,17 +10,30 @@ from pyspark.sql.window import Window as W
 from passagekit.scale import stage
 from passagekit.schemas import QUESTION_KEY
 
+#: Names in results and metadata, and in the tables made from links.
+LINK_NAMES = {
+    "qtype": "q_type",
+    "grant_year": "patent_year",
+    "cpc_class": "patent_cpc",
+    "cpc_section": "patent_section",
+    "paper_category": "paper_cat",
+}
+
+
 def verified_links(
     flat: DataFrame, patents: DataFrame, papers: DataFrame, question: Sequence[str] = QUESTION_KEY
 ) -> DataFrame:
     """One row per question and paper with at least one yes.
 
     Only the yes rows are read; they are reduced to links before the attributes of ``patents`` (by
-    patent_id) and ``papers`` (by paper_id) are attached.
+    patent_id) and ``papers`` (by paper_id) are attached. The names of the metadata
+    (grant_year, cpc_class, cpc_section, paper_category, qtype) become those of the
+    link tables (patent_year, patent_cpc, patent_section, paper_cat, q_type).
     """
     keys = list(dict.fromkeys(["patent_id", *question, "paper_id"]))
     yes = flat.where((F.col("contains_answer") == "Y") & F.col("paper_id").isNotNull())
-    return yes.select(*keys).distinct().join(patents, "patent_id", "left").join(papers, "paper_id", "left")
+    links = yes.select(*keys).distinct().join(patents, "patent_id", "left").join(papers, "paper_id", "left")
+    return links.withColumnsRenamed(LINK_NAMES)
 
 
 def with_field(links: DataFrame) -> DataFrame:
@@ -41,13 +54,15 @@ def field_counts(links: DataFrame) -> DataFrame:
 def link_matrix(links: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """Section by broad field counts, zero-filled.
 
-    The field names are the category vocabulary; without ``fields`` they are
-    read from the already counted table.
+    The field names are the category vocabulary, read from the already counted
+    table. With ``fields`` these become the columns; a link of any other field is
+    an error, never dropped.
     """
-    counts = field_counts(links)
-    if fields is None:
-        counts = stage(counts, "link-counts")
-        fields = [row.paper_field for row in counts.select("paper_field").distinct().orderBy("paper_field").collect()]
+    counts = stage(field_counts(links), "link-counts")
+    found = [row.paper_field for row in counts.select("paper_field").distinct().orderBy("paper_field").collect()]
+    if fields is not None and set(found) - set(fields):
+        raise ValueError(f"links of fields that are not listed: {sorted(set(found) - set(fields))}")
+    fields = found if fields is None else fields
     return counts.groupBy("patent_section").pivot("paper_field", list(fields)).agg(F.sum("links")).na.fill(0)
 
 
@@ -106,18 +121,14 @@ def lag_evolution(links: DataFrame, first: int = 2000, last: int = 2024) -> Data
 
 
 def level_shares(links: DataFrame) -> DataFrame:
-    """Share of each level among a section's links, zero-filled."""
-    counts = links.where(F.col("patent_section").isNotNull()).groupBy("patent_section").agg(
-        *[
-            F.count_if(F.col("q_type") == level).alias(level)
-            for level in ("remembering", "understanding")
-        ]
-    )
-    total = F.col("remembering") + F.col("understanding")
-    return counts.select(
-        "patent_section",
-        *[
-            F.round(F.try_divide(F.col(level), total), 6).alias(level)
-            for level in ("remembering", "understanding")
-        ],
-    )
+    """Share of each level among a section's links, zero-filled.
+
+    A column for every level that occurs.
+    """
+    chosen = links.where(F.col("patent_section").isNotNull())
+    counts = stage(chosen.groupBy("patent_section", "q_type").agg(F.count("*").alias("links")), "level-counts")
+    levels = [row.q_type for row in counts.select("q_type").distinct().orderBy("q_type").collect() if row.q_type is not None]
+    # Sections x levels: a handful of rows.
+    total = F.sum("links").over(W.partitionBy("patent_section"))
+    shares = counts.withColumn("share", F.round(F.col("links") / total, 6))
+    return shares.groupBy("patent_section").pivot("q_type", levels).agg(F.sum("share")).na.fill(0)

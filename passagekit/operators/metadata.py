@@ -58,22 +58,25 @@ def patent_metadata(ids: list[DataFrame], patents: DataFrame) -> DataFrame:
 def enrich(flat: DataFrame, papers: DataFrame, patents: DataFrame) -> DataFrame:
     """Attach patent fields (by patent_id) and paper fields (by paper_id).
 
-    Questions without papers have no paper_id.
+    Questions without papers have no paper_id. ``patent_known`` says whether the
+    patent was found, with or without a year.
     """
-    return left_join(flat.join(patents, "patent_id", "left"), papers, "paper_id", QUESTION_KEY)
+    known = patents.withColumn("patent_known", F.lit(True))
+    joined = flat.join(known, "patent_id", "left").withColumn("patent_known", F.coalesce("patent_known", F.lit(False)))
+    return left_join(joined, papers, "paper_id", QUESTION_KEY)
 
 
 def enrichment_counts(enriched: DataFrame) -> DataFrame:
     """Enriched and total patents and paper instances.
 
-    A paper instance is one paper of one question; it counts as enriched only
-    when its year is known.
+    A patent counts as enriched when it was found. A paper instance is one paper of
+    one question; it counts as enriched only when its year is known.
     """
     instance = ["patent_id", "qtype", "q_idx", "paper_idx"]
     papers = enriched.groupBy(*instance).agg(
         F.bool_or(F.col("paper_id").isNotNull()).alias("_paper"),
         F.bool_or(F.col("paper_year").isNotNull()).alias("_dated"),
-        F.bool_or(F.col("grant_year").isNotNull()).alias("_granted"),
+        F.bool_or("patent_known").alias("_granted"),
     )
     per_patent = papers.groupBy("patent_id").agg(
         F.bool_or("_granted").alias("_granted"),

@@ -83,7 +83,8 @@ def export_topk(
     hits: DataFrame, question: str, item: str, paper: str, score: str, shown: int = 10, k: int = 100
 ) -> DataFrame:
     """One line per question: top ids and scores joined by ``;`` and the
-    distinct papers of the top ``k`` in order. ``k`` bounds every list."""
+    distinct papers of the top ``k`` in order. ``k`` bounds every list. Scores have
+    four decimals, rounded half up from six."""
     ordered = (
         hits.where(F.col("rank") <= k)
         .groupBy(question)
@@ -92,10 +93,12 @@ def export_topk(
     line = lambda field, n: F.array_join(
         F.slice(F.transform("_hits", lambda h: h[field].cast("string")), 1, n), ";"
     )
+    four = lambda h: F.round(h[score].cast("decimal(18,6)"), 4).cast("decimal(18,4)").cast("string")
+    scores = F.array_join(F.slice(F.transform("_hits", four), 1, shown), ";")
     papers = F.array_distinct(F.transform("_hits", lambda h: h[paper].cast("string")))
     return ordered.select(
         question,
         line(item, shown).alias("top_ids"),
-        line(score, shown).alias("top_scores"),
+        scores.alias("top_scores"),
         F.array_join(papers, ";").alias("papers"),
     )

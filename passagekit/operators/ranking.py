@@ -42,8 +42,19 @@ def every_nth(df: DataFrame, order: Sequence[str], limit: int, total: int | None
     return indexed.where(wanted)
 
 
+#: Rows that Spark may bring together to find the first ones.
+SMALL_LIMIT = 100_000
+
+
 def first_n(df: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
-    return row_index(df, order).where(F.col("row_idx") < limit)
+    """The first ``limit`` rows in order.
+
+    For few rows each task forwards its own first ones; for many the whole table is
+    placed, without bringing the result together anywhere.
+    """
+    if limit <= SMALL_LIMIT:
+        return df.orderBy(*order).limit(limit)
+    return row_index(df, order).where(F.col("row_idx") < limit).drop("row_idx")
 
 
 def assign_shards(df: DataFrame, id_col: str, shards: int) -> DataFrame:
@@ -55,8 +66,11 @@ def assign_shards(df: DataFrame, id_col: str, shards: int) -> DataFrame:
 
 
 def class_order(df: DataFrame, keys: Sequence[str] = ("patent_id", "cpc_sequence")) -> DataFrame:
-    """Global order by patent and class sequence."""
-    return df.orderBy(*keys)
+    """Global order by patent and class sequence, as the 0-based ``row_idx``.
+
+    Rows that tie are ordered by their other columns.
+    """
+    return row_index(df, [*keys, *[c for c in df.columns if c not in keys]])
 
 
 def slice_questions(sources: Sequence[DataFrame], order: Sequence[str], skip: int, limit: int | None) -> DataFrame:

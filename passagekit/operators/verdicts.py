@@ -82,14 +82,19 @@ def verification_stats(flat: DataFrame) -> DataFrame:
 
 
 def run_report(flat: DataFrame) -> DataFrame:
-    """Processed, verified, failed and missing-text paragraphs of a run."""
+    """Processed, verified, failed and missing-text paragraphs of a run.
+
+    A paragraph without text was never judged: it counts as missing, and neither as
+    verified nor as an error, whatever a run wrote into its row.
+    """
     rows = flat.where(F.col("paragraph_id").isNotNull())
+    judged = F.col("paragraph_text").isNotNull()
     return rows.agg(
         F.count("*").alias("processed"),
-        F.count("contains_answer").alias("verified"),
-        F.count("error").alias("errors"),
+        F.count_if(judged & F.col("contains_answer").isNotNull()).alias("verified"),
+        F.count_if(judged & F.col("error").isNotNull()).alias("errors"),
         F.count_if(F.col("paragraph_text").isNull()).alias("missing_texts"),
-        F.count_if(is_yes()).alias("yes"),
+        F.count_if(judged & is_yes()).alias("yes"),
     ).withColumn("yes_pct", percent(F.col("yes"), F.greatest("verified", F.lit(1))))
 
 
@@ -135,7 +140,11 @@ def merge_methods(first: DataFrame, second: DataFrame) -> DataFrame:
 def method_report(first: DataFrame, second: DataFrame) -> DataFrame:
     """Answered questions by method, with success rates."""
     of = lambda name: F.count_if(F.col("status") == name)
+    # All questions of the patents that both methods have.
+    shared = first.select("patent_id").distinct().join(second.select("patent_id").distinct(), "patent_id", "left_semi")
+    asked = first.select(*QUESTION_KEY).distinct().join(shared, "patent_id", "left_semi")
     counts = method_status(first, second).agg(
+        asked.agg(F.count("*").alias("n")).scalar().alias("questions"),
         F.count("*").alias("compared"),
         of("first_only").alias("first_only"),
         of("second_only").alias("second_only"),
@@ -168,11 +177,13 @@ def error_log(flat: DataFrame) -> DataFrame:
 
 
 def results_summary(flat: DataFrame) -> DataFrame:
-    """Questions per level of every patent."""
-    questions = flat.select(*QUESTION_KEY).distinct()
-    return questions.groupBy("patent_id").agg(
-        F.count_if(F.col("qtype") == "remembering").alias("remembering"),
-        F.count_if(F.col("qtype") == "understanding").alias("understanding"),
+    """Questions of every patent, in all and per level that occurs."""
+    counts = flat.select(*QUESTION_KEY).distinct().groupBy("patent_id", "qtype").agg(F.count("*").alias("_n"))
+    counts = stage(counts, "question-counts")
+    levels = [row.qtype for row in counts.select("qtype").distinct().orderBy("qtype").collect() if row.qtype is not None]
+    return counts.groupBy("patent_id").agg(
+        F.sum("_n").alias("questions"),
+        *[F.coalesce(F.sum(F.when(F.col("qtype") == level, F.col("_n"))), F.lit(0)).alias(level) for level in levels],
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 from passagekit.functions.ids import paper_id
 from passagekit.operators.lexical import LexicalIndex, bm25_topk, build_index, read_index, write_index
 from passagekit.operators.ranking import group_by_paper
-from passagekit.scale import configure, shared_dir, spread
+from passagekit.scale import configure, shared_dir
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -42,6 +42,15 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]
     return _stages[key]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a test table that Spark would scan in fewer tasks.
+
+    For the small test tables only: operators take their input as it comes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # -- corpus and questions ---------------------------------------------------
 
 
@@ -299,7 +308,8 @@ def link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict rows for the link tables: order lines, returned ones are a yes."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("patent_id"),
-        F.when(F.col("l_linestatus") == "F", "remembering").otherwise("understanding").alias("q_type"),
+        F.when(F.col("l_linestatus") == "F", "remembering").otherwise("understanding").alias("qtype"),
+        F.pmod("l_suppkey", F.lit(3)).cast("int").alias("q_idx"),
         F.col("l_partkey").cast("string").alias("paper_id"),
         F.when(F.col("l_returnflag") == "R", "Y").otherwise("N").alias("contains_answer"),
     )
@@ -315,9 +325,9 @@ def link_patents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "orders").join(place, "o_custkey", "left").select(
         F.col("o_orderkey").cast("string").alias("patent_id"),
-        F.year("o_orderdate").alias("patent_year"),
-        F.col("n_name").alias("patent_cpc"),
-        F.when(F.col("r_name") != "ASIA", F.col("r_name")).alias("patent_section"),
+        F.year("o_orderdate").alias("grant_year"),
+        F.col("n_name").alias("cpc_class"),
+        F.when(F.col("r_name") != "ASIA", F.col("r_name")).alias("cpc_section"),
     )
 
 
@@ -327,19 +337,20 @@ def link_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("paper_id"),
         F.when(size < 48, 1960 + size).alias("paper_year"),
-        F.when(size > 3, F.concat_ws(".", F.lower("p_type"), size.cast("string"))).alias("paper_cat"),
+        F.when(size > 3, F.concat_ws(".", F.lower("p_type"), size.cast("string"))).alias("paper_category"),
     )
 
 
 LINKS = """pairs AS (
-  SELECT l_orderkey, l_partkey, CASE WHEN l_linestatus = 'F' THEN 'remembering' ELSE 'understanding' END AS q_type
+  SELECT l_orderkey, l_partkey, CASE WHEN l_linestatus = 'F' THEN 'remembering' ELSE 'understanding' END AS q_type,
+         CAST(l_suppkey % 3 AS INTEGER) AS q_idx
   FROM lineitem GROUP BY ALL HAVING bool_or(l_returnflag = 'R')),
 links AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS patent_id, CAST(year(o_orderdate) AS INTEGER) AS patent_year,
          n_name AS patent_cpc, CASE WHEN r_name <> 'ASIA' THEN r_name END AS patent_section,
          CAST(l_partkey AS VARCHAR) AS paper_id,
          CASE WHEN p_size < 48 THEN CAST(1960 + p_size AS INTEGER) END AS paper_year,
-         CASE WHEN p_size > 3 THEN lower(p_type) || '.' || p_size END AS paper_cat, q_type
+         CASE WHEN p_size > 3 THEN lower(p_type) || '.' || p_size END AS paper_cat, q_type, q_idx
   FROM pairs JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey),

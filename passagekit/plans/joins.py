@@ -224,11 +224,12 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews with brand and order facts; some patents and papers unknown."""
+    """Reviews with brand and order facts; some patents and papers unknown, some
+    patents known without a year."""
     orders, parts = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
     facts = orders.groupBy(F.floor(F.col("o_orderkey") / 6).cast("string").alias("patent_id")).agg(
         F.max(F.year("o_orderdate")).alias("grant_year"), F.min("o_orderstatus").alias("cpc_section")
-    ).where(F.col("grant_year") < 2001)
+    ).where(F.col("grant_year") < 2001).withColumn("grant_year", F.when(F.col("grant_year") != 1997, F.col("grant_year")))
     papers = parts.groupBy(F.replace("p_brand", F.lit("#"), F.lit("")).alias("paper_id")).agg(
         F.when(F.min("p_retailprice") < 905, 1990 + F.min("p_size")).alias("paper_year"),
         F.min("p_type").alias("paper_category"),
@@ -237,13 +238,13 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENRICHED = """patent_facts AS (
-  SELECT CAST(o_orderkey // 6 AS VARCHAR) AS patent_id, CAST(max(year(o_orderdate)) AS INTEGER) AS grant_year,
-         min(o_orderstatus) AS cpc_section FROM orders GROUP BY 1 HAVING max(year(o_orderdate)) < 2001),
+  SELECT CAST(o_orderkey // 6 AS VARCHAR) AS patent_id, CAST(nullif(max(year(o_orderdate)), 1997) AS INTEGER) AS grant_year,
+         min(o_orderstatus) AS cpc_section, TRUE AS known FROM orders GROUP BY 1 HAVING max(year(o_orderdate)) < 2001),
 paper_facts AS (
   SELECT replace(p_brand, '#', '') AS paper_id, CAST(CASE WHEN min(p_retailprice) < 905 THEN 1990 + min(p_size) END AS INTEGER) AS paper_year,
          min(p_type) AS paper_category FROM part GROUP BY 1),
 enriched AS (
-  SELECT r.*, grant_year, cpc_section, paper_year, paper_category FROM reviews r
+  SELECT r.*, known, grant_year, cpc_section, paper_year, paper_category FROM reviews r
   LEFT JOIN patent_facts USING (patent_id) LEFT JOIN paper_facts USING (paper_id))"""
 
 
@@ -257,7 +258,7 @@ def enrich_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("enrich_counts", with_sql("""
-SELECT (SELECT count(DISTINCT patent_id) FROM enriched WHERE grant_year IS NOT NULL) AS enriched_patents,
+SELECT (SELECT count(DISTINCT patent_id) FROM enriched WHERE known) AS enriched_patents,
        (SELECT count(DISTINCT patent_id) FROM enriched) AS total_patents,
        (SELECT count(*) FROM (SELECT DISTINCT patent_id, qtype, q_idx, paper_idx FROM enriched
                               WHERE paper_id IS NOT NULL AND paper_year IS NOT NULL)) AS enriched_papers,

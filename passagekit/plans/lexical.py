@@ -71,7 +71,9 @@ def question_coverage(spark: SparkSession, sf_dir: str):
             word_set("paragraph_text"), "_text",
         )
         asked = fx.questions(spark, sf_dir).select("query_id", word_set("question").alias("_asked"))
-        pairs = texts.join(asked, "query_id")
+        pairs = texts.join(asked, "query_id").withColumn(
+            "_text", F.coalesce("_text", F.array().cast("array<string>"))
+        )
         return rerank(pairs, coverage(F.col("_asked"), F.col("_text")), 10)
 
     return score
@@ -141,14 +143,16 @@ def _metric_columns(cutoffs: list[int]) -> str:
 
 
 @query("recall_mrr", with_sql(f"""
-SELECT count(*) AS questions, {_metric_columns(metrics.CUTOFFS[:3])}
+SELECT count(*) AS questions, {_metric_columns(metrics.CUTOFFS)}
 FROM questions LEFT JOIN (
   SELECT h.query_id, min(rank) AS first_rank FROM hits h
   JOIN truth t ON t.query_id = h.query_id AND t.paper_id = split_part(h.doc_id, '_', 1) GROUP BY h.query_id) m
-  USING (query_id)""", *fx.BM25, fx.HITS, TRUTH))
+  USING (query_id)""", *fx.BM25, fx.ranked_sql("hits", "scores", 100), TRUTH))
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall and MRR of the lexical top 10 against verbatim containment."""
+    """Recall and MRR of the lexical top 100 against verbatim containment."""
+    asked = fx.questions(spark, sf_dir)
+    hits = lexical.bm25_topk(fx.paragraph_index(spark, sf_dir), asked, 100)
     return metrics.retrieval_metrics(
-        fx.questions(spark, sf_dir), fx.lexical_hits(spark, sf_dir), containment_truth(spark, sf_dir),
-        "query_id", "paper_id", metrics.CUTOFFS[:3],
+        asked, hits.withColumn("paper_id", paper_id("doc_id")), containment_truth(spark, sf_dir),
+        "query_id", "paper_id", metrics.CUTOFFS,
     )

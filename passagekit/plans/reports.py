@@ -9,6 +9,7 @@ from passagekit.plans import fixtures as fx
 from passagekit.plans.fixtures import with_sql
 from passagekit.plans.joins import STATUS
 from passagekit.plans.registry import query
+from passagekit.plans.runs import JUDGED, judged_reviews
 
 PER_QUESTION = """per_question AS (
   SELECT patent_id, qtype, q_idx, count(paper_id) AS paragraphs,
@@ -35,13 +36,15 @@ def question_yes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("run_report", with_sql("""
-SELECT count(*) AS processed, count(contains_answer) AS verified, count(error) AS errors,
-       CAST(count_if(paragraph_text IS NULL) AS BIGINT) AS missing_texts,
-       CAST(count_if(coalesce(contains_answer = 'Y', FALSE)) AS BIGINT) AS yes,
-       round(count_if(coalesce(contains_answer = 'Y', FALSE)) * 100.0 / greatest(count(contains_answer), 1), 6) AS yes_pct
-FROM reviews WHERE paragraph_id IS NOT NULL""", fx.REVIEWS))
+SELECT count(*) AS processed, count(paragraph_text) AS verified,
+       count(CASE WHEN paragraph_text IS NOT NULL THEN old_error END) AS errors,
+       count(*) - count(paragraph_text) AS missing_texts, CAST(count_if(yes) AS BIGINT) AS yes,
+       round(count_if(yes) * 100.0 / greatest(count(paragraph_text), 1), 6) AS yes_pct
+FROM (SELECT *, paragraph_text IS NOT NULL AND coalesce(old_verdict = 'Y', shared >= 0.4 * asked) AS yes FROM judged)""",
+    fx.REVIEWS, JUDGED))
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts.run_report(fx.reviews(spark, sf_dir))
+    """The report on a finished run over the reviews."""
+    return verdicts.run_report(judged_reviews(spark, sf_dir))
 
 
 @query("error_log", with_sql("""
@@ -51,7 +54,9 @@ def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("method_report", with_sql("""
-SELECT count(*) AS compared, CAST(a AS BIGINT) AS first_only, CAST(b AS BIGINT) AS second_only,
+SELECT (SELECT count(*) FROM (SELECT DISTINCT patent_id, qtype, q_idx FROM reviews
+                              WHERE patent_id IN (SELECT patent_id FROM second))) AS questions,
+       count(*) AS compared, CAST(a AS BIGINT) AS first_only, CAST(b AS BIGINT) AS second_only,
        CAST(ab AS BIGINT) AS both, CAST(count(*) - a - b - ab AS BIGINT) AS neither,
        round((a + b + ab) * 100.0 / count(*), 6) AS combined_pct, round((a + ab) * 100.0 / count(*), 6) AS first_pct,
        round((b + ab) * 100.0 / count(*), 6) AS second_pct
@@ -73,7 +78,7 @@ def answered_by_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("results_summary", with_sql("""
-SELECT patent_id, CAST(count_if(qtype = 'remembering') AS BIGINT) AS remembering,
+SELECT patent_id, count(*) AS questions, CAST(count_if(qtype = 'remembering') AS BIGINT) AS remembering,
        CAST(count_if(qtype = 'understanding') AS BIGINT) AS understanding
 FROM (SELECT DISTINCT patent_id, qtype, q_idx FROM reviews) GROUP BY patent_id""", fx.REVIEWS))
 def results_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +100,14 @@ def paper_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A link is identified by patent, level and paper."""
+    """A link is identified by question and paper."""
     return links.verified_links(
-        fx.link_rows(spark, sf_dir), fx.link_patents(spark, sf_dir), fx.link_papers(spark, sf_dir), ["q_type"]
+        fx.link_rows(spark, sf_dir), fx.link_patents(spark, sf_dir), fx.link_papers(spark, sf_dir)
     )
 
 
 @query("verified_links", with_sql("""
-SELECT patent_id, patent_year, patent_cpc, patent_section, paper_id, paper_year, paper_cat, q_type FROM links""", fx.LINKS))
+SELECT patent_id, patent_year, patent_cpc, patent_section, paper_id, paper_year, paper_cat, q_type, q_idx FROM links""", fx.LINKS))
 def verified_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir)
 
@@ -114,7 +119,7 @@ FIELDS = ["Unknown", "economy", "large", "medium", "promo", "small", "standard"]
     f'count_if(paper_field = \'{name}\')::BIGINT AS "{name}"' for name in FIELDS
 ) + """ FROM fielded WHERE q_type = 'understanding' AND patent_section IS NOT NULL GROUP BY patent_section""", fx.LINKS))
 def link_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.link_matrix(_links(spark, sf_dir), FIELDS)
+    return links.link_matrix(_links(spark, sf_dir))
 
 
 @query("link_matrix_norm", with_sql("""

@@ -21,6 +21,15 @@ def _patent_facts(rows: DataFrame) -> DataFrame:
     )
 
 
+def judged_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews without verdict judged by word overlap with a short question."""
+    rows = fx.reviews(spark, sf_dir)
+    asked = rows.withColumn(
+        "question", F.concat(F.lit("red "), F.col("q_idx").cast("string"), F.lit(" gear of supplier"))
+    )
+    return scoring.verify(asked, _patent_facts(rows), scoring.overlap_judge(0.4))
+
+
 JUDGED = """judged AS (
   SELECT patent_id, qtype, q_idx, paper_idx, para_idx, contains_answer AS old_verdict, answer AS old_answer, error AS old_error,
          paragraph_text,
@@ -39,13 +48,7 @@ SELECT patent_id, qtype, q_idx, paper_idx, para_idx,
        CASE WHEN old_verdict IS NOT NULL THEN old_error WHEN paragraph_text IS NULL THEN 'Paragraph text not found' END AS error
 FROM judged""", fx.REVIEWS, JUDGED))
 def verify_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews without verdict judged by word overlap with a short question."""
-    rows = fx.reviews(spark, sf_dir)
-    asked = rows.withColumn(
-        "question", F.concat(F.lit("red "), F.col("q_idx").cast("string"), F.lit(" gear of supplier"))
-    )
-    judged = scoring.verify(asked, _patent_facts(rows), scoring.overlap_judge(0.4))
-    return judged.select(*POSITION_KEY, "contains_answer", "answer", "error")
+    return judged_reviews(spark, sf_dir).select(*POSITION_KEY, "contains_answer", "answer", "error")
 
 
 @query("question_job", """

@@ -42,7 +42,7 @@ ORDER BY patent_id, qtype, q_idx, paper_idx, para_idx LIMIT 250""", fx.REVIEWS))
 def sequential_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 250 paragraphs in document order."""
     rows = fx.reviews(spark, sf_dir).where(F.col("paragraph_id").isNotNull())
-    return ranking.first_n(rows.select(*POSITION_KEY, "paragraph_id"), POSITION_KEY, 250).drop("row_idx")
+    return ranking.first_n(rows.select(*POSITION_KEY, "paragraph_id"), POSITION_KEY, 250)
 
 
 @query("shard_assign", with_sql("""
@@ -54,7 +54,8 @@ def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("class_order", with_sql("""
-SELECT patent_id, cpc_sequence, cpc_class, cpc_subclass FROM classes""", CLASSES))
+SELECT patent_id, cpc_sequence, cpc_class, cpc_subclass,
+       row_number() OVER (ORDER BY patent_id, cpc_sequence, cpc_class, cpc_subclass) - 1 AS row_idx FROM classes""", CLASSES))
 def class_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.class_order(patents.inventional_classes(_classes(spark, sf_dir)))
 

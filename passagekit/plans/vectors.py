@@ -235,9 +235,11 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("topk_export", with_sql("""
 SELECT query_id,
        string_agg(CAST(vec_id AS VARCHAR), ';' ORDER BY rank) FILTER (rank <= 10) AS top_ids,
+       string_agg(CAST(CAST(round(CAST(distance AS DECIMAL(18, 6)), 4) AS DECIMAL(18, 4)) AS VARCHAR), ';' ORDER BY rank)
+         FILTER (rank <= 10) AS top_scores,
        (SELECT string_agg(CAST(label AS VARCHAR), ';' ORDER BY first) FROM (
           SELECT label, min(rank) AS first FROM labelled l WHERE l.query_id = labelled.query_id GROUP BY label)) AS papers
 FROM labelled GROUP BY query_id""", fx.DISTANCES, fx.nearest_sql("nearest", "distances", 100), LABELS))
 def topk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = exact_hits(spark, sf_dir, 100).join(fx.vectors(spark, sf_dir).select("vec_id", "label"), "vec_id")
-    return metrics.export_topk(hits, "query_id", "vec_id", "label", "distance").select("query_id", "top_ids", "papers")
+    return metrics.export_topk(hits, "query_id", "vec_id", "label", "distance")

@@ -87,16 +87,6 @@ def left_join(left: DataFrame, right: DataFrame, key: str, spread_by: Sequence[s
     return keyed.join(right.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input made of fewer files than cores.
-
-    A table with many files is returned unchanged, so large inputs are never
-    shuffled by this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def salt(columns: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 
@@ -119,6 +109,17 @@ def top_k(
     return ranked.where(F.col(rank) <= k)
 
 
+def one_per_id(df: DataFrame, id_col: str, order: Sequence[str]) -> DataFrame:
+    """One row per id: the first in ``order``. Rows without an id are all kept.
+
+    Only ids are shuffled to find the repeated ones; of these alone the rows meet.
+    """
+    counts = df.groupBy(id_col).agg(F.count("*").alias("_copies")).where(F.col("_copies") > 1)
+    repeated = broadcast_if_small(counts.select(id_col))
+    copies = top_k(df.join(repeated, id_col, "left_semi"), [id_col], [F.asc(c) for c in order], 1, "_copy")
+    return df.join(repeated, id_col, "left_anti").unionByName(copies.drop("_copy"))
+
+
 def row_index(df: DataFrame, order: Sequence[str], name: str = "row_idx") -> DataFrame:
     """Dense 0-based position in the total order of ``order``.
 
@@ -155,15 +156,21 @@ def hash_sample(
     id_col: str,
     seed: str,
     by: Sequence[str] = (),
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Exactly the ``n`` rows per stratum with the smallest ``md5(seed‖id)``.
 
     Counting rows per hash prefix finds the prefix at which ``n`` is reached.
-    Rows below it are kept where they are; only the rows that share the
-    boundary prefix are shuffled and ranked. A stratum holding most of the
-    table therefore never meets in one task.
+    Rows below it are kept where they are; of the rows that share the boundary
+    prefix only hash and id are shuffled and ranked. The prefix is long enough
+    (``digits``, by default from the number of rows) that about 1,000 rows share it,
+    so a stratum holding most of the table never meets in one task.
     """
+    if digits is None:
+        digits = 3
+        total = df.count()
+        while digits < 12 and total > 1_000 * 16**digits:
+            digits += 1
     strata = list(by)
     hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string"))))
     hashed = hashed.withColumn("_prefix", F.substring("_hash", 1, digits))
@@ -199,11 +206,21 @@ def hash_sample(
         (F.col("_prefix") == F.col("_edge_prefix")) & F.col("_edge_whole")
     )
     boundary = (F.col("_prefix") == F.col("_edge_prefix")) & ~F.col("_edge_whole")
-    window = W.partitionBy(*strata, "_prefix").orderBy("_hash", id_col)
-    cut = (
-        marked.where(boundary)
-        .withColumn("_pos", F.row_number().over(window))
-        .where(F.col("_pos") <= F.col("_left"))
-        .drop("_pos")
+    window = W.partitionBy(*strata, "_prefix").orderBy("_hash")
+    narrow = marked.where(boundary).select(*strata, "_prefix", "_hash", "_left")
+    chosen = narrow.withColumn("_pos", F.row_number().over(window)).where(F.col("_pos") <= F.col("_left"))
+    # The last hash that is taken, and how many rows with it: more than one only for
+    # a repeated id. One row per stratum.
+    last = broadcast_if_small(
+        chosen.groupBy(*strata, "_hash").agg(F.count("*").alias("_need"))
+        .groupBy(*strata).agg(F.max(F.struct("_hash", "_need")).alias("_end"))
     )
-    return marked.where(whole).unionByName(cut).select(*df.columns)
+    if strata:
+        near = marked.where(boundary).join(last, strata)
+    else:
+        near = marked.where(boundary).withColumn("_end", last.select("_end").scalar())
+    below = near.where(F.col("_hash") < F.col("_end._hash"))
+    copies = W.partitionBy(*strata, "_hash").orderBy(id_col)
+    ties = near.where(F.col("_hash") == F.col("_end._hash")).withColumn("_pos", F.row_number().over(copies))
+    cut = below.select(*df.columns).unionByName(ties.where(F.col("_pos") <= F.col("_end._need")).select(*df.columns))
+    return marked.where(whole).select(*df.columns).unionByName(cut)

@@ -22,13 +22,11 @@ QUESTION_ENTRY = (
 )
 RESULT_BODY = (
     "struct<cpc:string,grant_year:int,patent_title:string,patent_abstract:string,"
-    "first_question:int,question_types:struct<remembering:array<"
-    + QUESTION_ENTRY + ">,understanding:array<" + QUESTION_ENTRY + ">>>"
+    "first_question:int,question_types:map<string,array<" + QUESTION_ENTRY + ">>>"
 )
 RESULT_DOCUMENT = (
     "patent_id string, cpc string, grant_year int, patent_title string, patent_abstract string, "
-    "first_question int, question_types struct<remembering:array<" + QUESTION_ENTRY
-    + ">,understanding:array<" + QUESTION_ENTRY + ">>"
+    "first_question int, question_types map<string,array<" + QUESTION_ENTRY + ">>"
 )
 RESULTS_FLAT = (
     "patent_id string, qtype string, q_idx int, question string, paper_idx int, paper_id string, "

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType
 
 from passagekit import schemas
 
@@ -22,47 +22,74 @@ def read_paragraphs(
     return scan.select(*columns) if columns else scan
 
 
-def _file_state(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whether a file that gave no row is empty or cannot be read."""
+def _file_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Number of rows that each file's footer promises; -1 without a footer."""
     import pyarrow.fs
     import pyarrow.parquet
 
     for batch in batches:
-        states = []
+        promised = []
         for path in batch["path"]:
             uri = re.sub(r"^file:/+", "file:///", path)
             try:
                 system, name = pyarrow.fs.FileSystem.from_uri(uri)
-                pyarrow.parquet.read_metadata(name, filesystem=system)
-                states.append("empty")
+                promised.append(pyarrow.parquet.read_metadata(name, filesystem=system).num_rows)
             except Exception:
-                states.append("unreadable")
-        yield pd.DataFrame({"path": batch["path"], "state": states})
+                promised.append(-1)
+        yield batch.assign(rows_promised=promised)
 
 
 def read_tolerant(
     spark: SparkSession, path: str, schema: StructType | str
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows of all readable Parquet files, and the files that were skipped."""
+    """Rows of all readable Parquet files, and the files that were not read whole.
+
+    The second table is (path, state, rows_read, rows_promised): ``unreadable`` for a
+    file without a usable footer, ``partial`` for one whose pages gave fewer rows than
+    its footer promises. Its count reads every column of the schema, as damage may lie
+    in any of them.
+    """
     scan = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
     listed = spark.read.format("binaryFile").load(path).select("path")
-    seen = scan.select(F.col("_metadata.file_path").alias("path")).distinct()
+    # A bare count would be answered from the footers. Maps cannot be hashed.
+    columns = [F.to_json(F.struct(f.name)) if isinstance(f.dataType, MapType) else F.col(f.name) for f in scan.schema]
+    read = scan.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.count("*").alias("rows_read"), F.bit_xor(F.xxhash64(*columns)).alias("_all")
+    )
     # The two scans spell local paths differently (file:/x, file:///x).
     plain = lambda df: df.withColumn("_key", F.regexp_replace("path", "^file:/+", "/"))
-    silent = plain(listed).join(plain(seen).select("_key"), "_key", "left_anti").select("path")
-    states = silent.mapInPandas(_file_state, "path string, state string")
-    return scan, states.where(F.col("state") == "unreadable")
+    # The hash is part of the result, so that the columns are really read.
+    found = plain(read).where(F.col("_all").isNotNull()).select("_key", "rows_read")
+    counted = plain(listed).join(found, "_key", "left").select("path", F.coalesce("rows_read", F.lit(0)).alias("rows_read"))
+    promised = counted.mapInPandas(_file_rows, "path string, rows_read long, rows_promised long")
+    state = F.when(F.col("rows_promised") < 0, "unreadable").when(F.col("rows_read") < F.col("rows_promised"), "partial")
+    return scan, promised.select("path", state.alias("state"), "rows_read", "rows_promised").where(F.col("state").isNotNull())
 
 
 def read_tsv_years(
-    spark: SparkSession, template: str, years: Iterable[int], schema: StructType | str
+    spark: SparkSession, template: str, years: Iterable[int], schema: StructType | str,
+    malformed: str | None = None,
 ) -> tuple[DataFrame, list[int]]:
-    """Union of per-year tab-separated files, and the years without a file."""
+    """Union of per-year tab-separated files, and the years without a file.
+
+    Columns are found by the names in each file's header, in any order; one the header
+    lacks is null. Quoted texts may hold line breaks, tabs and doubled quotes. A value
+    that does not fit its type is null; with ``malformed``, a column of that name says
+    how many such values a row has.
+    """
     parts, missing = [], []
+    wanted = spark.createDataFrame([], schema).schema
     for year in years:
         try:
-            part = spark.read.csv(
-                template.format(year=year), sep="\t", header=True, schema=schema
+            raw = spark.read.csv(
+                template.format(year=year), sep="\t", header=True, multiLine=True, quote='"', escape='"'
+            )
+            texts = {c.strip(): F.col(f"`{c}`") for c in raw.columns}
+            cells = [(f, texts.get(f.name, F.lit(None).cast("string"))) for f in wanted]
+            bad = [(text.isNotNull() & text.try_cast(f.dataType).isNull()).cast("int") for f, text in cells]
+            part = raw.select(
+                *[text.try_cast(f.dataType).alias(f.name) for f, text in cells],
+                *([sum(bad[1:], bad[0]).alias(malformed)] if malformed else []),
             )
             parts.append(part.withColumn("source_year", F.lit(year)))
         except AnalysisException as problem:
@@ -71,6 +98,8 @@ def read_tsv_years(
             missing.append(year)
     if not parts:
         empty = spark.createDataFrame([], schema)
+        if malformed:
+            empty = empty.withColumn(malformed, F.lit(None).cast("int"))
         return empty.withColumn("source_year", F.lit(None).cast("int")), missing
     table = parts[0]
     for part in parts[1:]:

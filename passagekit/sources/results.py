@@ -26,14 +26,8 @@ def flatten_results(documents: DataFrame) -> DataFrame:
 
     A question without papers stays as one row with null paper columns.
     """
-    levels = F.array(
-        *[
-            F.struct(F.lit(level).alias("qtype"), F.col(f"question_types.{level}").alias("questions"))
-            for level in schemas.LEVELS
-        ]
-    )
     start = F.coalesce("first_question", F.lit(0))
-    by_level = documents.select("patent_id", start.alias("_start"), F.inline(levels))
+    by_level = documents.select("patent_id", start.alias("_start"), F.explode("question_types").alias("qtype", "questions"))
     by_question = by_level.select(
         "patent_id", "qtype", "_start", F.posexplode("questions").alias("_pos", "_q")
     )
@@ -58,10 +52,10 @@ def flatten_results(documents: DataFrame) -> DataFrame:
     )
 
 
-def _ordered(fields: Column, position: str, where: Column | None = None) -> Column:
+def _ordered(fields: Column, position: str) -> Column:
     """Collected structs in position order, without the position."""
     placed = F.struct(F.col(position).alias("_at"), fields.alias("_item"))
-    collected = F.collect_list(placed if where is None else F.when(where, placed))
+    collected = F.collect_list(placed)
     # Entries hold maps, which have no order of their own.
     return F.transform(
         F.array_sort(collected, lambda a, b: a["_at"] - b["_at"]), lambda entry: entry["_item"]
@@ -76,6 +70,8 @@ def nest_results(
 ) -> DataFrame:
     """Flat rows back into documents, one per patent.
 
+    Levels are the keys of a map; whichever occur are kept. A row without a level
+    belongs to no question and is left out.
     A patent with more than ``questions_per_document`` questions per level is
     continued in further documents that start at ``first_question``, so no
     document grows without bound; ``flatten_results`` restores the positions.
@@ -122,10 +118,11 @@ def nest_results(
         F.lit("retrieved_papers"), F.size("retrieved_papers").cast("bigint")
     )
     entry = F.struct("question", "retrieved_papers", stats.alias("stats"))
-    # Rows of another level are null entries, which collect_list leaves out.
-    of_level = lambda level: _ordered(entry, "q_idx", F.col("qtype") == level).alias(level)
-    nested = by_question.groupBy(*document).agg(
-        F.struct(*[of_level(level) for level in schemas.LEVELS]).alias("question_types")
+    by_level = by_question.where(F.col("qtype").isNotNull()).groupBy(*document, "qtype").agg(
+        _ordered(entry, "q_idx").alias("_questions")
+    )
+    nested = by_level.groupBy(*document).agg(
+        F.map_from_entries(F.collect_list(F.struct("qtype", "_questions"))).alias("question_types")
     )
     if patents is not None:
         nested = nested.join(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,14 +23,19 @@ def run_incremental(
 
     Every micro-batch overwrites its own partition of the target, so a batch
     repeated after a failure replaces what it wrote before: no row is lost or
-    doubled. Returns the finished query.
+    doubled. Partitions are named after the checkpoint's own id and the batch, so
+    several sources, or a new checkpoint, add to a target without touching what is
+    there. Returns the finished query.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        process(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        # Spark stores the id of the run in the checkpoint before its first batch.
+        stored = batch.sparkSession.read.text(f"{checkpoint}/metadata").first().value
+        run = json.loads(stored)["id"]
+        process(batch).write.mode("overwrite").parquet(f"{target}/run={run}/batch_id={batch_id}")
 
     query = (
         reader.parquet(source)
@@ -44,8 +50,8 @@ def run_incremental(
 
 def read_target(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
     """Everything the runs so far produced."""
-    full = StructType(list(schema.fields)).add("batch_id", "long")
-    return spark.read.schema(full).parquet(target).drop("batch_id")
+    full = StructType(list(schema.fields)).add("run", "string").add("batch_id", "long")
+    return spark.read.schema(full).parquet(target).drop("run", "batch_id")
 
 
 def read_errors(spark: SparkSession, target: str, schema: StructType) -> DataFrame:

@@ -161,7 +161,7 @@ def test_nest_and_flatten_round_trip(spark):
         assert values(again, *schemas.FLAT_COLUMNS) == values(df, *schemas.FLAT_COLUMNS)
     assert nest_results(df).count() == 2
     document = nest_results(df).where("patent_id = 'a'").first()
-    first = document.question_types.remembering[0]
+    first = document.question_types["remembering"][0]
     assert [p.paper_id for p in first.retrieved_papers] == ["paper0", "paper1"]
     assert first.stats == {"retrieved_papers": 2}
 
