@@ -300,9 +300,82 @@ def without_rejected(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     return judged.where(F.col(out)["kept"]).select(*docs.columns)
 
 
-@query("op1_quality")
+def _half_sql(p: str, q: str) -> str:
+    side = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0.0 END"
+    return f"({side(p)} + {side(q)}) / 2"
+
+
+def _classes_sql() -> str:
+    """The text after each class is taken away: t0 to t7."""
+    steps = "SELECT *, coalesce(text, '') AS t0 FROM numbered"
+    for i, (_, pattern) in enumerate(CLASSES):
+        steps = f"SELECT *, regexp_replace(t{i}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS t{i + 1} FROM ({steps})"
+    return steps
+
+
+_SIZES = ", ".join([f"length(t{i}) - length(t{i + 1})" for i in range(len(CLASSES))] + [f"length(t{len(CLASSES)})"])
+_BINS = len(CLASSES) + 1
+
+SQL = f"""
+WITH numbered AS (SELECT doc_id, lang, text, row_number() OVER () AS r FROM documents),
+split AS (
+  SELECT doc_id, lang, r, [{_SIZES}] AS bins, length(t0) AS chars,
+         length(regexp_replace(t{len(CLASSES)}, '[^{SYMBOLS}]+', '', 'g')) AS n_symbols,
+         regexp_extract_all(t0, '[^\\x20\\x09-\\x0D]+') AS w,
+         list_filter(string_split_regex(lower(t0), '[\\x00-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS letters,
+         list_filter(string_split(t0, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM ({_classes_sql()})),
+windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+again AS (
+  SELECT r, count(DISTINCT p) AS n_repeat FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY r),
+base AS (
+  SELECT split.*, len(w) AS n_words, chars - bins[2] AS word_chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n_repeat, 0) AS n_repeat_words,
+         len(w) < {MIN_WORDS} OR 100 * coalesce(n_repeat, 0) > {MAX_REPEAT_PERCENT} * len(w) AS base_failed
+  FROM split LEFT JOIN again ON again.r = split.r),
+languages AS (
+  SELECT lang, [{', '.join(f'sum(bins[{i}])' for i in range(1, _BINS + 1))}] AS sums, sum(chars) AS chars, sum(len(letters)) AS words
+  FROM split WHERE lang IS NOT NULL GROUP BY lang
+  HAVING count(*) >= {MIN_SHARE} * (SELECT count(*) FROM split WHERE lang IS NOT NULL) AND sum(chars) > 0 AND sum(len(letters)) > 0),
+word_counts AS (
+  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(letters) AS word FROM split WHERE lang IS NOT NULL)
+  WHERE length(word) <= {COMMON_CHARS} GROUP BY lang, word),
+common AS (
+  SELECT c.lang, word, n / words AS q FROM word_counts c JOIN languages l ON l.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang ORDER BY n DESC, word) <= {COMMON_WORDS}),
+covered AS (SELECT l.lang, coalesce(sum(q), 0.0) AS all_q FROM languages l LEFT JOIN common c ON c.lang = l.lang GROUP BY l.lang),
+terms AS (
+  SELECT r, word, count(*) / any_value(size) AS p
+  FROM (SELECT r, len(letters) AS size, unnest(letters) AS word FROM split) GROUP BY r, word),
+met AS (
+  SELECT r, lang, sum({_half_sql('p', 'q')}) AS d, sum(p) AS p, sum(q) AS q FROM terms JOIN common ON common.word = terms.word
+  GROUP BY r, lang),
+distances AS (
+  SELECT b.r, l.lang,
+         CASE WHEN b.chars >= {MIN_CHARS_JUDGED} THEN sqrt(greatest(0.0, list_sum(list_transform(range(1, {_BINS + 1}),
+           lambda i: {_half_sql('(b.bins[i] / b.chars)', '(l.sums[i] / l.chars)')})))) ELSE 0.0 END AS cd,
+         CASE WHEN len(b.letters) >= {MIN_WORDS_JUDGED} AND all_q > 0 THEN sqrt(greatest(0.0,
+           coalesce(m.d, 0.0) + (all_q - coalesce(m.q, 0.0)) / 2
+           + {_half_sql('greatest(1 - coalesce(m.p, 0.0), 0.0)', 'greatest(1 - all_q, 0.0)')})) ELSE 0.0 END AS wd
+  FROM base b CROSS JOIN languages l JOIN covered v ON v.lang = l.lang LEFT JOIN met m ON m.r = b.r AND m.lang = l.lang),
+nearest AS (
+  SELECT r, bool_or(cd <= {MAX_CHAR_DISTANCE} AND wd <= {MAX_WORD_DISTANCE}) AS passing,
+         arg_min(struct_pack(lang := lang, cd := cd, wd := wd), struct_pack(s := cd + wd, cd := cd, wd := wd, lang := lang)) AS best
+  FROM distances GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(passing, TRUE) AS kept, best.lang AS language,
+       round(best.cd, 6) AS char_distance, round(best.wd, 6) AS word_distance
+FROM base LEFT JOIN nearest ON nearest.r = base.r
+"""
+
+
+@query("op1_quality", SQL)
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     judged = assess(docs, language_references(docs))
-    return judged.select("doc_id", "quality.*")
+    return judged.select("doc_id", "quality.*").withColumns({
+        name: F.round(name, 6) for name in ("char_distance", "word_distance")
+    })
