@@ -8,6 +8,9 @@ import numpy as np
 #: not depend on how sums were grouped.
 DECIMALS = 6
 
+#: Cells of one distance matrix (32 MB of float64). Batches are cut to fit.
+MATRIX_CELLS = 4_000_000
+
 
 def stack(column) -> np.ndarray:
     """Array column of a pandas batch as a float64 matrix."""
@@ -26,13 +29,14 @@ def nearest(
     base_ids: np.ndarray,
     k: int,
     skip_same_id: bool,
+    decimals: int = DECIMALS,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` best base entries of every query row, as flat columns.
 
     Ties at the cut are settled by id, so at most ``k`` entries per query
     leave even when most base vectors are equal.
     """
-    values = np.round(distances, DECIMALS)
+    values = np.round(distances, decimals)
     if skip_same_id:
         values[query_ids[:, None] == base_ids[None, :]] = np.inf
     if values.shape[1] > k:
@@ -50,4 +54,20 @@ def nearest(
 
 def closest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Index of the nearest centre; the lowest index wins a tie."""
-    return np.round(squared_distances(vectors, centres), DECIMALS + 3).argmin(axis=1)
+    found = [np.round(squared_distances(part, centres), DECIMALS + 3).argmin(axis=1) for part in slices(vectors, centres)]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def slices(vectors: np.ndarray, centres: np.ndarray):
+    """Parts of ``vectors`` whose distances to all centres fit in one matrix."""
+    rows = max(1, MATRIX_CELLS // max(1, len(centres)))
+    return (vectors[start:start + rows] for start in range(0, len(vectors), rows))
+
+
+def closest_few(vectors: np.ndarray, centres: np.ndarray, names: np.ndarray, k: int) -> list[np.ndarray]:
+    """Names of the ``k`` nearest centres of each vector, nearest first."""
+    out = []
+    for part in slices(vectors, centres):
+        rows, found, _ = nearest(squared_distances(part, centres), np.arange(len(part)), names, k, False, DECIMALS + 3)
+        out += np.split(found, np.searchsorted(rows, np.arange(1, len(part))))
+    return out

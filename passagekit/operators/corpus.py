@@ -11,6 +11,7 @@ from passagekit.functions.ids import with_paragraph_keys
 from passagekit.functions.text import NEXT_MARK, PREVIOUS_MARK
 from passagekit.scale import broadcast_if_small, left_join, stage, top_k
 
+# Percentiles and length limits of the reports.
 PERCENTILES = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
 SHORT_LIMITS = [10, 25, 50, 100, 200]
 CDF_LIMITS = [50, 100, 200, 500, 1000]

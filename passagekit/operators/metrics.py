@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+# Cut-offs of the reported metrics.
 CUTOFFS = [1, 5, 10, 20, 50, 100]
 
 

@@ -21,6 +21,7 @@ class DuplicateKeyError(ValueError):
 
 
 def utility_patents(patents: DataFrame) -> DataFrame:
+    # Columns that nothing uses further on.
     unused = ["patent_type", "filename", "withdrawn", "num_claims", "wipo_kind"]
     return patents.where(F.col("patent_type") == "utility").drop(*unused)
 

@@ -192,9 +192,7 @@ def ivf_probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFra
     @pandas_udf("array<int>")
     def nearest_lists(batch: pd.Series) -> pd.Series:
         names, centres = shared.value
-        distances = np.round(kernel.squared_distances(kernel.stack(batch), centres), kernel.DECIMALS + 3)
-        order = np.lexsort((np.broadcast_to(names, distances.shape), distances), axis=1)
-        return pd.Series([names[row] for row in order[:, :nprobe]])
+        return pd.Series(kernel.closest_few(kernel.stack(batch), centres, names, nprobe))
 
     return queries.withColumn("cid", F.explode(nearest_lists("vector")))
 

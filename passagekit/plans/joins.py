@@ -223,9 +223,9 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.pending(todo, fx.second_opinion(spark, sf_dir), ["patent_id", "qtype", "q_idx"])
 
 
-def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews with brand and order facts; some patents and papers unknown, some
-    patents known without a year."""
+def review_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Patents and papers of the reviews; some are unknown, some patents known
+    without a year."""
     orders, parts = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
     facts = orders.groupBy(F.floor(F.col("o_orderkey") / 6).cast("string").alias("patent_id")).agg(
         F.max(F.year("o_orderdate")).alias("grant_year"), F.min("o_orderstatus").alias("cpc_section")
@@ -234,6 +234,12 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.min("p_retailprice") < 905, 1990 + F.min("p_size")).alias("paper_year"),
         F.min("p_type").alias("paper_category"),
     )
+    return facts, papers
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews with brand and order facts."""
+    facts, papers = review_facts(spark, sf_dir)
     return metadata.enrich(fx.reviews(spark, sf_dir), papers, facts)
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagekit.operators import links, verdicts
+from passagekit.operators import links, metadata, ranking, scoring, verdicts
 from passagekit.plans import fixtures as fx
 from passagekit.plans.fixtures import with_sql
-from passagekit.plans.joins import STATUS
+from passagekit.plans.joins import ENRICHED, STATUS, review_facts
 from passagekit.plans.registry import query
-from passagekit.plans.runs import JUDGED, judged_reviews
+from passagekit.plans.runs import JUDGED, judged_reviews, patent_texts
+from passagekit.scale import stage
+from passagekit.schemas import QUESTION_KEY
 
 PER_QUESTION = """per_question AS (
   SELECT patent_id, qtype, q_idx, count(paper_id) AS paragraphs,
@@ -160,3 +162,56 @@ SELECT patent_section, round(count_if(q_type = 'remembering') / count(*), 6) AS
 FROM links WHERE patent_section IS NOT NULL GROUP BY patent_section""", fx.LINKS))
 def level_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.level_shares(_links(spark, sf_dir))
+
+
+@query("evidence_pipeline", with_sql("""
+SELECT 'links' AS report, cpc_section AS part, field AS item, CAST(count(*) AS DOUBLE) AS value FROM evidence
+WHERE qtype = 'understanding' AND cpc_section IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'lag', qtype, CAST(least(lag, 28) AS VARCHAR), CAST(count(*) AS DOUBLE)
+FROM (SELECT qtype, grant_year - paper_year AS lag FROM evidence) WHERE lag BETWEEN -5 AND 29 GROUP BY ALL
+UNION ALL SELECT 'level', cpc_section, qtype,
+  round(count(*) / sum(count(*)) OVER (PARTITION BY cpc_section), 6) FROM evidence WHERE cpc_section IS NOT NULL GROUP BY cpc_section, qtype
+UNION ALL SELECT 'patents', 'enriched', 'all', CAST(count(DISTINCT CASE WHEN known THEN patent_id END) AS DOUBLE)
+FROM enriched WHERE paragraph_id IS NOT NULL""",
+    fx.REVIEWS, ENRICHED, """verdicts AS (
+  SELECT r.*, CASE WHEN q_idx = 0 AND contains_answer IS NOT NULL THEN contains_answer WHEN paragraph_text IS NULL THEN 'N'
+    WHEN len(list_intersect(a, list_distinct(string_split(lower(paragraph_text), ' ')))) >= 0.4 * len(a) THEN 'Y' ELSE 'N' END AS verdict
+  FROM (SELECT *, list_distinct(string_split('red ' || q_idx || ' gear of supplier', ' ')) AS a FROM reviews WHERE paragraph_id IS NOT NULL) r),
+evidence AS (
+  SELECT v.patent_id, qtype, q_idx, v.paper_id, grant_year, cpc_section, paper_year,
+         CASE WHEN coalesce(paper_category, '') <> '' THEN split_part(paper_category, '.', 1) ELSE 'Unknown' END AS field
+  FROM (SELECT DISTINCT patent_id, qtype, q_idx, paper_id FROM verdicts WHERE verdict = 'Y') v
+  LEFT JOIN patent_facts p ON p.patent_id = v.patent_id LEFT JOIN paper_facts f ON f.paper_id = v.paper_id)"""))
+def evidence_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From questions to link tables in one run: the patents are sharded, verdicts of an
+    earlier run taken over, the rest judged, the results enriched, and the links of all
+    questions reported by field, lag and level."""
+    reviews = fx.reviews(spark, sf_dir)
+    blank = reviews.withColumn(
+        "question", F.concat(F.lit("red "), F.col("q_idx").cast("string"), F.lit(" gear of supplier"))
+    )
+    for name in ("contains_answer", "answer", "error"):
+        blank = blank.withColumn(name, F.lit(None).cast("string"))
+    shards = ranking.assign_shards(reviews, "patent_id", 4)
+    earlier = reviews.where((F.col("q_idx") == 0) & F.col("paragraph_id").isNotNull())
+    waiting = verdicts.merge_prior(blank, earlier).join(shards.select("patent_id", "shard"), "patent_id")
+    judged = stage(scoring.verify(waiting, patent_texts(reviews), scoring.overlap_judge(0.4)), "evidence")
+    patents, papers = review_facts(spark, sf_dir)
+    counts = metadata.enrichment_counts(metadata.enrich(judged, papers, patents))
+    found = stage(links.verified_links(judged, patents, papers, QUESTION_KEY), "evidence-links")
+    row = lambda report, part, item, value: [
+        F.lit(report).alias("report"), F.col(part).alias("part"), F.col(item).cast("string").alias("item"),
+        F.col(value).cast("double").alias("value"),
+    ]
+    shares = links.level_shares(found)
+    levels = [c for c in shares.columns if c != "patent_section"]
+    long = shares.unpivot("patent_section", levels, "level", "share").where(F.col("share") > 0)
+    return (
+        links.field_counts(found).select(*row("links", "patent_section", "paper_field", "links"))
+        .unionByName(links.lag_histogram(found).where(F.col("links") > 0).select(*row("lag", "q_type", "lag_bin", "links")))
+        .unionByName(long.select(*row("level", "patent_section", "level", "share")))
+        .unionByName(counts.select(
+            F.lit("patents").alias("report"), F.lit("enriched").alias("part"), F.lit("all").alias("item"),
+            F.col("enriched_patents").cast("double").alias("value"),
+        ))
+    )

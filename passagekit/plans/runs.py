@@ -13,7 +13,7 @@ from passagekit.scale import shared_dir
 from passagekit.streaming.incremental import read_target, run_incremental
 
 
-def _patent_facts(rows: DataFrame) -> DataFrame:
+def patent_texts(rows: DataFrame) -> DataFrame:
     return rows.select("patent_id").distinct().select(
         "patent_id",
         F.concat(F.lit("patent "), "patent_id").alias("patent_title"),
@@ -27,7 +27,7 @@ def judged_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = rows.withColumn(
         "question", F.concat(F.lit("red "), F.col("q_idx").cast("string"), F.lit(" gear of supplier"))
     )
-    return scoring.verify(asked, _patent_facts(rows), scoring.overlap_judge(0.4))
+    return scoring.verify(asked, patent_texts(rows), scoring.overlap_judge(0.4))
 
 
 JUDGED = """judged AS (
@@ -85,7 +85,7 @@ def incremental_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ("contains_answer", "answer", "error"):
         rows = rows.withColumn(name, F.lit(None).cast("string"))
     path = shared_dir(spark, "stream")
-    facts = _patent_facts(rows)
+    facts = patent_texts(rows)
     judge = lambda batch: scoring.verify(batch, facts, scoring.overlap_judge(0.4))
     run = lambda: run_incremental(spark, f"{path}/in", rows.schema, judge, f"{path}/out", f"{path}/state")
     for level in ("remembering", "understanding"):
