@@ -407,7 +407,9 @@ def token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Write all documents and read them back: (id, start, n_tokens, ids_crc32)."""
     ids = tokenised(docs, id_col, text_col, path, end_id)
     size = max(tokenizer(path).size, end_id + 1)
-    found = read_ids(write_ids(ids, size))
+    # Spark takes the rows read from files to be as few as the files and would
+    # broadcast them; both sides have a row per document.
+    found = read_ids(write_ids(ids, size)).hint("merge")
     return found.join(ids.select("seq", F.col("id").alias(id_col)), "seq").select(id_col, "start", "n_tokens", "ids_crc32")
 
 
