@@ -326,8 +326,10 @@ split AS (
          list_filter(string_split(t0, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM ({_classes_sql()})),
 windows AS (
-  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n
-  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+  SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n
+  FROM (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_slice(w, 1, len(w) - 2)) AS a,
+               unnest(list_slice(w, 2, len(w) - 1)) AS b, unnest(list_slice(w, 3, len(w))) AS c
+        FROM split WHERE len(w) >= 3)),
 again AS (
   SELECT r, count(DISTINCT p) AS n_repeat FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY r),
 base AS (
