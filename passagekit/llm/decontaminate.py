@@ -189,6 +189,7 @@ def find_passages(
     ``max_windows`` at a time. A larger benchmark is cut by window hash and
     scanned for in several passes, each adding to what the last one found.
     """
+    docs = docs.drop(out)
     found = item_windows(items, item_id, item_text, window)
     # Twice the slices, so that an uneven cut stays below the bound as well.
     total = found.count()

@@ -84,6 +84,7 @@ def with_copies(
     The table of sources is joined by broadcast while it is small, else by a
     shuffle whose hot source Spark splits.
     """
+    docs = docs.drop(out)
     key = fresh(docs.columns, "_source_key")
     plan = fresh([*docs.columns, key], out)
     # A null source is a source: both sides carry it as a struct field.
