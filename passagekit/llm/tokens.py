@@ -6,8 +6,6 @@ too, and only chunks a worker has not met are given to the tokenizer.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,8 +13,11 @@ import pyarrow.compute as pc
 #: Chunks remembered by a worker before it starts anew.
 REMEMBERED = 400_000
 
+# What counts as white space.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 # A space beside other white space: such texts are encoded whole.
-_MIXED = re.compile(r" \s|\s ")
+_MIXED = f" {_WHITE}|{_WHITE} "
 
 
 class WordTokenizer:
@@ -78,8 +79,12 @@ class WordTokenizer:
         texts = [t or "" for t in texts]
         if len(self.known) > self.remembered:
             self._forget()
-        whole = {i: self.encode_whole(t) for i, t in enumerate(texts) if _MIXED.search(t)}
-        plain = pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.string())
+        plain = pa.array(texts, pa.string())
+        mixed = np.flatnonzero(pc.match_substring_regex(plain, _MIXED).to_numpy(zero_copy_only=False))
+        whole = {i: self.encode_whole(texts[i]) for i in mixed.tolist()}
+        if whole:
+            texts = ["" if i in whole else t for i, t in enumerate(texts)]
+            plain = pa.array(texts, pa.string())
         lists = pc.split_pattern(plain, " ")
         pieces = lists.flatten().dictionary_encode()
         offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
@@ -90,7 +95,7 @@ class WordTokenizer:
             self._learn(new)
         slots = np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))[codes]
         # The first chunk of a text has no space before it.
-        heads = [t.split(" ", 1)[0] for t in plain.to_pylist()]
+        heads = [t.split(" ", 1)[0] for t in texts]
         first = {h: None for h in heads if h and h not in self.known}
         if first:
             parts = [e.ids for e in self.tokenizer.encode_batch_fast(list(first), add_special_tokens=False)]
