@@ -10,6 +10,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
 
 
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -22,6 +23,15 @@ def new_name(folder: str, suffix: str) -> str:
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}{suffix}"
 
 
+def task_each(listed: DataFrame, most: int = 20_000) -> DataFrame:
+    """``listed`` (a stored list of files) with about one row per task.
+
+    The rows are small, but each stands for a file: left to themselves they would be
+    read by a few tasks.
+    """
+    return listed.repartition(min(most, max(1, listed.count())))
+
+
 def create(uri: str) -> pa.NativeFile:
     """A new file for writing; its folder is made if needed."""
     system, path = _place(uri)

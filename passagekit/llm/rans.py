@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window as W
 
 from passagekit.llm.common import table
-from passagekit.llm.files import create, new_name, open_random
+from passagekit.llm.files import create, new_name, open_random, task_each
 from passagekit.llm.tokens import tokenizer
 from passagekit.plans.registry import query
 from passagekit.scale import shared_dir, stage
@@ -399,7 +399,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                     ["seq", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = offsets.select("path", "first", "docs", "offset").repartition("path")
+    spread = task_each(offsets.select("path", "first", "docs", "offset"))
     return spread.mapInArrow(run, "seq long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from passagekit.llm.common import table, text_of
-from passagekit.llm.files import create, new_name, open_stream
+from passagekit.llm.files import create, new_name, open_stream, task_each
 from passagekit.plans.registry import query
 from passagekit.scale import shared_dir, stage
 
@@ -219,7 +219,7 @@ def read_archives(listed: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
                     raise ValueError(f"{path}: {count} records, {expected} were written")
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    spread = listed.select("path", "records").repartition("path")
+    spread = task_each(listed.select("path", "records"))
     return spread.mapInArrow(run, RECORD)
 
 
