@@ -229,8 +229,9 @@ def classes(prints: DataFrame, id_col: str, max_bits: int = MAX_BITS, max_group:
     total = known.count()
     roots = components(find_links(known, total, max_bits, max_group))
     placed = known.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("smallest").alias("component"))
+    placed = stage(placed.withColumn("root", F.coalesce("root", "fp")), "placed")
+    # Stored, so that the join with a very large class is one that Spark can split.
+    named = stage(placed.groupBy("root").agg(F.min("smallest").alias("component")), "named")
     return stage(placed.join(named, "root").select("fp", "root", "component", "n_rows"), "classes")
 
 
@@ -259,7 +260,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counted = prints.groupBy("id", "fp").agg(F.count("*").alias("rows")).join(found.select("fp", "root"), "fp")
     # Null ids come last, so that a document without an id stays only if it must.
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("fp").alias("fp"))
-    best = counted.groupBy("root").agg(F.min(order).alias("best"))
+    counted = stage(counted, "counted")
+    best = stage(counted.groupBy("root").agg(F.min(order).alias("best")), "best")
     judged = counted.join(best, "root").select(
         F.struct("id", "fp").alias("key"), "rows",
         (F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.fp") == F.col("fp"))).alias("stays"),
