@@ -13,8 +13,9 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Rows of one Arrow batch. Texts may be long, so batches are kept short.
+#: Rows and bytes of one Arrow batch. Texts may be long, so batches are kept short.
 BATCH_ROWS = 1_000
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def python_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
     """Set the session's options that the operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return configure(spark)
 
 

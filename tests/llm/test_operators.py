@@ -441,3 +441,22 @@ def test_gradients_are_those_of_the_loss():
         changed[name][at] += 1e-3
         slope = (loss(changed) - loss(wide)) / 1e-3
         assert abs(slope - grads[name][at]) < 2e-3 + 0.05 * abs(slope), name
+
+
+# -- names ----------------------------------------------------------------------------------
+
+
+def test_results_replace_columns_of_their_name(spark, dirty_dir):
+    """A result takes the place of a column that has its name."""
+    docs = spark.read.parquet(f"{dirty_dir}/documents.parquet")
+    items = spark.read.parquet(f"{dirty_dir}/benchmark.parquet")
+    mix = mixture.contract_mix(docs, F.lit(1))
+    made = {
+        "passages": decontaminate.find_passages(docs, items), "mix": mixture.with_copies(docs, mix),
+        "lines": linededup.drop_repeated_lines(docs), "licence": licence.find_licences(docs, licence.known_licences(spark)),
+        "language": langid.identify(docs, None), "quality": quality.assess(docs, []),
+        "fingerprint": simhash.with_fingerprints(docs),
+    }
+    for name, df in made.items():
+        assert sorted(df.columns) == sorted(docs.columns), name
+        assert df.schema[name].dataType.simpleString() != "string" and df.count() == docs.count()
