@@ -11,10 +11,14 @@ one output row, also when rows repeat.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from passagekit.llm.common import fresh, table, text_of
 from passagekit.llm.licence_texts import LICENCES
+from passagekit.llm.quality import let
 from passagekit.plans.registry import query
 from passagekit.scale import broadcast_if_small
 
@@ -75,20 +79,36 @@ SPELLINGS = (
 
 
 def canonical(text: str | Column) -> Column:
-    """Canonical form: words between single spaces, one more at each end."""
+    """Canonical form: words between single spaces.
+
+    Single words are looked up one by one; the few texts that hold one of the phrases
+    go through a replacement of phrases.
+    """
     bare = F.regexp_replace(F.lower(text_of(text)), COPYRIGHT_LINE, "")
-    # Two spaces, so that neighbouring words can both be replaced.
-    words = F.concat(F.lit("  "), F.regexp_replace(bare, BETWEEN, "  "), F.lit("  "))
-    for spelling, kept in SPELLINGS:
-        old, new = ("  ".join(x.split()) for x in (spelling, kept))
-        words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
-    return words
+    single = {old: new for old, new in SPELLINGS if " " not in old}
+    phrases = [(old, new) for old, new in SPELLINGS if " " in old]
+    kept = F.create_map(*[F.lit(x) for pair in single.items() for x in pair])
+    words = F.transform(
+        F.filter(F.split(bare, BETWEEN), lambda w: w != ""),
+        lambda w: F.when(w.isin(list(single)), F.element_at(kept, w)).otherwise(w),
+    )
+
+    def with_phrases(joined: Column) -> Column:
+        found = [F.contains(joined, F.lit(f" {old} ")) for old, _ in phrases]
+        # Two spaces, so that neighbouring phrases can both be replaced.
+        wide = F.replace(joined, F.lit(" "), F.lit("  "))
+        for old, new in phrases:
+            old, new = ("  ".join(x.split()) for x in (old, new))
+            wide = F.replace(wide, F.lit(f" {old} "), F.lit(f" {new} "))
+        narrow = F.regexp_replace(wide, " +", " ")
+        return F.trim(F.when(reduce(or_, found), narrow).otherwise(joined))
+
+    return let(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), with_phrases)
 
 
 def digest(text: str | Column) -> Column:
     """SHA-256 of the words in canonical form; null if there is none."""
-    words = F.trim(F.regexp_replace(canonical(text), " +", " "))
-    return F.when(words != "", F.sha2(words, 256))
+    return let(canonical(text), lambda words: F.when(words != "", F.sha2(words, 256)))
 
 
 def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
