@@ -20,23 +20,22 @@ are documents of their own; null ids never name a component unless it has no oth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from passagekit.llm.common import fresh, table
 from passagekit.llm.components import components
+from passagekit.llm.shingles import SEED, SHINGLE, shingle_hashes  # noqa: F401
+from passagekit.llm.similar import similar_links, with_keys
 from passagekit.plans.registry import query
 from passagekit.scale import broadcast_if_small, stage
 
 # Fixed values of the result contract.
-SHINGLE = 4
 MAX_BITS = 4
-SEED = 42
 
 PIVOTS = 16
 PIVOT_SEED = 20_201
@@ -49,21 +48,6 @@ TASK_ROWS = 60_000
 PAIRS_AT_ONCE = 1 << 20
 
 
-def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """XXH64 of every shingle of the lower-cased words, repeats included."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= size:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    view, digest = memoryview(joined), xxhash.xxh64_intdigest
-    spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1:].tolist())
-    return np.array([digest(view[a:b], SEED) for a, b in spans], np.uint64)
-
-
 def fingerprint(hashes: np.ndarray, rows_at_once: int = 1 << 16) -> int:
     """Bits set in more than half of the hashes."""
     if not len(hashes):
@@ -220,14 +204,18 @@ def find_links(
     return spread.mapInArrow(run, "a long, b long")
 
 
-def classes(prints: DataFrame, id_col: str, max_bits: int = MAX_BITS, max_group: int = MAX_GROUP) -> DataFrame:
+def classes(
+    prints: DataFrame, id_col: str, max_bits: int = MAX_BITS, max_group: int = MAX_GROUP,
+    links: Callable[[int], DataFrame] | None = None,
+) -> DataFrame:
     """(fp, component, n_rows) of a stored table ``prints`` (id_col, fp).
 
-    ``component`` is the smallest id of all rows that links reach.
+    ``component`` is the smallest id of all rows that links reach. ``links`` makes
+    other links than those of near fingerprints, from the number of distinct ones.
     """
     known = stage(prints.groupBy("fp").agg(F.min(id_col).alias("smallest"), F.count("*").alias("n_rows")), "fingerprints")
     total = known.count()
-    roots = components(find_links(known, total, max_bits, max_group))
+    roots = components(links(total) if links else find_links(known, total, max_bits, max_group))
     placed = known.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     placed = stage(placed.withColumn("root", F.coalesce("root", "fp")), "placed")
     # Stored, so that the join with a very large class is one that Spark can split.
@@ -247,16 +235,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, max_bits: int = MAX_BITS,
+    similarity: float | None = None,
+) -> DataFrame:
     """One document of each class of near-duplicates: that with the smallest id.
 
-    What goes is usually little, and is sent to all workers while it is.
+    With ``similarity``, near-duplicates are texts whose sets of shingles have at least
+    that Jaccard similarity, and ``max_bits`` does not matter. What goes is usually
+    little, and is sent to all workers while it is.
     """
     mark = fresh(docs.columns, "fingerprint")
-    held = stage(with_fingerprints(docs, text_col, mark), "with-fingerprints")
+    made = with_fingerprints(docs, text_col, mark, size) if similarity is None else with_keys(docs, text_col, mark, size)
+    held = stage(made, "with-fingerprints")
+    texts = held.select(F.col(mark).alias("fp"), F.col(text_col).alias("text"))
+    links = None if similarity is None else lambda total: similar_links(texts, total, size, similarity)
     key = F.struct(F.col(id_col).alias("id"), F.col(mark).alias("fp"))
     prints = held.select(key.alias("key")).select("key.id", "key.fp")
-    found = classes(prints, "id")
+    found = classes(prints, "id", max_bits, links=links)
     counted = prints.groupBy("id", "fp").agg(F.count("*").alias("rows")).join(found.select("fp", "root"), "fp")
     # Null ids come last, so that a document without an id stays only if it must.
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("fp").alias("fp"))

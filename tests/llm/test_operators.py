@@ -12,6 +12,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from passagekit.llm import chat, decontaminate, langid, licence, linededup, mixture, quality, rans, simhash, warc
 from passagekit.llm.common import python_batches
 from passagekit.llm.components import components
@@ -347,6 +348,54 @@ def test_one_of_each_class_stays(spark, dirty_dir):
     assert Counter((r.doc_id, print_of(r.text)) for r in kept.collect()) == Counter((p[1], p[2]) for p in best.values())
 
 
+def _variants():
+    """Texts with 5 to 25 % of their words changed at one place, chains, and copies."""
+    rng = random.Random(5)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(80 + 10 * base)]
+        rows.append(" ".join(words))
+        for share in (0.05, 0.1, 0.15, 0.18, 0.22, 0.25):
+            cut = int(share * len(words))
+            rows.append(" ".join(words[:-cut] + [f"x{rng.randrange(10**6)}" for _ in range(cut // 3)]))
+            rows.append(" ".join([f"y{rng.randrange(10**6)}"] * (cut // 4) + words[cut:]))
+        rows.append(" ".join(words).upper())
+    boiler = " ".join(f"b{i}" for i in range(60))
+    return rows + [f"{boiler} own{i} line{i} of{i} text{i}" for i in range(20)] + [None, "", "one", "One", "a b c d e", "a b c d f"]
+
+
+def _similar_classes(texts, size, similarity):
+    sets = []
+    for text in texts:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    label = list(range(len(sets)))
+    for i, one in enumerate(sets):
+        for j, two in enumerate(sets[:i]):
+            if one == two or len(one & two) >= similarity * len(one | two) > 0:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+def test_one_of_each_by_similarity(spark):
+    """All pairs of texts of the wanted similarity are found, also beyond four bits."""
+    texts = _variants()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(docs, size=5, similarity=0.8).collect()}
+    assert kept == set(_similar_classes(texts, 5, 0.8))
+
+
+def test_pipeline_drops_near_copies_of_four_fifths(spark):
+    words = [f"w{i}" for i in range(204)]
+    near = words[:104] + [f"x{i}" for i in range(18)] + words[122:]
+    texts = [" ".join(words), " ".join(near)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bits = [simhash.fingerprint(simhash.shingle_hashes(t)) for t in texts]
+    assert (bits[0] ^ bits[1]).bit_count() > simhash.MAX_BITS
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [0]
+
+
 # -- licences -----------------------------------------------------------------------------
 
 
