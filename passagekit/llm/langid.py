@@ -173,15 +173,19 @@ def sample(
     """Windows and labels of at most ``per_language`` documents of each language.
 
     The documents are those with the smallest hash of their id among the ones that
-    are not held out; their windows are spread over the whole text.
+    have a letter and are not held out; a row that repeats with id, language and text
+    counts once. Their windows are spread over the whole text.
     """
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
-    ).where(~held_out("id") & F.col("lang").isNotNull())
-    ordered = rows.select("id", "lang", F.xxhash64(F.col("id").cast("string")).alias("order"))
-    chosen = top_k(ordered, ["lang"], [F.asc("order"), F.asc("id")], per_language).select("id", "lang").distinct()
+    ).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("print", F.xxhash64("text"))
+    # Only narrow rows meet; a repeated row must not use up the sample.
+    ordered = rows.select("id", "lang", "print", F.xxhash64(F.col("id").cast("string")).alias("order")).distinct()
+    order = [F.asc("order"), F.asc("id"), F.asc("print")]
+    chosen = top_k(ordered, ["lang"], order, per_language).select("id", "lang", "print")
     # Bounded by the number of languages times ``per_language``.
-    texts = rows.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
+    texts = rows.join(F.broadcast(chosen), ["id", "lang", "print"], "left_semi").dropDuplicates(["id", "lang", "print"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

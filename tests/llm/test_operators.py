@@ -492,6 +492,16 @@ def test_gradients_are_those_of_the_loss():
         assert abs(slope - grads[name][at]) < 2e-3 + 0.05 * abs(slope), name
 
 
+def test_sample_is_made_of_usable_rows(spark):
+    """Texts without a letter and repeated rows leave the sample to the others."""
+    rows = [(i, "aa", None if i % 2 else "12 34") for i in range(400)] + [(1_000 + i, "aa", f"text {i}") for i in range(20)]
+    one, two = [i for i in range(5_000, 5_100) if zlib.crc32(str(i).encode()) % langid.FOLDS][:2]
+    rows += [(one, "bb", f"other {i}") for i in range(30)] + [(two, "bb", "same")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    windows, labels = langid.sample(docs, "doc_id", "text", "lang", per_language=5)
+    assert Counter(labels) == {"aa": 5, "bb": 5} and len(windows) == 10
+
+
 # -- names ----------------------------------------------------------------------------------
 
 
