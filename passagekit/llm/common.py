@@ -55,3 +55,16 @@ def checkpointed(spark: SparkSession) -> SparkSession:
     """Make sure that ``checkpoint()`` has its folder."""
     shared_dir(spark, "checkpoint")
     return spark
+
+
+#: SQL for ``WITH``: the 256 steps of CRC-32, made by its rule. 3988292384 is its fixed polynomial.
+CRC_STEPS_SQL = """crc_steps AS (SELECT list(v ORDER BY i) AS steps FROM (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a string that is not null; needs ``crc_steps`` beside it."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode({text}))),
+           lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"""
