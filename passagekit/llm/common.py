@@ -63,8 +63,8 @@ CRC_STEPS_SQL = """crc_steps AS (SELECT list(v ORDER BY i) AS steps FROM (
   FROM (SELECT unnest(range(256)) AS i)))"""
 
 
-def crc32_sql(text: str) -> str:
-    """SQL for the unsigned CRC-32 of a string that is not null; needs ``crc_steps`` beside it."""
-    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode({text}))),
-           lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)),
+def crc32_sql(digits: str) -> str:
+    """SQL for the unsigned CRC-32 of bytes given as a column of hex digits; needs ``crc_steps`` beside it."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length({digits}) // 2),
+           lambda i: ('0x' || substr({digits}, 2 * i + 1, 2))::BIGINT)),
            lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"""

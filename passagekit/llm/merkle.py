@@ -327,8 +327,8 @@ SQL = f"""
 WITH RECURSIVE {CRC_STEPS_SQL},
 marked AS (
   SELECT *, row_number() OVER () AS id, coalesce('=' || source, '') AS g,
-         coalesce({crc32_sql("coalesce(doc_id::VARCHAR, '')")} % 2 = 0 AND text IS NOT NULL AND doc_id IS NOT NULL, FALSE) AS hit
-  FROM documents, crc_steps),
+         coalesce({crc32_sql("digits")} % 2 = 0 AND text IS NOT NULL AND doc_id IS NOT NULL, FALSE) AS hit
+  FROM (SELECT *, hex(coalesce(doc_id::VARCHAR, '')) AS digits FROM documents), crc_steps),
 hashed AS (
   SELECT id, doc_id, g, {_leaf_sql("text")} AS leaf, CASE WHEN hit THEN {_leaf_sql("replace(text, chr(10), '')")} END AS changed FROM marked),
 leaves AS (

@@ -82,8 +82,8 @@ SQL = f"""
 WITH {CRC_STEPS_SQL},
 sized AS (
   SELECT doc_id, coalesce('=' || source, '') AS s, octet_length(encode(coalesce(text, ''))) + {ROW_BYTES} AS size,
-         {crc32_sql("coalesce(text, '')")} AS text_crc32
-  FROM documents, crc_steps),
+         {crc32_sql("digits")} AS text_crc32
+  FROM (SELECT doc_id, source, text, hex(coalesce(text, '')) AS digits FROM documents), crc_steps),
 hashed AS (
   SELECT *, md5(concat_ws('|', '{SEED}', coalesce(doc_id::VARCHAR, '-'), size, text_crc32)) AS h FROM sized),
 ranked AS (
