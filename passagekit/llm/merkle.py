@@ -10,8 +10,8 @@ subtree with partial witnesses below it, gets the siblings it has in this run; t
 extends the witnesses of all leaves of the subtree at once, because they share the part
 above their subtree. The completed run is appended as a node of the next level.
 
-A group is cut into aligned blocks of ``SPAN`` leaves, a power of three, so that a block's
-root is a node of the tree. A task appends the leaves of one block at a time. The roots of
+A group is cut into aligned blocks whose number of leaves is a power of three, so that a
+block's root is a node of the tree. A task appends the leaves of one block at a time. The roots of
 the blocks are appended in further blocks until one node is left; then the witnesses of
 block roots are handed down and extend those of the blocks' leaves. Only rows of fixed
 size are shuffled (digests, one witness per block), and no group is in one task.
@@ -37,9 +37,8 @@ from passagekit.scale import broadcast_if_small, row_index, stage
 FANOUT = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
-#: Levels of a block, and its leaves.
-SPAN_LEVELS = 6
-SPAN = FANOUT**SPAN_LEVELS
+#: Levels of a block; it has FANOUT to this power of leaves.
+BLOCK_LEVELS = 6
 
 
 def digest(parts: Sequence[str]) -> str:
@@ -139,7 +138,7 @@ def _blocks(nodes: DataFrame) -> DataFrame:
 
 
 def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one block after another; a block is bounded by ``SPAN``."""
+    """The rows of one block after another; a block has a bounded number of rows."""
     key, held = None, []
     for batch in batches:
         keys = list(zip(batch.column("grp").to_pylist(), batch.column("block").to_pylist()))
@@ -156,30 +155,32 @@ def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _levels(n: int) -> int:
+def _levels(n: int, block_levels: int) -> int:
     """Levels that one block of a group of ``n`` nodes is raised."""
-    return height(n) if n <= SPAN else SPAN_LEVELS
+    return min(height(n), block_levels)
 
 
-def _placed(nodes: DataFrame, order: Sequence[str]) -> DataFrame:
+def _placed(nodes: DataFrame, order: Sequence[str], block_levels: int) -> DataFrame:
     """A stored table: ``nodes`` (grp, ...) with pos in the group, its size n, and block."""
     indexed = row_index(nodes, ["grp", *order], "at")
     groups = broadcast_if_small(indexed.groupBy("grp").agg(F.min("at").alias("first"), F.count("*").alias("n")))
     pos = F.col("at") - F.col("first")
-    return stage(indexed.join(groups, "grp").withColumn("pos", pos).withColumn("block", F.expr(f"pos div {SPAN}L")).drop("at", "first"), "tree-nodes")
+    block = F.expr(f"pos div {FANOUT**block_levels}L")
+    return stage(indexed.join(groups, "grp").withColumn("pos", pos).withColumn("block", block).drop("at", "first"), "tree-nodes")
 
 
-def _raised(nodes: DataFrame) -> DataFrame:
+def _raised(nodes: DataFrame, block_levels: int) -> DataFrame:
     """The roots of all blocks: a stored table of nodes for the next round."""
+    span = FANOUT**block_levels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _each_block(batches):
             n, block = rows["n"][0].as_py(), rows["block"][0].as_py()
-            made = Appender(_levels(n))
+            made = Appender(_levels(n, block_levels))
             for node in rows["node"].to_pylist():
                 made.append(Node(node))
             yield pa.RecordBatch.from_pylist([{
-                "grp": rows["grp"][0].as_py(), "node": made.close().digest, "pos": block, "n": -(-n // SPAN), "block": block // SPAN,
+                "grp": rows["grp"][0].as_py(), "node": made.close().digest, "pos": block, "n": -(-n // span), "block": block // span,
             }], _NODES)
 
     narrow = nodes.select("grp", "block", "pos", "n", "node")
@@ -189,19 +190,19 @@ def _raised(nodes: DataFrame) -> DataFrame:
 _NODES = pa.schema([("grp", pa.string()), ("node", pa.string()), ("pos", pa.int64()), ("n", pa.int64()), ("block", pa.int64())])
 
 
-def rounds(nodes: DataFrame) -> list[DataFrame]:
+def rounds(nodes: DataFrame, block_levels: int) -> list[DataFrame]:
     """Tables of nodes, from the leaves to those with one node per group."""
     tables = [nodes]
     while tables[-1].where(F.col("n") > 1).limit(1).count():
         # A group that has its root stays as it is: a block of one node is raised by no level.
-        tables.append(_raised(tables[-1]))
+        tables.append(_raised(tables[-1], block_levels))
     return tables
 
 
-def _witnesses(rows: pa.Table) -> tuple[list[Node], bytes]:
+def _witnesses(rows: pa.Table, block_levels: int) -> tuple[list[Node], bytes]:
     """The appended nodes of a block, and the witness of the block's root (its first row)."""
     rest, body = rows["path"][0].as_py(), rows.slice(1)
-    made = Appender(_levels(body["n"][0].as_py()))
+    made = Appender(_levels(body["n"][0].as_py(), block_levels))
     leaves = [Node(node) for node in body["node"].to_pylist()]
     for leaf in leaves:
         made.append(leaf)
@@ -209,7 +210,7 @@ def _witnesses(rows: pa.Table) -> tuple[list[Node], bytes]:
     return leaves, rest
 
 
-def handed_down(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def handed_down(nodes: DataFrame, above: DataFrame, block_levels: int) -> DataFrame:
     """(grp, pos, path): the witnesses of ``nodes``, from those of their blocks' roots.
 
     ``above`` (grp, pos, path) has one row per block.
@@ -217,7 +218,7 @@ def handed_down(nodes: DataFrame, above: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _each_block(batches):
-            leaves, rest = _witnesses(rows)
+            leaves, rest = _witnesses(rows, block_levels)
             paths = pa.array([packed(witness(leaf)) + rest for leaf in leaves], pa.binary())
             body = rows.slice(1)
             yield from pa.table([body["grp"], body["pos"], paths], schema=_PATHS).combine_chunks().to_batches()
@@ -237,7 +238,7 @@ def _with_paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
 
 def manifest(
     leaves: DataFrame, group_col: str = "source", order: Sequence[str] = ("doc_id",), leaf_col: str = "leaf",
-    check_col: str | None = None,
+    check_col: str | None = None, block_levels: int = BLOCK_LEVELS,
 ) -> DataFrame:
     """``leaves`` with subroot, root, proof_sha256 and folded_root.
 
@@ -252,28 +253,28 @@ def manifest(
     start = leaves.select(
         group.alias("grp"), *order_by, F.col(leaf_col).alias("node"), check.alias("check"), F.struct(*kept).alias("row")
     )
-    nodes = _placed(stage(start, "tree-leaves"), [*(f"o{i}" for i in range(len(order))), "node"])
+    nodes = _placed(stage(start, "tree-leaves"), [*(f"o{i}" for i in range(len(order))), "node"], block_levels)
     nodes = nodes.drop(*(f"o{i}" for i in range(len(order))))
-    tables = rounds(nodes)
+    tables = rounds(nodes, block_levels)
     # The groups' roots, as the leaves of the tree above: one row per group.
     roots = tables[-1].select(F.lit("").alias("grp"), F.col("grp").alias("of"), "node")
-    upper = _placed(roots, ["of"])
-    above = rounds(upper)
+    upper = _placed(roots, ["of"], block_levels)
+    above = rounds(upper, block_levels)
     top = above[-1].select("grp", "pos", F.lit(b"").alias("path"))
     for level in reversed(above[:-1]):
-        top = handed_down(level, top)
+        top = handed_down(level, top, block_levels)
     subroots = upper.select("pos", "of", F.col("node").alias("subroot")).join(top.select("pos", "path"), "pos")
     root = above[-1].select(F.col("node").alias("root"))
     paths = subroots.select(F.col("of").alias("grp"), F.lit(0).cast("long").alias("pos"), "path")
     for level in reversed(tables[1:-1]):
-        paths = handed_down(level, paths)
+        paths = handed_down(level, paths, block_levels)
     result = T.StructType([
         nodes.schema["grp"], nodes.schema["row"], T.StructField("proof_sha256", T.StringType()), T.StructField("folded_root", T.StringType()),
     ])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _each_block(batches):
-            leaves, rest = _witnesses(rows)
+            leaves, rest = _witnesses(rows, block_levels)
             shared, body = unpacked(rest), rows.slice(1)
             proofs, folds = [], []
             for leaf, changed in zip(leaves, body["check"].to_pylist()):

@@ -1,5 +1,5 @@
 """Importing this registers the queries of the subpackage."""
 
 from passagekit.llm import (  # noqa: F401
-    chat, decontaminate, langid, licence, linededup, merkle, mixture, quality, rans, sharding, simhash, warc,
+    alignment, chat, decontaminate, langid, licence, linededup, merkle, mixture, quality, rans, sharding, simhash, warc,
 )

@@ -27,11 +27,11 @@ def connection(folder):
 
 
 def test_all_are_registered():
-    assert [re.match(r"op(\d+)_|", n)[1] for n in sorted(NAMES, key=lambda n: (len(n.split("_")[0]), n))][:10] == [
-        str(i) for i in range(1, 11)
+    assert [re.match(r"op(\d+)_|", n)[1] for n in sorted(NAMES, key=lambda n: (len(n.split("_")[0]), n))][:13] == [
+        str(i) for i in range(1, 14)
     ]
     assert "pipeline" in NAMES and set(NAMES) - set(CHECKED) <= {
-        "op1_quality", "op3_token_files", "op5_simhash", "op10_language", "pipeline",
+        "op1_quality", "op3_token_files", "op5_simhash", "op10_language", "op11_alignment", "pipeline",
     }
 
 
