@@ -59,7 +59,16 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.stage_path = path
+    return written
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete a table that ``stage`` returned. Nothing that is still to run may read it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
