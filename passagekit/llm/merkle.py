@@ -327,7 +327,7 @@ def _leaf_sql(text: str) -> str:
 SQL = f"""
 WITH RECURSIVE {CRC_STEPS_SQL},
 marked AS (
-  SELECT *, row_number() OVER () AS id, coalesce('=' || source, '') AS g,
+  SELECT {', '.join(FIELDS)}, row_number() OVER () AS id, coalesce('=' || source, '') AS g,
          coalesce({crc32_sql("digits")} % 2 = 0 AND text IS NOT NULL AND doc_id IS NOT NULL, FALSE) AS hit
   FROM (SELECT *, hex(coalesce(doc_id::VARCHAR, '')) AS digits FROM documents), crc_steps),
 hashed AS (
