@@ -298,8 +298,9 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, models: tuple[str, str
 # -- merging and handing back -------------------------------------------------------------
 
 
-def _grouped(listed: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return listed.repartition(*keys).sortWithinPartitions(*keys, *order)
+def _grouped(listed: DataFrame, keys: list[str], order: list[str], groups: int) -> DataFrame:
+    """Rows of one key together. The rows are small but stand for files: a task per key."""
+    return listed.repartition(max(1, min(groups, 20_000)), *keys).sortWithinPartitions(*keys, *order)
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
@@ -335,7 +336,7 @@ def merge_runs(listed: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
         most = listed.groupBy("radix").count().agg(F.max("count")).first()[0] or 0
         groups = 1 if most <= fan_in else -(-2 * most // fan_in)
         keyed = listed.select("radix", "path", "place", F.pmod(F.xxhash64("path"), F.lit(groups)).cast("int").alias("grp"))
-        listed = stage(_grouped(keyed, ["radix", "grp"], ["path"]).mapInArrow(run, "radix int, path string, place long"), "merged-list")
+        listed = stage(_grouped(keyed, ["radix", "grp"], ["path"], RADIX * groups).mapInArrow(run, "radix int, path string, place long"), "merged-list")
         if groups == 1:
             return listed
 
@@ -369,7 +370,7 @@ def _handed_back(runs: DataFrame, counts: DataFrame) -> DataFrame:
             columns = [np.full(size, rows[0]["task"]), low + np.arange(size), best, sums]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["task", "at", "n_best", "count_sum"])
 
-    spread = _grouped(runs, ["path"], ["radix"])
+    spread = _grouped(runs, ["path"], ["radix"], runs.select("path").distinct().count())
     return spread.mapInArrow(run, "task long, at long, n_best long, count_sum long")
 
 
