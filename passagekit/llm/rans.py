@@ -32,7 +32,7 @@ from passagekit.llm.common import table
 from passagekit.llm.files import create, new_name, open_random, task_each
 from passagekit.llm.tokens import tokenizer
 from passagekit.plans.registry import query
-from passagekit.scale import shared_dir, stage
+from passagekit.scale import drop_stage, shared_dir, stage
 
 MAGIC = b"RANSIDS1"
 END_ID = 0
@@ -282,14 +282,12 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
     """A stored table (seq, id, ids, n) of all documents in ascending order of id.
 
     ``seq`` numbers the rows in that order, with gaps. ``ids`` are little-endian
-    integers of two bytes, or four for a large vocabulary.
+    integers of two bytes, or four for a large vocabulary. Texts are tokenised where
+    they are read; only ids are sorted, and rows that share an id by a hash of their ids,
+    so that many of them are spread too.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    placed = rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("seq", F.monotonically_increasing_id())
-    schema = T.StructType([
-        T.StructField("seq", T.LongType()), rows.schema["id"], T.StructField("ids", T.BinaryType()),
-        T.StructField("n", T.LongType()),
-    ])
+    schema = T.StructType([rows.schema["id"], T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(path)
@@ -302,11 +300,15 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
             step = np.dtype(width).itemsize
             packed = [bytes(raw[(e - n) * step:e * step]) + last for n, e in zip(counts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2), batch.column(0), pa.array(packed, pa.binary()), pa.array(counts + 1)],
-                ["seq", "id", "ids", "n"],
+                [batch.column(0), pa.array(packed, pa.binary()), pa.array(counts + 1)], ["id", "ids", "n"],
             )
 
-    return stage(placed.mapInArrow(run, schema), "token-ids")
+    coded = stage(rows.mapInArrow(run, schema), "token-ids")
+    hashed = coded.withColumn("hash", F.xxhash64("ids"))
+    placed = hashed.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash")
+    ordered = stage(placed.select(F.monotonically_increasing_id().alias("seq"), "id", "ids", "n"), "sorted-ids")
+    drop_stage(coded)
+    return ordered
 
 
 def frequency_table(ids: DataFrame, size: int) -> Table:

@@ -1,17 +1,25 @@
 """Token ids of whole texts, with one encoding per distinct word of a worker.
 
 Texts are cut before single spaces, where the tokenizer's own pre-tokenisation cuts
-too, and only chunks a worker has not met are given to the tokenizer.
+too, and only chunks a worker has not met are given to the tokenizer. Texts that hold an
+added token of the vocabulary are given to it whole.
 """
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks remembered by a worker before it starts anew.
+# The tasks of an executor already use all its cores; idle threads would only spin.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+#: Chunks and characters remembered by a worker; beyond, those met once are forgotten.
 REMEMBERED = 400_000
+REMEMBERED_CHARS = 16 << 20
 
 # What counts as white space.
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -23,32 +31,45 @@ _MIXED = f" {_WHITE}|{_WHITE} "
 class WordTokenizer:
     """Byte-level pair encoding of texts through a cache of words."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, chars: int = REMEMBERED_CHARS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Special strings inside a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
-        self.remembered = remembered
+        self.remembered, self.chars = remembered, chars
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         # One character of a byte-level token stands for one byte.
         self.bytes_of = np.zeros(max(names.values()) + 1, np.int64)
         for name, number in names.items():
             self.bytes_of[number] = len(name)
         self.size = len(self.bytes_of)
-        self._forget()
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.apart = "|".join([_MIXED, *map(re.escape, added)])
+        self._empty()
 
-    def _forget(self) -> None:
+    def _empty(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.met = np.zeros(1 << 12, np.int64)
+        self.used = self.held = 0
+
+    def _forget(self) -> None:
+        """Keep the chunks that were met again, if they are not too many."""
+        names = list(self.known)
+        keep = np.flatnonzero(self.met[:len(names)] > 1)
+        kept = [names[i] for i in keep.tolist()]
+        lengths, met = self.lengths[keep], self.met[keep]
+        ids = _gather(self.ids, self.starts[keep], lengths)
+        self._empty()
+        if len(kept) <= self.remembered // 2 and sum(map(len, kept)) <= self.chars // 2:
+            self._remember(kept, ids, lengths)
+            self.met[:len(kept)] = met
 
     def _remember(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         count, total = len(self.known), len(self.known) + len(words)
         while total > len(self.starts):
-            self.starts, self.lengths = (np.r_[x, np.zeros_like(x)] for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.met = (np.r_[x, np.zeros_like(x)] for x in (self.starts, self.lengths, self.met))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
         self.ids[self.used:self.used + len(ids)] = ids
@@ -56,6 +77,7 @@ class WordTokenizer:
         self.starts[count:total] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
         self.known.update(zip(words, range(count, total)))
+        self.held += sum(map(len, words))
 
     def _learn(self, words: list[str]) -> None:
         """Encode new chunks that begin with a space, all in one text."""
@@ -77,10 +99,10 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each text's ids."""
         texts = [t or "" for t in texts]
-        if len(self.known) > self.remembered:
+        if len(self.known) > self.remembered or self.held > self.chars:
             self._forget()
         plain = pa.array(texts, pa.string())
-        mixed = np.flatnonzero(pc.match_substring_regex(plain, _MIXED).to_numpy(zero_copy_only=False))
+        mixed = np.flatnonzero(pc.match_substring_regex(plain, self.apart).to_numpy(zero_copy_only=False))
         whole = {i: self.encode_whole(texts[i]) for i in mixed.tolist()}
         if whole:
             texts = ["" if i in whole else t for i, t in enumerate(texts)]
@@ -93,7 +115,9 @@ class WordTokenizer:
         new = [c for c in chunks if c not in self.known]
         if new:
             self._learn(new)
-        slots = np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))[codes]
+        slots = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        self.met[slots] += np.bincount(codes, minlength=len(slots))
+        slots = slots[codes]
         # The first chunk of a text has no space before it.
         heads = [t.split(" ", 1)[0] for t in texts]
         first = {h: None for h in heads if h and h not in self.known}
