@@ -1,26 +1,27 @@
 """Quality rules by distribution divergence, in DataFrame expressions only.
 
 A language reference is a histogram over character classes and one over the
-language's most common short words, both summed over all documents of the language.
-A document passes when, for at least one language, the Jensen-Shannon distances of
-its own two histograms stay below their limits. Texts too short for a histogram are
-not judged by it. A base rule rejects short texts and texts that repeat themselves.
-
-Defined results: null text is empty and fails the base rule; a null or rare language
-makes no reference; without any reference only the base rule decides; each input row
-gives one output row.
+language's most common words, both summed over all documents of the language; every
+language that has a word gets one, however rare it is. A document passes when the
+Jensen-Shannon distances of its own two histograms to the reference of its language stay
+below their limits. Texts too short for a histogram are not judged by it. A base rule
+rejects short texts and texts that repeat themselves.
+
+References are a table with a row per language and are joined, not collected.
+
+Defined results: null text is empty and fails the base rule; a document whose language is
+null or has no reference is judged by the base rule alone; each input row gives one
+output row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from passagekit.llm.common import SPACE, fresh, table, text_of
 from passagekit.plans.registry import query
+from passagekit.scale import broadcast_if_small, stage
 
 # Fixed values of the result contract.
 MIN_WORDS = 50
@@ -40,10 +41,12 @@ CLASSES = (
 OTHER = "other"
 
 COMMON_WORDS = 60
-COMMON_CHARS = 6
 
-#: A language needs this share of the documents, which bounds the references.
-MIN_SHARE = 0.005
+#: Arrays, a power of two, into which the common words of a language are dealt for look-ups.
+BUCKETS = 64
+
+#: References are broadcast up to this many languages, of some 1.5 KB each.
+BROADCAST_LANGUAGES = 10_000
 
 #: Guards: shorter texts are not judged by the histogram.
 MIN_CHARS_JUDGED = 200
@@ -53,15 +56,6 @@ MAX_CHAR_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.39
 
 
-@dataclass(frozen=True)
-class Reference:
-    """Shares of the character classes and of the common words of a language."""
-
-    language: str
-    classes: dict[str, float]
-    words: dict[str, float]
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -69,7 +63,7 @@ def let(value: Column, body) -> Column:
 
 def letter_words(text: Column) -> Column:
     """Lower-cased runs of letters (ASCII letters and all beyond ASCII)."""
-    return F.filter(F.split(F.lower(text), r"[\x00-\x60\x7B-\x7F]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[\x00-\x60\x7B-\x7F]+"), "")
 
 
 def class_counts(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -88,7 +82,13 @@ def class_counts(df: DataFrame, text_col: str, out: str) -> DataFrame:
     return df.withColumn(out, F.struct(*fields, sizes[-1].alias(OTHER), symbols)).drop(*left)
 
 
-def repeated_words(words: Column, window: int = 3) -> Column:
+def window_hashes(words: Column, window: int) -> Column:
+    """Hashes of all runs of ``window`` words; null for a text with fewer."""
+    hashes = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, window)]))
+    return F.when(F.size(words) >= window, F.slice(hashes, F.lit(1), F.size(words) - (window - 1)))
+
+
+def repeated_words(hashes: Column, window: int = 3) -> Column:
     """Words that lie in a window of words found twice or more."""
 
     def covered(hashes: Column) -> Column:
@@ -104,15 +104,10 @@ def repeated_words(words: Column, window: int = 3) -> Column:
             at.alias("last"), (acc["n"] + F.least(F.lit(window), at - acc["last"])).alias("n")
         )
         start = F.struct(F.lit(-window).alias("last"), F.lit(0).alias("n"))
-        total = F.aggregate(let(ordered, starts), start, step, lambda acc: acc["n"])
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(total)
-
-    def of(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - window)
-        hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(window)]))
-        return F.when(F.size(w) < window, F.lit(0)).otherwise(let(hashes, covered))
+        return F.aggregate(let(ordered, starts), start, step, lambda acc: acc["n"])
 
-    return let(words, of).cast("long")
+    again = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    return F.when(hashes.isNotNull() & again, covered(hashes)).otherwise(F.lit(0)).cast("long")
 
 
 def repeated_lines(text: Column) -> Column:
@@ -121,8 +116,8 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def term_counts(terms: Column) -> Column:
-    """array<struct<word, n>> of an array of words."""
+def term_counts(ordered: Column) -> Column:
+    """array<struct<word, n>> of a sorted array of words."""
 
     def runs(ordered: Column) -> Column:
         size = F.size(ordered)
@@ -134,57 +129,52 @@ def term_counts(terms: Column) -> Column:
             x["word"].alias("word"), (F.coalesce(F.get(f, k + 1)["at"], size) - x["at"]).alias("n")
         )))
 
-    return let(F.sort_array(terms), runs)
+    return runs(ordered)
+
+
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
+
+
+def in_bucket(buckets: Column, word: Column) -> Column:
+    """Whether ``buckets``, made by ``bucketed``, hold the word."""
+    return F.array_contains(F.get(buckets, _bucket(word)), word)
+
+
+def bucketed(words: Column) -> Column:
+    """An array of words dealt into arrays by hash, so that a look-up compares few of them."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.filter(words, lambda w: _bucket(w) == i))
 
 
 def language_references(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON_WORDS,
-    max_chars: int = COMMON_CHARS, min_share: float = MIN_SHARE,
-) -> list[Reference]:
-    """References from all documents, in one scan and one aggregation.
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON_WORDS
+) -> DataFrame:
+    """A stored table with a row per language that has a word.
 
-    At most ``1 / min_share`` languages with ``common`` words each come back.
+    ``classes`` holds the shares of the character classes, ``words`` the share of each of
+    the ``common`` most frequent words, ``covered`` their sum.
     """
-    texts = docs.select(F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
-    counted = class_counts(texts.where(F.col("lang").isNotNull()), "text", "chars")
+    texts = docs.select(F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text")).where(F.col("lang").isNotNull())
     classes = [name for name, _ in CLASSES] + [OTHER]
-    items = [
-        F.struct(F.lit("class").alias("kind"), F.lit(name).alias("key"), F.col("chars")[name].alias("n")) for name in classes
-    ]
-    words = letter_words(F.col("text"))
-    short = F.transform(
-        F.filter(words, lambda w: F.length(w) <= max_chars),
-        lambda w: F.struct(F.lit("word").alias("kind"), w.alias("key"), F.lit(1).cast("long").alias("n")),
+    sums = class_counts(texts, "text", "chars").groupBy("lang").agg(*[F.sum(F.col("chars")[c]).alias(c) for c in classes])
+    counts = stage(
+        texts.select("lang", F.explode(F.split(F.lower("text"), r"[\x00-\x60\x7B-\x7F]+")).alias("word")).where(F.col("word") != "").groupBy("lang", "word").agg(F.count("*").alias("n")),
+        "word-counts",
     )
-    whole = [
-        F.struct(F.lit("total").alias("kind"), F.lit("words").alias("key"), F.size(words).cast("long").alias("n")),
-        F.struct(F.lit("total").alias("kind"), F.lit("docs").alias("key"), F.lit(1).cast("long").alias("n")),
-    ]
-    sums = (
-        counted.select("lang", F.inline(F.concat(F.array(*items, *whole), short)))
-        .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    order = W.partitionBy("lang").orderBy(F.desc("n"), "word")
+    ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= common)
+    # At most ``common`` words per language.
+    words = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("top"))
+    chars = sum((F.col(c) for c in classes[1:]), F.col(classes[0]))
+    share = F.transform("top", lambda t: t["n"].cast("double") / F.col("total"))
+    made = sums.join(totals, "lang").join(words, "lang").select(
+        "lang", F.array(*[F.col(c).cast("double") / chars for c in classes]).alias("classes"),
+        bucketed(F.transform("top", lambda t: t["word"])).alias("buckets"),
+        F.map_from_arrays(F.transform("top", lambda t: t["word"]), share).alias("words"),
+        F.aggregate(share, F.lit(0.0), lambda a, x: a + x).alias("covered"),
     )
-    order = W.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    ranked = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(common, len(classes)))
-    rows = ranked.where((F.col("kind") != "word") | (F.col("rank") <= common)).collect()
-    return _references(rows, classes, min_share)
-
-
-def _references(rows, classes: Sequence[str], min_share: float) -> list[Reference]:
-    sums: dict[str, dict[str, dict[str, int]]] = {}
-    for row in rows:
-        sums.setdefault(row.lang, {}).setdefault(row.kind, {})[row.key] = row.n
-    documents = sum(s["total"]["docs"] for s in sums.values())
-    made = []
-    for lang, s in sorted(sums.items()):
-        chars, words = sum(s["class"].values()), s["total"]["words"]
-        if s["total"]["docs"] >= min_share * documents and chars and words:
-            made.append(Reference(
-                lang,
-                {name: s["class"].get(name, 0) / chars for name in classes},
-                {key: n / words for key, n in sorted(s.get("word", {}).items())},
-            ))
-    return made
+    return stage(made, "language-references")
 
 
 def _half(p: Column, q: Column) -> Column:
@@ -195,39 +185,35 @@ def _half(p: Column, q: Column) -> Column:
     return (left + right) / 2
 
 
-def char_distance(chars: Column, total: Column, reference: Reference) -> Column:
+def char_distance(chars: Column, total: Column, shares: Column) -> Column:
     """Jensen-Shannon distance (0 to 1) of the character classes."""
-    bins = [_half(chars[name] / total, F.lit(share)) for name, share in reference.classes.items()]
+    names = [name for name, _ in CLASSES] + [OTHER]
+    bins = [_half(chars[name].cast("double") / total, F.get(shares, F.lit(i))) for i, name in enumerate(names)]
     return F.sqrt(F.greatest(sum(bins[1:], bins[0]), F.lit(0.0)))
 
 
-def word_distance(terms: Column, total: Column, reference: Reference) -> Column:
+def word_distance(terms: Column, total: Column, shares: Column, covered: Column) -> Column:
     """Jensen-Shannon distance of the common words, all other words in one bin.
 
-    A common word that the text lacks adds half its share.
+    ``terms`` holds the common words that the text has. One that it lacks adds half its
+    share.
     """
-    if not reference.words:
-        return F.lit(0.0)
-    shares = F.create_map(*[F.lit(x) for pair in reference.words.items() for x in pair])
-    known = F.filter(
-        F.transform(terms, lambda t: F.struct((t["n"] / total).alias("p"), F.element_at(shares, t["word"]).alias("q"))),
-        lambda t: t["q"].isNotNull(),
-    )
+    known = F.transform(terms, lambda t: F.struct((t["n"] / total).alias("p"), F.element_at(shares, t["word"]).alias("q")))
     zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
     step = lambda acc, t: F.struct(
         (acc["d"] + _half(t["p"], t["q"])).alias("d"), (acc["p"] + t["p"]).alias("p"), (acc["q"] + t["q"]).alias("q")
     )
-    covered = sum(reference.words.values())
-    rest = lambda acc: acc["d"] + (F.lit(covered) - acc["q"]) / 2 + _half(
-        F.greatest(1 - acc["p"], F.lit(0.0)), F.lit(max(0.0, 1 - covered))
+    rest = lambda acc: acc["d"] + (covered - acc["q"]) / 2 + _half(
+        F.greatest(1 - acc["p"], F.lit(0.0)), F.greatest(1 - covered, F.lit(0.0))
     )
     return F.sqrt(F.greatest(F.aggregate(known, zero, step, rest), F.lit(0.0)))
 
 
 def assess(
     docs: DataFrame,
-    references: Sequence[Reference],
+    references: DataFrame,
     text_col: str = "text",
+    lang_col: str = "lang",
     out: str = "quality",
     max_char_distance: float = MAX_CHAR_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
@@ -236,56 +222,58 @@ def assess(
 ) -> DataFrame:
     """``docs`` with a struct ``out``: counts, distances and the verdict ``kept``.
 
-    ``language`` is the nearest reference, by the sum of both distances.
+    ``language`` is that of the reference, null without one, as are the distances.
     """
     plain = list(docs.columns)
     name = lambda base: fresh(plain, base)
-    chars, base, near = name("_chars"), name("_base"), name("_near")
-    df = class_counts(docs, text_col, chars)
-    text = text_of(text_col)
-    words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+    chars, base, key, ref = name("_chars"), name("_base"), name("_lang_key"), name("_reference")
+    text, lang = text_of(text_col), F.col(lang_col).cast("string")
+    # Many languages are joined by a shuffle, where rows without one are spread.
+    alone = F.concat(F.lit("-"), F.xxhash64(text).cast("string"))
+    keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("="), lang), alone))
+    side = references.select(F.concat(F.lit("="), "lang").alias(key), F.struct("lang", "classes", "words", "buckets", "covered").alias(ref))
+    df = class_counts(keyed.join(broadcast_if_small(side, BROADCAST_LANGUAGES), key, "left"), text_col, chars)
     total = sum((F.col(chars)[c] for c, _ in CLASSES[1:]), F.col(chars)[CLASSES[0][0]]) + F.col(chars)[OTHER]
-    common = sorted({w for r in references for w in r.words})
-
-    def terms(w: Column) -> Column:
-        known = F.filter(w, lambda x: x.isin(common)) if common else F.slice(w, 1, 0)
-        return F.struct(F.size(w).cast("long").alias("letters"), term_counts(known).alias("terms"))
-
-    counted = let(words, lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")
-    ))
+    reference = F.col(ref)
+    # Columns of their own, so that each is computed once and compiled where it can be.
+    words, hashes, letters, known = (name(x) for x in ("_words", "_windows", "_letters", "_known"))
+    df = df.withColumn(words, F.array_remove(F.split(text, f"[{SPACE}]+"), ""))
+    df = df.withColumn(hashes, window_hashes(F.col(words), 3))
+    df = df.withColumn(letters, F.when(reference.isNotNull(), letter_words(text)))
+    df = df.withColumn(known, F.sort_array(F.filter(letters, lambda w: in_bucket(reference["buckets"], w))))
     df = df.withColumn(base, F.struct(
-        counted.alias("counted"), repeated_lines(text).alias("n_dup_lines"), let(letter_words(text), terms).alias("found"),
+        F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(F.col(hashes)).alias("n_repeat_words")).alias("counted"),
+        repeated_lines(text).alias("n_dup_lines"),
+        F.when(reference.isNotNull(), F.struct(
+            F.size(letters).cast("long").alias("letters"), term_counts(F.col(known)).alias("terms")
+        )).alias("found"),
         total.cast("long").alias("chars"),
     ))
     n_words, n_repeat = F.col(base)["counted"]["n_words"], F.col(base)["counted"]["n_repeat_words"]
     found, size = F.col(base)["found"], F.col(base)["chars"]
     judged_chars = size >= max(min_chars, 1)
     judged_words = found["letters"] >= max(min_words, 1)
-    distances = [F.struct(
-        F.when(judged_chars, char_distance(F.col(chars), size, r)).otherwise(F.lit(0.0)).alias("char"),
-        F.when(judged_words, word_distance(found["terms"], found["letters"], r)).otherwise(F.lit(0.0)).alias("word"),
-        F.lit(r.language).alias("language"),
-    ) for r in references]
-    kind = "array<struct<char:double,word:double,language:string>>"
-    df = df.withColumn(near, F.array(*distances) if distances else F.array().cast(kind))
-    passing = F.exists(near, lambda d: (d["char"] <= max_char_distance) & (d["word"] <= max_word_distance))
-    nearest = F.array_min(F.transform(near, lambda d: F.struct(
-        (d["char"] + d["word"]).alias("sum"), d["char"].alias("char"), d["word"].alias("word"), d["language"].alias("language")
-    )))
+    by_char = F.when(judged_chars, char_distance(F.col(chars), size, reference["classes"])).otherwise(F.lit(0.0))
+    by_word = F.when(
+        judged_words, word_distance(found["terms"], found["letters"], reference["words"], reference["covered"])
+    ).otherwise(F.lit(0.0))
+    near = let(F.struct(by_char.alias("char"), by_word.alias("word")), lambda d: F.struct(
+        d["char"].alias("char"), d["word"].alias("word"),
+        ((d["char"] <= max_char_distance) & (d["word"] <= max_word_distance)).alias("passing"),
+    ))
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
-    verdict = F.struct(
+    verdict = let(F.when(reference.isNotNull(), near), lambda d: F.struct(
         n_words.alias("n_words"),
         (size - F.col(chars)["space"]).alias("word_chars"),
         F.col(chars)["symbols"].alias("n_symbols"),
         F.col(base)["n_dup_lines"].alias("n_dup_lines"),
         n_repeat.alias("n_repeat_words"),
         failed.alias("base_failed"),
-        (~failed & ((F.size(near) == 0) | passing)).alias("kept"),
-        nearest["language"].alias("language"),
-        nearest["char"].alias("char_distance"),
-        nearest["word"].alias("word_distance"),
-    )
+        (~failed & F.coalesce(d["passing"], F.lit(True))).alias("kept"),
+        reference["lang"].alias("language"),
+        d["char"].alias("char_distance"),
+        d["word"].alias("word_distance"),
+    ))
     kept = [c for c in plain if c != out]
     # Always true, but not known to be: a filter on the verdict then stays above it
     # instead of being pushed down with copies of all the expressions.
@@ -296,7 +284,7 @@ def assess(
 def without_rejected(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
     """The documents that pass, in their own columns."""
     out = fresh(docs.columns, "quality")
-    judged = assess(docs, language_references(docs, text_col, lang_col), text_col, out, **limits)
+    judged = assess(docs, language_references(docs, text_col, lang_col), text_col, lang_col, out, **limits)
     return judged.where(F.col(out)["kept"]).select(*docs.columns)
 
 
@@ -339,37 +327,31 @@ base AS (
   FROM split LEFT JOIN again ON again.r = split.r),
 languages AS (
   SELECT lang, [{', '.join(f'sum(bins[{i}])' for i in range(1, _BINS + 1))}] AS sums, sum(chars) AS chars, sum(len(letters)) AS words
-  FROM split WHERE lang IS NOT NULL GROUP BY lang
-  HAVING count(*) >= {MIN_SHARE} * (SELECT count(*) FROM split WHERE lang IS NOT NULL) AND sum(chars) > 0 AND sum(len(letters)) > 0),
+  FROM split WHERE lang IS NOT NULL GROUP BY lang HAVING sum(len(letters)) > 0),
 word_counts AS (
-  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(letters) AS word FROM split WHERE lang IS NOT NULL)
-  WHERE length(word) <= {COMMON_CHARS} GROUP BY lang, word),
+  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(letters) AS word FROM split WHERE lang IS NOT NULL) GROUP BY lang, word),
 common AS (
   SELECT c.lang, word, n / words AS q FROM word_counts c JOIN languages l ON l.lang = c.lang
   QUALIFY row_number() OVER (PARTITION BY c.lang ORDER BY n DESC, word) <= {COMMON_WORDS}),
-covered AS (SELECT l.lang, coalesce(sum(q), 0.0) AS all_q FROM languages l LEFT JOIN common c ON c.lang = l.lang GROUP BY l.lang),
+covered AS (SELECT lang, sum(q) AS all_q FROM common GROUP BY lang),
 terms AS (
-  SELECT r, word, count(*) / any_value(size) AS p
-  FROM (SELECT r, len(letters) AS size, unnest(letters) AS word FROM split) GROUP BY r, word),
+  SELECT r, lang, word, count(*) / any_value(size) AS p
+  FROM (SELECT r, lang, len(letters) AS size, unnest(letters) AS word FROM split) GROUP BY r, lang, word),
 met AS (
-  SELECT r, lang, sum({_half_sql('p', 'q')}) AS d, sum(p) AS p, sum(q) AS q FROM terms JOIN common ON common.word = terms.word
-  GROUP BY r, lang),
+  SELECT r, sum({_half_sql('p', 'q')}) AS d, sum(p) AS p, sum(q) AS q
+  FROM terms JOIN common ON common.word = terms.word AND common.lang = terms.lang GROUP BY r),
 distances AS (
   SELECT b.r, l.lang,
          CASE WHEN b.chars >= {MIN_CHARS_JUDGED} THEN sqrt(greatest(0.0, list_sum(list_transform(range(1, {_BINS + 1}),
            lambda i: {_half_sql('(b.bins[i] / b.chars)', '(l.sums[i] / l.chars)')})))) ELSE 0.0 END AS cd,
-         CASE WHEN len(b.letters) >= {MIN_WORDS_JUDGED} AND all_q > 0 THEN sqrt(greatest(0.0,
+         CASE WHEN len(b.letters) >= {MIN_WORDS_JUDGED} THEN sqrt(greatest(0.0,
            coalesce(m.d, 0.0) + (all_q - coalesce(m.q, 0.0)) / 2
            + {_half_sql('greatest(1 - coalesce(m.p, 0.0), 0.0)', 'greatest(1 - all_q, 0.0)')})) ELSE 0.0 END AS wd
-  FROM base b CROSS JOIN languages l JOIN covered v ON v.lang = l.lang LEFT JOIN met m ON m.r = b.r AND m.lang = l.lang),
-nearest AS (
-  SELECT r, bool_or(cd <= {MAX_CHAR_DISTANCE} AND wd <= {MAX_WORD_DISTANCE}) AS passing,
-         arg_min(struct_pack(lang := lang, cd := cd, wd := wd), struct_pack(s := cd + wd, cd := cd, wd := wd, lang := lang)) AS best
-  FROM distances GROUP BY r)
+  FROM base b JOIN languages l ON l.lang = b.lang JOIN covered v ON v.lang = l.lang LEFT JOIN met m ON m.r = b.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(passing, TRUE) AS kept, best.lang AS language,
-       round(best.cd, 6) AS char_distance, round(best.wd, 6) AS word_distance
-FROM base LEFT JOIN nearest ON nearest.r = base.r
+       NOT base_failed AND coalesce(cd <= {MAX_CHAR_DISTANCE} AND wd <= {MAX_WORD_DISTANCE}, TRUE) AS kept, d.lang AS language,
+       round(cd, 6) AS char_distance, round(wd, 6) AS word_distance
+FROM base LEFT JOIN distances d ON d.r = base.r
 """
 
 
