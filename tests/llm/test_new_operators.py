@@ -240,3 +240,44 @@ def test_written_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert [r.slot for r in spark.read.parquet(str(tmp_path / "out/shard=1")).collect()] == list(range(30))
     assert back.count() == 90 and back.columns == ["source", "doc_id", "slot", "shard"]
+
+
+# -- near-duplicates by similarity: hot shingles, many members ------------------------------
+
+
+@pytest.mark.parametrize("hot, members", [(3, 2), (10**9, 3)])
+def test_hot_shingles_and_many_members(spark, monkeypatch, hot, members):
+    """A third of the texts are near copies of one another; none of the ways loses a link."""
+    from passagekit.llm import similar, simhash
+
+    monkeypatch.setattr(similar, "HOT_ROWS", hot)
+    monkeypatch.setattr(similar, "MEMBERS", members)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1:]) for i in range(0, 120, 4)]
+    texts += [" ".join(f"u{i}-{j}" for j in range(40)) for i in range(50)] + texts[:7] + [None, "", "", "a b", "A b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(docs, size=5, similarity=0.8).collect()}
+
+    def shingles(t):
+        words = (t or "").lower().split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, one in enumerate(sets):
+        for j in range(i):
+            if one == sets[j] or 5 * len(one & sets[j]) >= 4 * len(one | sets[j]) > 0:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert kept == set(label)
+
+
+def test_added_tokens_are_those_of_the_library():
+    from passagekit.llm.tokens import WordTokenizer
+
+    plain, words = Tokenizer.from_file(LEFT), WordTokenizer(LEFT, remembered=5, chars=40)
+    texts = ["hello <|endoftext|> world", "a b", None, "a <|endoftext|>", "x" * 500 + " a b", "a b c d e f g", "a b c  d"]
+    for _ in range(3):
+        ids, counts = words.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in plain.encode(t or "", add_special_tokens=False).ids]
+        assert counts.tolist() == [len(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert words.held <= 2_000

@@ -433,27 +433,49 @@ def test_distances_are_those_of_the_definition(spark):
     rows = [("en", "The of the of and. " * 60), ("de", "der Der, die! 12 " * 60), ("en", "xyzzy ### " * 120), (None, "the " * 120)]
     docs = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(rows)], "doc_id long, lang string, text string")
     references = quality.language_references(docs)
-    assert [r.language for r in references] == ["de", "en"]
+    by_lang = {r.lang: r for r in references.collect()}
+    assert sorted(by_lang) == ["de", "en"]
     found = {r.doc_id: r.quality for r in quality.assess(docs, references).collect()}
-    for i, (_, text) in enumerate(rows):
+    for i, (lang, text) in enumerate(rows):
         letters = re.findall(r"[a-z\x80-\U0010ffff]+", text.lower())
         counts = {}
         rest = text
         for name, pattern in quality.CLASSES:
             counts[name] = len(rest) - len(rest := re.sub(pattern, "", rest))
         counts["other"] = len(rest)
-        near = []
-        for r in references:
-            chars = _jsd([counts[c] / len(text) for c in r.classes], list(r.classes.values()))
-            p = [letters.count(w) / len(letters) for w in r.words]
-            q = list(r.words.values())
-            near.append((chars, _jsd([*p, 1 - sum(p)], [*q, max(0.0, 1 - sum(q))]), r.language))
-        best = min(near, key=lambda d: d[0] + d[1])
-        assert found[i].language == best[2]
-        assert abs(found[i].char_distance - best[0]) < 1e-9 and abs(found[i].word_distance - best[1]) < 1e-9
+        assert found[i].language == lang
+        if lang is None:
+            assert (found[i].char_distance, found[i].word_distance) == (None, None)
+            continue
+        r = by_lang[lang]
+        chars = _jsd([n / len(text) for n in counts.values()], r.classes)
+        p = [letters.count(w) / len(letters) for w in r.words]
+        q = list(r.words.values())
+        near = _jsd([*p, 1 - sum(p)], [*q, max(0.0, 1 - sum(q))])
+        assert abs(found[i].char_distance - chars) < 1e-9 and abs(found[i].word_distance - near) < 1e-9
     assert words
 
 
+def test_a_rare_language_is_judged_by_its_own_reference(spark):
+    # One of a thousand documents is in another language, with long words.
+    prose = " ".join(f"the{i} river ran{i} over stones{i} and the{i} old mill{i} stood" for i in range(12))
+    rare = " ".join(f"Geschwindigkeitsbegrenzung und{chr(97 + i)} Mühlenbesitzer am{chr(97 + i)} Wasserfall" for i in range(25))
+    rows = [(i, "en", prose) for i in range(999)] + [(999, "de", rare)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = {r.doc_id: r.quality for r in quality.assess(docs, quality.language_references(docs)).where("doc_id >= 998").collect()}
+    assert found[999].kept and found[999].language == "de" and found[999].word_distance < 1e-6 and found[998].kept
+    words = next(r.words for r in quality.language_references(docs).collect() if r.lang == "de")
+    assert "geschwindigkeitsbegrenzung" in words
+
+
+def test_many_languages_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", 3)
+    text = " ".join(f"word{i} and some{i} more of{i} it" for i in range(40))
+    docs = spark.createDataFrame([(i, f"l{i % 9}" if i % 10 else None, text) for i in range(60)], "doc_id long, lang string, text string")
+    found = [r.quality for r in quality.assess(docs, quality.language_references(docs)).collect()]
+    assert len(found) == 60 and all(q.kept for q in found) and sum(q.language is None for q in found) == 6
+
+
 def test_quality_without_references(spark):
     docs = spark.createDataFrame([(1, None, " ".join(f"w{i}" for i in range(60)))], "doc_id long, lang string, text string")
     assert quality.without_rejected(docs).count() == 1
@@ -513,7 +535,7 @@ def test_results_replace_columns_of_their_name(spark, dirty_dir):
     made = {
         "passages": decontaminate.find_passages(docs, items), "mix": mixture.with_copies(docs, mix),
         "lines": linededup.drop_repeated_lines(docs), "licence": licence.find_licences(docs, licence.known_licences(spark)),
-        "language": langid.identify(docs, None), "quality": quality.assess(docs, []),
+        "language": langid.identify(docs, None), "quality": quality.assess(docs, quality.language_references(docs)),
         "fingerprint": simhash.with_fingerprints(docs),
     }
     for name, df in made.items():
