@@ -7,8 +7,10 @@ The scorers below are deterministic stand-ins that run without any model.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,15 +19,74 @@ from pyspark.sql import Column, DataFrame, functions as F
 from passagekit.functions.parse import MISSING_TEXT, parse_questions, parse_verdicts
 from passagekit.functions.prompts import question_prompt, verdict_prompt
 from passagekit.operators.verdicts import pending
-from passagekit.scale import stage, top_k
+from passagekit.scale import salt, shared_dir, stage, top_k
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
+#: Buckets of a run; each is committed when it is finished.
+RUN_BUCKETS = 16
 
-def apply_scorer(df: DataFrame, scorer: Scorer, columns: str) -> DataFrame:
-    """Rows of ``df`` with the scorer's ``columns`` added."""
+
+def apply_scorer(df: DataFrame, scorer: Scorer, columns: str, batch_rows: int | None = None) -> DataFrame:
+    """Rows of ``df`` with the scorer's ``columns`` added.
+
+    The scorer gets at most ``batch_rows`` rows at once, or as many as Spark sends.
+    """
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInPandas(scorer, ", ".join([*fields, columns]))
+
+    def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), batch_rows):
+                yield batch.iloc[start:start + batch_rows].reset_index(drop=True)
+
+    run = scorer if batch_rows is None else lambda batches: scorer(sliced(batches))
+    return df.mapInPandas(run, ", ".join([*fields, columns]))
+
+
+# -- runs that can be resumed -------------------------------------------------
+
+
+def committed(df: DataFrame, path: str) -> DataFrame:
+    """What the finished buckets of all runs at ``path`` hold, in the schema of ``df``.
+
+    Their names are few: buckets times runs.
+    """
+    spark = df.sparkSession
+    # Appending nothing creates the list for the first run.
+    listed = spark.createDataFrame([], "part string, bucket int")
+    listed.write.mode("append").parquet(f"{path}/commits")
+    parts = [row.part for row in spark.read.schema(listed.schema).parquet(f"{path}/commits").collect()]
+    if not parts:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*[f"{path}/rows/{part}" for part in parts])
+
+
+def run_in_buckets(
+    todo: DataFrame, path: str, keys: str | Sequence[str], work: Callable[[DataFrame], DataFrame], buckets: int = RUN_BUCKETS
+) -> DataFrame:
+    """What ``work`` makes of all rows of ``todo``, kept at ``path`` across runs.
+
+    Rows whose keys an earlier run has finished are skipped; null keys are equal here.
+    The others are dealt into buckets by their keys. Each bucket is written under a name
+    of its own, and counts from the moment a row in the list of commits names it. A run
+    that breaks off has lost no finished bucket, and what it left unfinished is never
+    read. ``work`` must keep the key columns.
+    """
+    spark = todo.sparkSession
+    names = [keys] if isinstance(keys, str) else list(keys)
+    result = work(todo)
+    done = committed(result, path).select(*[F.col(n).alias(f"_done_{n}") for n in names]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_done_{n}")) for n in names])
+    open_rows = todo.join(done, same, "left_anti").withColumn("_bucket", salt(names, buckets))
+    # Dealt once, so that a bucket reads its own rows only.
+    dealt = shared_dir(spark, "run-input")
+    open_rows.write.partitionBy("_bucket").parquet(dealt)
+    rows = spark.read.schema(open_rows.schema).parquet(dealt)
+    for bucket in sorted(row._bucket for row in rows.select("_bucket").distinct().collect()):
+        part = uuid.uuid4().hex
+        work(rows.where(F.col("_bucket") == bucket).drop("_bucket")).write.parquet(f"{path}/rows/{part}")
+        spark.createDataFrame([(part, bucket)], "part string, bucket int").write.mode("append").parquet(f"{path}/commits")
+    return committed(result, path)
 
 
 # -- reranking --------------------------------------------------------------
@@ -78,22 +139,17 @@ def hashing_encoder(text: str = "text", dims: int = 64) -> Scorer:
 
 
 def embed_batches(
-    df: DataFrame, path: str, encoder: Scorer, key: str, text: str = "text"
+    df: DataFrame, path: str, encoder: Scorer, key: str, text: str = "text", buckets: int = RUN_BUCKETS,
+    batch_rows: int | None = None,
 ) -> DataFrame:
     """Vectors of all rows of ``df`` in the table at ``path``.
 
-    Rows whose key is already stored are skipped, so an interrupted run goes
-    on where it stopped. Rows without text get no vector.
+    Rows whose key is already stored are skipped, and a run that broke off goes on with
+    the first bucket it had not finished. Rows without text get no vector.
     """
-    spark = df.sparkSession
-    schema = df.select(key, F.array().cast("array<float>").alias("vector")).schema
     todo = df.select(key, text).where(F.col(text).isNotNull())
-    # Appending nothing creates an empty table for the first run.
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
-    stored = spark.read.schema(schema).parquet(path)
-    fresh = apply_scorer(pending(todo, stored, key), encoder, "vector array<float>")
-    fresh.select(key, "vector").write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    work = lambda rows: apply_scorer(rows, encoder, "vector array<float>", batch_rows).select(key, "vector")
+    return run_in_buckets(todo, path, key, work, buckets)
 
 
 # -- verdicts ---------------------------------------------------------------
@@ -116,7 +172,7 @@ def overlap_judge(threshold: float = 0.5) -> Scorer:
     return judge
 
 
-def verify(flat: DataFrame, patents: DataFrame, scorer: Scorer) -> DataFrame:
+def verify(flat: DataFrame, patents: DataFrame, scorer: Scorer, batch_rows: int | None = None) -> DataFrame:
     """Verdicts for all paragraph rows of ``flat``.
 
     Verdicts already present are kept without calling the scorer; a paragraph
@@ -132,7 +188,7 @@ def verify(flat: DataFrame, patents: DataFrame, scorer: Scorer) -> DataFrame:
         "prompt",
         verdict_prompt(F.col("patent_title"), F.col("patent_abstract"), F.col("question"), F.col("paragraph_text")),
     ).drop("patent_title", "patent_abstract")
-    judged = parse_verdicts(apply_scorer(prompted, scorer, "response string")).select(*columns)
+    judged = parse_verdicts(apply_scorer(prompted, scorer, "response string", batch_rows)).select(*columns)
     missing = (
         open_rows.where(F.col("paragraph_text").isNull())
         .withColumn("contains_answer", F.lit("N"))
@@ -143,6 +199,15 @@ def verify(flat: DataFrame, patents: DataFrame, scorer: Scorer) -> DataFrame:
     return done.unionByName(missing).unionByName(judged)
 
 
+def verify_in_buckets(
+    flat: DataFrame, patents: DataFrame, scorer: Scorer, path: str, keys: Sequence[str], buckets: int = RUN_BUCKETS,
+    batch_rows: int | None = None,
+) -> DataFrame:
+    """As ``verify``, kept at ``path`` and resumed there after a failure."""
+    rows = flat.where(F.col("paragraph_id").isNotNull())
+    return run_in_buckets(rows, path, keys, lambda part: verify(part, patents, scorer, batch_rows), buckets)
+
+
 # -- questions --------------------------------------------------------------
 
 
