@@ -19,6 +19,7 @@ id is a conversation; no rows give no conversations.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,10 @@ OPEN, CLOSE = "### ", "</turn>\n"
 CONTROLS = ("###", "</turn>")
 ASSISTANT = "assistant"
 
+# An escape with what it stands for, or a control string.
+_STOP = re.compile(r"\\(\\|###|</turn>)?|###|</turn>")
+_STOP_OF_NAME = re.compile(r"\\(\\|###|</turn>|:)?|###|</turn>|:")
+
 
 class GrammarError(ValueError):
     pass
@@ -46,22 +51,18 @@ def escaped(text: str, name: bool = False) -> str:
 
 def _content(text: str, at: int, end: str, name: bool) -> tuple[str, int]:
     """Content from ``at`` up to the string ``end``, and the place behind it."""
-    controls = ("\\",) + CONTROLS + ((":",) if name else ())
     parts, start = [], at
-    while True:
-        stops = [p for c in controls if (p := text.find(c, at)) >= 0]
-        if not stops:
-            raise GrammarError("content has no end")
-        at = min(stops)
+    for stop in (_STOP_OF_NAME if name else _STOP).finditer(text, at):
+        at = stop.start()
         if text[at] != "\\":
             if not text.startswith(end, at):
                 raise GrammarError(f"control string at {at}")
             return "".join([*parts, text[start:at]]), at + len(end)
-        meant = next((c for c in controls if text.startswith(c, at + 1)), None)
-        if meant is None:
+        if stop[1] is None:
             raise GrammarError(f"stray escape at {at}")
-        parts += [text[start:at], meant]
-        at = start = at + 1 + len(meant)
+        parts += [text[start:at], stop[1]]
+        start = stop.end()
+    raise GrammarError("content has no end")
 
 
 def parse(text: str) -> list[tuple[str, str, int, int]]:
