@@ -5,7 +5,8 @@ response with the same payload. The reader inflates member after member with zli
 cuts the block by its content length, and verifies block and payload digests.
 
 Defined results: a null payload is empty; a null id or address is written as an empty
-field and read back as null; repeated rows become records of their own, and of equal
+field and read back as null; an address is written as it is given, but for line breaks,
+which come back as %0D and %0A; repeated rows become records of their own, and of equal
 payloads every row that carries the largest id is a response; a table without rows
 gives no archive. Damaged records raise.
 """
@@ -71,7 +72,7 @@ def record_bytes(record_id, url, payload: bytes, refers_to=None, revisit: bool =
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", _uri(record_id)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", quote(url or "", safe=":/?#[]@!$&'()*+,;=%~-._")),
+        ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Block-Digest", "sha1:" + sha1_base32(block)),
         ("WARC-Payload-Digest", "sha1:" + sha1_base32(payload)),
@@ -124,7 +125,7 @@ def parse_record(member: bytes) -> dict:
         raise ValueError("wrong payload digest")
     return {
         "record_id": _from_uri(fields["WARC-Record-ID"]),
-        "url": unquote(fields["WARC-Target-URI"]) or None,
+        "url": fields["WARC-Target-URI"] or None,
         "record_type": kind,
         "payload_digest": digest,
         "payload_bytes": full,
