@@ -22,14 +22,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from passagekit.llm.common import UPPER, ascii_lower, fresh, table, text_of
 from passagekit.plans.registry import query
+from passagekit.scale import drop_stage, stage
 
 #: Fixed value of the result contract: what separates words.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 
-#: Windows in one automaton. More are scanned for in several passes, so that a
-#: worker never holds more than this.
+#: Windows in one automaton, and bytes of them. More are scanned for in several passes
+#: with a stored table between, so that a worker never holds more than one automaton.
 MAX_WINDOWS = 2_000_000
+MAX_WINDOW_BYTES = 256 << 20
 
 _JOINED = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -181,23 +183,32 @@ def find_passages(
     window: int = WINDOW,
     out: str = "passages",
     max_windows: int = MAX_WINDOWS,
+    max_bytes: int = MAX_WINDOW_BYTES,
 ) -> DataFrame:
     """``docs`` with a struct ``out``: n_words, n_hit, hits (word numbers), items,
     spans (code-point ranges of the original text).
 
     The windows of the benchmark are gathered on the driver, at most
-    ``max_windows`` at a time. A larger benchmark is cut by window hash and
-    scanned for in several passes, each adding to what the last one found.
+    ``max_windows`` or ``max_bytes`` at a time. A larger benchmark is cut by window
+    hash and scanned for in several passes, each adding to what the last one stored.
     """
     docs = docs.drop(out)
     found = item_windows(items, item_id, item_text, window)
     # Twice the slices, so that an uneven cut stays below the bound as well.
-    total = found.count()
-    slices = 1 if total <= max_windows else 2 * -(-total // max_windows)
-    part = F.pmod(F.xxhash64("window"), F.lit(slices))
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("bytes")).first()
+    passes = max(-(-size.n // max_windows), -(-size.bytes // max_bytes))
+    slices = 1 if passes <= 1 else 2 * passes
+    if slices > 1:
+        found = stage(found, "windows")
+    part, stored = F.pmod(F.xxhash64("window"), F.lit(slices)), None
     for number in range(slices):
         chosen = [(row.window, row.n, row["items"]) for row in found.where(part == number).collect()]
         docs = _scan_once(docs, text_col, out, chosen)
+        if number < slices - 1:
+            docs = stage(docs, "scanned")
+            if stored is not None:
+                drop_stage(stored)
+            stored = docs
     return docs
 
 
