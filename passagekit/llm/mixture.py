@@ -3,10 +3,11 @@
 Tokens are summed per source, the total is shared out by weight, and the share of a
 source divided by its size is the repetition rate of its documents: floor(rate)
 copies, and one more with a probability equal to the fraction, drawn from a seeded
-hash of the document's id, so that reruns and lost executors give the same mix.
+hash of the document's id and text and of its number among equal rows, so that reruns and
+lost executors give the same mix, and repeated or missing ids draw on their own.
 
 Defined results: null text has size 0; documents without a source form the source
-null; repeated rows are documents of their own and share their id's draw; a source of
+null; repeated rows are documents of their own, each with its own draw; a source of
 size 0 gets the target 0; no documents give no rows.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from passagekit.llm.common import fresh, table, word_count
+from passagekit.llm.common import fresh, table, text_of, word_count
 from passagekit.plans.registry import query
 from passagekit.scale import broadcast_if_small, row_index, stage
 
@@ -69,48 +70,86 @@ def targets(sized: DataFrame, total: float | None = None, max_repeat: int = MAX_
     return sized.withColumn("target", share.cast("double"))
 
 
-def draw(id_col: str, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+def text_print(text: str | Column) -> Column:
+    return F.md5(text_of(text).cast("binary"))
+
+
+def numbered(docs: DataFrame, key: str, out: str) -> DataFrame:
+    """``docs`` with ``out``: 0, 1, ... among the rows of one ``key``.
+
+    Only the keys are shuffled to find the repeated ones. Rows of these are numbered by
+    their place in a sort over all of them, in which a hot key is spread over tasks.
+    """
+    several = docs.groupBy(key).agg(F.count("*").alias(out)).where(F.col(out) > 1).select(key)
+    several = stage(several, "repeated-keys")
+    if several.isEmpty():
+        return docs.withColumn(out, F.lit(0).cast("long"))
+    several = broadcast_if_small(several)
+    spread, place, first = (fresh([*docs.columns, out], name) for name in ("_spread", "_place", "_first"))
+    copies = docs.join(several, key, "left_semi").withColumn(spread, F.monotonically_increasing_id())
+    # Stored, so that a lost executor finds the same spread again.
+    copies = row_index(stage(copies, "repeated-rows"), [key, spread], place)
+    starts = broadcast_if_small(copies.groupBy(key).agg(F.min(place).alias(first)))
+    copies = copies.join(starts, key).withColumn(out, F.col(place) - F.col(first))
+    alone = docs.join(several, key, "left_anti").withColumn(out, F.lit(0).cast("long"))
+    return alone.unionByName(copies.select(*alone.columns))
+
+
+def draw(key: str, number: str, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on id and text (in ``key``), the number and the seed."""
+    parts = F.coalesce(F.col(f"{key}.id").cast("string"), F.lit("")), F.col(f"{key}.print"), F.col(number).cast("string")
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
 def with_copies(
     docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", source_col: str = "source",
-    seed: str = SEED, out: str = "mix",
+    seed: str = SEED, out: str = "mix", text_col: str = "text", text_print_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with a struct ``out``: source_size, target, copies.
 
-    The table of sources is joined by broadcast while it is small, else by a
+    ``text_print_col`` names a column that already holds ``text_print``; without that and
+    without ``text_col`` ids alone tell rows apart. The table of sources is joined by broadcast while it is small, else by a
     shuffle whose hot source Spark splits.
     """
     docs = docs.drop(out)
-    key = fresh(docs.columns, "_source_key")
-    plan = fresh([*docs.columns, key], out)
+    columns = docs.columns
+    key, row, number = (fresh(columns, name) for name in ("_source_key", "_row_key", "_number"))
+    plan = fresh([*columns, key, row, number], out)
+    if text_print_col is not None:
+        printed = F.col(text_print_col)
+    else:
+        printed = text_print(text_col) if text_col in columns else F.lit("")
+    row_key = F.struct(F.col(id_col).alias("id"), printed.alias("print"), F.col(source_col).alias("source"))
+    docs = numbered(docs.withColumn(row, row_key), row, number)
     # A null source is a source: both sides carry it as a struct field.
     shares = mix.select(F.struct("source").alias(key), F.struct("source_size", "target").alias("_share"))
     joined = docs.withColumn(key, F.struct(F.col(source_col).alias("source"))).join(
         broadcast_if_small(shares), key, "left"
     )
     rate = F.coalesce(F.try_divide(F.col("_share.target"), F.col("_share.source_size")), F.lit(0.0))
-    extra = (draw(id_col, seed) < rate - F.floor(rate)).cast("long")
+    extra = (draw(row, number, seed) < rate - F.floor(rate)).cast("long")
     made = F.struct(
         F.col("_share.source_size"), F.col("_share.target"), (F.floor(rate) + extra).cast("long").alias("copies")
     )
-    return joined.withColumn(plan, made).drop(key, "_share").withColumnRenamed(plan, out)
+    return joined.select(*columns, made.alias(plan)).withColumnRenamed(plan, out)
 
 
-def mixed(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED) -> DataFrame:
+def mixed(
+    docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED,
+    text_col: str = "text",
+) -> DataFrame:
     """Every document as often as the mix takes it, in its own columns."""
     out = fresh(docs.columns, "mix")
-    planned = with_copies(docs, mix, id_col, source_col, seed, out).where(F.col(f"{out}.copies") > 0)
+    planned = with_copies(docs, mix, id_col, source_col, seed, out, text_col).where(F.col(f"{out}.copies") > 0)
     times = F.explode(F.sequence(F.lit(1), F.col(f"{out}.copies")))
     return planned.select(*docs.columns, times.alias(out)).drop(out)
 
 
 SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+         md5(coalesce(text, '')) AS print FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          [5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INTEGER)] AS weight
@@ -126,11 +165,12 @@ level AS (
 planned AS (
   SELECT source, source_size, least(CAST({MAX_REPEAT} * source_size AS DOUBLE), share * weight) AS target
   FROM sources, level),
+counted AS (SELECT *, row_number() OVER (PARTITION BY doc_id, print, source) - 1 AS number FROM sized),
 rated AS (
   SELECT doc_id, size, source_size, target,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-         CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) / CAST(281474976710656 AS DOUBLE) AS draw
-  FROM sized JOIN planned ON planned.source IS NOT DISTINCT FROM sized.source)
+         CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || print || ':' || number), 1, 12)) AS BIGINT) / CAST(281474976710656 AS DOUBLE) AS draw
+  FROM counted JOIN planned ON planned.source IS NOT DISTINCT FROM counted.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM rated
@@ -147,8 +187,8 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     docs = table(spark, sf_dir, "documents")
     # The texts are read once; what follows needs their sizes only.
-    sized = stage(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
-    planned = with_copies(sized, contract_mix(sized, F.col("size")))
+    sized = stage(docs.select("doc_id", "source", word_count("text").alias("size"), text_print("text").alias("print")), "sizes")
+    planned = with_copies(sized, contract_mix(sized, F.col("size")), text_print_col="print")
     return planned.select(
         "doc_id", "size", "mix.source_size", "mix.target",
         (F.col("size") * F.col("mix.copies")).alias("taken"),
