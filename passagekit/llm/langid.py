@@ -12,18 +12,18 @@ without a language are never learned from; each input row gives one output row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from passagekit.llm.common import table
 from passagekit.plans.registry import query
-from passagekit.scale import top_k
+from passagekit.scale import broadcast_if_small, hash_sample, stage
 
 UNKNOWN = "und"
 
@@ -36,14 +36,16 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 REACH = max(WIDTHS)
 
-#: Bound of the training sample: documents per language and windows per document.
+#: Bound of the training sample: languages (those with most documents), documents per
+#: language and windows per document.
+SAMPLE_LANGUAGES = 500
 SAMPLE_DOCS = 300
 SAMPLE_WINDOWS = 3
 EPOCHS = 8
 BATCH = 64
 SEED = 7
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
@@ -168,11 +170,12 @@ def held_out(id_col: str | Column, folds: int = FOLDS) -> Column:
 
 def sample(
     docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = SAMPLE_DOCS,
-    per_document: int = SAMPLE_WINDOWS,
+    per_document: int = SAMPLE_WINDOWS, languages: int = SAMPLE_LANGUAGES,
 ) -> tuple[np.ndarray, list[str]]:
     """Windows and labels of at most ``per_language`` documents of each language.
 
-    The documents are those with the smallest hash of their id among the ones that
+    Of more than ``languages`` languages those with most documents are learned. The
+    documents are those with the smallest hash of id and text among the ones that
     have a letter and are not held out; a row that repeats with id, language and text
     counts once. Their windows are spread over the whole text.
     """
@@ -181,11 +184,13 @@ def sample(
     ).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("print", F.xxhash64("text"))
     # Only narrow rows meet; a repeated row must not use up the sample.
-    ordered = rows.select("id", "lang", "print", F.xxhash64(F.col("id").cast("string")).alias("order")).distinct()
-    order = [F.asc("order"), F.asc("id"), F.asc("print")]
-    chosen = top_k(ordered, ["lang"], order, per_language).select("id", "lang", "print")
-    # Bounded by the number of languages times ``per_language``.
-    texts = rows.join(F.broadcast(chosen), ["id", "lang", "print"], "left_semi").dropDuplicates(["id", "lang", "print"])
+    key = F.concat_ws(":", F.col("id").cast("string"), F.col("print").cast("string")).alias("key")
+    ordered = stage(rows.select("id", "lang", "print", key).distinct(), "labelled")
+    learned = ordered.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    # At most ``languages`` rows.
+    ordered = ordered.join(F.broadcast(learned.select("lang")), "lang", "left_semi")
+    chosen = broadcast_if_small(hash_sample(ordered, per_language, "key", "language", ["lang"]).select("id", "lang", "print"))
+    texts = rows.join(chosen, ["id", "lang", "print"], "left_semi").dropDuplicates(["id", "lang", "print"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
