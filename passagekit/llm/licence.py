@@ -17,7 +17,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from passagekit.llm.common import fresh, table, text_of
-from passagekit.llm.licence_texts import LICENCES
+from passagekit.llm.licence_texts import TERMS_END, TITLE, known_forms, long_texts, short_forms
 from passagekit.llm.quality import let
 from passagekit.plans.registry import query
 from passagekit.scale import broadcast_if_small
@@ -112,8 +112,9 @@ def digest(text: str | Column) -> Column:
 
 
 def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(licence_id, text) of the given texts, by default the included ones."""
-    return spark.createDataFrame(list((LICENCES if texts is None else texts).items()), "licence_id string, text string")
+    """(licence_id, text) of the given texts, by default the included ones in all forms."""
+    rows = known_forms() if texts is None else list(texts.items())
+    return spark.createDataFrame(rows, "licence_id string, text string")
 
 
 def find_licences(
@@ -140,6 +141,10 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def _sql_rows(rows: list[tuple[str, str]]) -> str:
+    return ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in rows)
+
+
 def _digest_sql(column: str) -> str:
     bare = f"regexp_replace(lower(coalesce({column}, '')), {_sql_text(COPYRIGHT_LINE)}, '', 'g')"
     words = f"'  ' || regexp_replace({bare}, {_sql_text(BETWEEN)}, '  ', 'g') || '  '"
@@ -150,10 +155,17 @@ def _digest_sql(column: str) -> str:
 
 
 SQL = f"""
-WITH known AS (
-  SELECT sha256({_digest_sql('text')}) AS digest, list_sort(list(licence_id)) AS licences
-  FROM (VALUES {', '.join(f'({_sql_text(k)}, {_sql_text(v)})' for k, v in LICENCES.items())}) v(licence_id, text)
-  GROUP BY 1),
+WITH long AS (
+  SELECT * FROM (VALUES {_sql_rows(long_texts())}) v(licence_id, text)),
+titled AS (SELECT * FROM long UNION ALL SELECT licence_id, regexp_replace(text, {_sql_text(TITLE)}, '') FROM long),
+forms AS (
+  SELECT * FROM titled
+  UNION ALL SELECT licence_id, regexp_replace(text, '{TERMS_END}[\\s\\S]*', '{TERMS_END}') FROM titled
+  UNION ALL SELECT licence_id, regexp_replace(text, '{TERMS_END}[\\s\\S]*', '') FROM titled
+  UNION ALL SELECT * FROM (VALUES {_sql_rows(short_forms())}) v(licence_id, text)),
+known AS (
+  SELECT sha256({_digest_sql('text')}) AS digest, list_sort(list(DISTINCT licence_id)) AS licences
+  FROM forms GROUP BY 1),
 docs AS (SELECT doc_id, {_digest_sql('text')} AS words FROM documents)
 SELECT doc_id, sha256(words) AS digest, coalesce(array_to_string(licences, ','), '') AS licences,
        licences IS NOT NULL AS is_licence

@@ -1,9 +1,12 @@
-"""Texts of common short licences, for the digest lookup.
+"""Texts of common licences, for the digest lookup.
 
-Fixed values: the wording is that of the licences. A caller may give a table of
-further texts; lines that name a holder or a year do not matter.
+Fixed values: the wording is that of the licences; the long ones lie in ``licences/``. A
+caller may give a table of further texts; lines that name a holder or a year do not matter.
 """
 
+import re
+from importlib.resources import files
+
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
@@ -89,3 +92,45 @@ appreciated but is not required.
 misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
 }
+
+#: Titles under which the short texts are found as well.
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+    "ISC": ("ISC License", "ISC License (ISC)"),
+    "MIT": ("The MIT License", "The MIT License (MIT)"),
+    "Zlib": ("zlib License", "The zlib/libpng License"),
+}
+
+#: The first paragraph of a text, and what ends the terms of some. Same in SQL.
+TITLE = r"^\s*(?:[^\n]*\S[^\n]*\n)+\s*\n"
+TERMS_END = "END OF TERMS AND CONDITIONS"
+_TITLED = ("MIT", "MIT-0")
+
+
+def short_forms() -> list[tuple[str, str]]:
+    """(id, text) of the short licences, with each title and without."""
+    out = []
+    for name, text in LICENCES.items():
+        bare = re.sub(TITLE, "", text, count=1) if name in _TITLED else text
+        out += [(name, text)] + [(name, bare)] * (bare != text)
+        out += [(name, f"{title}\n\n{bare}") for title in TITLES.get(name, ())]
+    return out
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """(id, text) of the long licences, as published."""
+    found = [f for f in files(__package__).joinpath("licences").iterdir() if f.name.endswith(".txt")]
+    return sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in found)
+
+
+def long_forms(text: str) -> list[str]:
+    """A text with and without its title, whole and up to the end of its terms."""
+    titled = [text, re.sub(TITLE, "", text, count=1)]
+    ended = [re.sub(f"{TERMS_END}[\\s\\S]*", end, t) for t in titled for end in (TERMS_END, "")]
+    return list(dict.fromkeys(titled + ended))
+
+
+def known_forms() -> list[tuple[str, str]]:
+    return short_forms() + [(name, form) for name, text in long_texts() for form in long_forms(text)]
