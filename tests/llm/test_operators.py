@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,8 +17,9 @@ import corpus_pipeline
 from passagekit.llm import chat, decontaminate, langid, licence, linededup, mixture, quality, rans, simhash, warc
 from passagekit.llm.common import python_batches
 from passagekit.llm.components import components
-from passagekit.llm.licence_texts import LICENCES
+from passagekit.llm.licence_texts import LICENCES, known_forms, long_texts
 from passagekit.llm.tokens import WordTokenizer
+from tools.compare import difference
 
 # -- chat ---------------------------------------------------------------------
 
@@ -36,6 +38,12 @@ def test_chat_comes_back(turns):
         assert whole[start:end] in (text, chat.escaped(text))
 
 
+def test_chat_reads_many_escapes_in_one_pass():
+    text = "### a</turn>\n\\" * 100_000
+    piece = chat.render("user", text)
+    assert chat.parse(piece)[0][:2] == ("user", text)
+
+
 def test_chat_leaves_harmless_text_alone():
     assert chat.render("user", "a ## b") == "### user: a ## b</turn>\n"
 
@@ -241,6 +249,25 @@ def test_spans_are_those_of_the_original(spark, dirty_dir):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len(found)
 
 
+@pytest.mark.parametrize("url", ["http://a/x%20y?q=%41", "http://b/ü?é=1#%C3%A9", "http://c/a b\tc", "", ":", " x "])
+def test_archives_keep_addresses(url):
+    record = warc.parse_record(zlib.decompress(warc.record_bytes("1", url, b"x"), 31))
+    assert record["url"] == (url or None) and record["payload"] == b"x"
+
+
+def test_passes_hold_one_automaton_each(spark):
+    words = [f"w{i}" for i in range(120)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "lone pair")], "item_id long, text string")
+    rows = [(1, "a " + " ".join(words[5:20]) + " b"), (2, "Lone, PAIR"), (3, None), (4, " ".join(words[:9]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = decontaminate.find_passages(docs, items)
+    for bound in ({"max_windows": 40}, {"max_bytes": 2_000}):
+        cut = decontaminate.find_passages(docs, items, **bound)
+        assert cut._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert cut.exceptAll(whole).isEmpty() and whole.exceptAll(cut).isEmpty()
+    assert {r.doc_id: r.passages.n_hit for r in whole.collect()} == {1: 15, 2: 2, 3: 0, 4: 0}
+
+
 # -- mixture -----------------------------------------------------------------------
 
 
@@ -273,6 +300,17 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
     assert out.columns == docs.columns and out.count() == copies
 
 
+def test_equal_and_missing_ids_draw_on_their_own(spark):
+    rows = [(None, "s0", f"t{i}") for i in range(400)] + [(1, "s1", f"u{i % 200}") for i in range(400)] + [(2, "s2", "same")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mix = mixture.contract_mix(docs, F.lit(1))
+    planned = mixture.with_copies(docs, mix)
+    taken = {r.source: (r.n, r.t) for r in planned.groupBy("source").agg(F.sum("mix.copies").alias("n"), F.max("mix.target").alias("t")).collect()}
+    assert all(abs(n - t) < 60 for n, t in taken.values()) and len(taken) == 3
+    again = mixture.with_copies(docs.repartition(5), mix)
+    assert planned.exceptAll(again).isEmpty() and planned.count() == len(rows)
+
+
 # -- near-duplicates -------------------------------------------------------------------
 
 
@@ -413,6 +451,28 @@ def test_licences_are_found_whatever_their_form(spark):
     assert found[len(forms) + 2].digest is None and found[len(forms) + 5].digest is not None
 
 
+def test_long_licences_and_forms_without_title(spark):
+    texts = dict(long_texts())
+    cut = texts["GPL-3.0"].index("END OF TERMS")
+    forms = {
+        "Apache-2.0": texts["Apache-2.0"], "GPL-3.0": texts["GPL-3.0"][texts["GPL-3.0"].index("Copyright"):cut].upper(),
+        "MIT": LICENCES["MIT"].split("\n\n", 1)[1], "ISC": "ISC License\n\nCopyright (c) 2020 x\n\n" + LICENCES["ISC"],
+        "MPL-2.0": re.sub(r"\s+", " ", texts["MPL-2.0"]), "GPL-2.0": texts["GPL-2.0"],
+    }
+    docs = spark.createDataFrame([*forms.items(), ("none", texts["GPL-2.0"][:9_000])], "id string, text string")
+    found = {r.id: r.licence.licences for r in licence.find_licences(docs, licence.known_licences(spark)).collect()}
+    assert found == {name: [name] for name in forms} | {"none": []}
+
+
+def test_known_licences_match_sql(spark, tmp_path):
+    rows = list(enumerate(text for _, text in known_forms()))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = duckdb.connect()
+    found.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert difference(licence.op4_licence(spark, str(tmp_path)), found, licence.SQL) is None
+    assert licence.op4_licence(spark, str(tmp_path)).where("NOT is_licence").isEmpty()
+
+
 def test_licences_with_one_digest_are_listed(spark):
     known = spark.createDataFrame([("b", "Some text."), ("a", "some TEXT"), ("a", "some text"), (None, "x"), ("c", None)], "licence_id string, text string")
     docs = spark.createDataFrame([(1, "SOME text!")], "doc_id long, text string")
@@ -497,7 +557,7 @@ def test_training_is_deterministic_and_learns():
     one, two = langid.train(rows, labels), langid.train(rows, labels)
     assert np.array_equal(one.kernel, two.kernel)
     assert langid.predict(one, ["abba baba", "zyx", None, "12 34", ""])[:2][0][0] == "a"
-    assert [p[0] for p in langid.predict(one, ["zyx yzzy", None, "12", ""])] == ["x", "und", "und", "und"]
+    assert [p[0] for p in langid.predict(one, ["zyx yzzy", None, "12", "", "½ ² Ⅻ 12"])] == ["x", "und", "und", "und", "und"]
 
 
 def test_gradients_are_those_of_the_loss():
