@@ -46,6 +46,9 @@ BLOCK_IDS = LANES * STEPS
 BLOCKS_AT_ONCE = 64
 FILE_IDS = 64 << 20
 
+#: Bytes of text that are tokenised at once.
+GROUP_BYTES = 8 << 20
+
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -278,6 +281,18 @@ class Reader:
 # -- Spark ---------------------------------------------------------------------------
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``size`` bytes: fewer look-ups of equal pieces."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int = END_ID) -> DataFrame:
     """A stored table (seq, id, ids, n) of all documents in ascending order of id.
 
@@ -292,12 +307,12 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(path)
         width = "<u2" if max(words.size, end_id + 1) <= 1 << 16 else "<u4"
-        for batch in batches:
-            ids, counts = words.encode(batch.column(1).to_pylist())
+        step = np.dtype(width).itemsize
+        last = np.array([end_id], width).tobytes()
+        for batch in _gathered(batches):
+            ids, counts = words.encode(batch.column(1))
             ends = np.cumsum(counts)
-            last = np.array([end_id], width).tobytes()
             raw = memoryview(ids.astype(width).tobytes())
-            step = np.dtype(width).itemsize
             packed = [bytes(raw[(e - n) * step:e * step]) + last for n, e in zip(counts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(packed, pa.binary()), pa.array(counts + 1)], ["id", "ids", "n"],
