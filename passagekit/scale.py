@@ -51,14 +51,14 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+def stage(df: DataFrame, label: str = "stage", compression: str = "snappy") -> DataFrame:
     """Stage boundary: write a Parquet table to the shared folder, read it back.
 
     Later joins see real file sizes, and a lost executor re-reads the table
     instead of recomputing everything before it.
     """
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written.stage_path = path
     return written
