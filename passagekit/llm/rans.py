@@ -318,10 +318,10 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
                 [batch.column(0), pa.array(packed, pa.binary()), pa.array(counts + 1)], ["id", "ids", "n"],
             )
 
-    coded = stage(rows.mapInArrow(run, schema), "token-ids")
+    coded = stage(rows.mapInArrow(run, schema), "token-ids", "zstd")
     hashed = coded.withColumn("hash", F.xxhash64("ids"))
     placed = hashed.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash")
-    ordered = stage(placed.select(F.monotonically_increasing_id().alias("seq"), "id", "ids", "n"), "sorted-ids")
+    ordered = stage(placed.select(F.monotonically_increasing_id().alias("seq"), "id", "ids", "n"), "sorted-ids", "zstd")
     drop_stage(coded)
     return ordered
 
