@@ -281,3 +281,18 @@ def test_added_tokens_are_those_of_the_library():
         assert ids.tolist() == [i for t in texts for i in plain.encode(t or "", add_special_tokens=False).ids]
         assert counts.tolist() == [len(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
     assert words.held <= 2_000
+
+
+def test_tokens_of_pieces_cut_at_marks():
+    from passagekit.llm.tokens import WordTokenizer
+
+    plain, words = Tokenizer.from_file(LEFT), WordTokenizer(LEFT, remembered=20)
+    texts = [
+        "Avec,\nAvec.\n\nAvec\n \nz", "a,b.c;d:e!f?g\nh", "é,é.\né\n\né", "don't,'s don'\nt", "x\n", "\nx", "\n\nx", " x", "x ",
+        "1,2.\n3", "日,\n日.\nz", "a\x00b\nc", "a\x0b\nb", ".\na\nb\nc", "word" * 3_000 + ",\nword", "", None,
+    ]
+    for batch in (texts, texts[::-1], [" ".join(t or "" for t in texts)]):
+        ids, counts = words.encode(batch)
+        wanted = [plain.encode(t or "", add_special_tokens=False).ids for t in batch]
+        assert counts.tolist() == [len(w) for w in wanted]
+        assert ids.tolist() == [i for w in wanted for i in w]
