@@ -536,6 +536,22 @@ def test_many_languages_are_joined_by_a_shuffle(spark, monkeypatch):
     assert len(found) == 60 and all(q.kept for q in found) and sum(q.language is None for q in found) == 6
 
 
+@pytest.mark.parametrize("block", [1, 16])
+def test_every_document_is_compared_with_every_language(spark, monkeypatch, block):
+    monkeypatch.setattr(quality, "BLOCK_LANGUAGES", block)
+    prose = {lang: " ".join(f"{w}{i}" for i in range(60) for w in words) for lang, words in
+             (("en", ("the", "river", "stone")), ("de", ("der", "fluss", "und")), ("fr", ("le", "et", "pierre")))}
+    rows = [(lang, prose[lang]) for lang in prose for _ in range(20)]
+    # A wrong label, no label, and junk without and with a label.
+    junk = " ".join(f"q{i} z{i} k{i}" for i in range(60))
+    rows += [("en", prose["de"]), (None, prose["fr"]), (None, junk), ("fr", junk)]
+    docs = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(rows)], "doc_id long, lang string, text string")
+    found = {r.doc_id: r.quality for r in quality.assess(docs, quality.language_references(docs)).collect()}
+    assert [found[i].kept for i in range(60, 64)] == [True, True, False, False] and all(found[i].kept for i in range(60))
+    assert [(found[i].language, found[i].nearest, found[i].n_passing) for i in (60, 61)] == [("en", "de", 1), (None, "fr", 1)]
+    assert found[62].n_passing == 0 and found[62].char_distance is None and len(found) == 64
+
+
 def test_quality_without_references(spark):
     docs = spark.createDataFrame([(1, None, " ".join(f"w{i}" for i in range(60)))], "doc_id long, lang string, text string")
     assert quality.without_rejected(docs).count() == 1
