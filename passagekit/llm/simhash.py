@@ -235,6 +235,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def print_pairs(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(m, c), stored: pairs of keys whose fingerprints are near, found through the pivot tables.
+
+    ``prints`` is a stored table (fp, print) of distinct rows. The keys of one fingerprint
+    meet the smallest of them, and these meet along the links of the fingerprints, so
+    there are never more pairs than rows.
+    """
+    known = stage(prints.groupBy("print").agg(F.min("fp").alias("head")), "print-heads")
+    links = find_links(known.select(F.col("print").alias("fp")), known.count(), max_bits)
+    links = stage(links.distinct(), "print-links")
+    heads = lambda name: known.toDF(name, f"{name}_head")
+    across = links.join(heads("a"), "a").join(heads("b"), "b").select(F.col("a_head").alias("fp"), F.col("b_head").alias("head"))
+    pairs = prints.join(known, "print").select("fp", "head").unionByName(across).where(F.col("fp") != F.col("head"))
+    return stage(pairs.select(F.greatest("fp", "head").alias("m"), F.least("fp", "head").alias("c")).distinct(), "print-pairs")
+
+
 def one_of_each(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, max_bits: int = MAX_BITS,
     similarity: float | None = None,
@@ -242,14 +258,25 @@ def one_of_each(
     """One document of each class of near-duplicates: that with the smallest id.
 
     With ``similarity``, near-duplicates are texts whose sets of shingles have at least
-    that Jaccard similarity, and ``max_bits`` does not matter. What goes is usually
-    little, and is sent to all workers while it is.
+    that Jaccard similarity: pairs with fingerprints within ``max_bits`` are found through
+    the pivot tables and compared exactly, then an exact search adds those whose
+    fingerprints differ more. What goes is usually little, and is sent to all workers
+    while it is.
     """
     mark = fresh(docs.columns, "fingerprint")
-    made = with_fingerprints(docs, text_col, mark, size) if similarity is None else with_keys(docs, text_col, mark, size)
-    held = stage(made, "with-fingerprints")
+    also = fresh([*docs.columns, mark], "print")
+    if similarity is None:
+        made = with_fingerprints(docs, text_col, mark, size)
+    else:
+        made = with_keys(docs, text_col, mark, size, also, fingerprint)
+    held = stage(made, "with-fingerprints", "zstd")
     texts = held.select(F.col(mark).alias("fp"), F.col(text_col).alias("text"))
-    links = None if similarity is None else lambda total: similar_links(texts, total, size, similarity)
+
+    def similar(total: int) -> DataFrame:
+        known = stage(held.select(F.col(mark).alias("fp"), F.col(also).alias("print")).where(F.col("fp") != 0).distinct(), "prints")
+        return similar_links(texts, total, size, similarity, print_pairs(known, max_bits))
+
+    links = None if similarity is None else similar
     key = F.struct(F.col(id_col).alias("id"), F.col(mark).alias("fp"))
     prints = held.select(key.alias("key")).select("key.id", "key.fp")
     found = classes(prints, "id", max_bits, links=links)
@@ -266,7 +293,7 @@ def one_of_each(
     name = fresh([*docs.columns, mark], "_key")
     keyed = held.withColumn(name, key)
     gone = judged.where(~F.col("stays")).select(F.col("key").alias(name))
-    left = keyed.join(broadcast_if_small(gone), name, "left_anti")
+    left = keyed.drop(also).join(broadcast_if_small(gone), name, "left_anti")
     several = stage(judged.where(F.col("stays") & (F.col("rows") > 1)).select(F.col("key").alias(name)), "several")
     if not several.isEmpty():
         # The same id and fingerprint more than once: one of these rows stays.

@@ -8,7 +8,8 @@ pairs; shingles that are common in a sample come last, which keeps the groups sh
 first shingle that two sets share is at places which leave enough shingles behind them in
 both; pairs that meet at other places are not compared there.
 
-A group is compared in rounds. In each, a member meets one centre of its group; from the
+Pairs that another method offers, such as near fingerprints, are compared first, and
+what they connect need not meet again. A group is compared in rounds. In each, a member meets one centre of its group; from the
 second on only groups that the links so far leave apart are looked at, and another order
 chooses their centres. At last, members that are still apart meet each other. Copies of
 one text are connected by the first round, so a large class is not compared pair by pair.
@@ -24,7 +25,7 @@ nothing but itself; a text with fewer words than a shingle is one shingle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -61,16 +62,22 @@ def key_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes()) if len(shingles) else 0
 
 
-def with_keys(docs: DataFrame, text_col: str, out: str, size: int) -> DataFrame:
-    """``docs`` with the key of the text's set as a signed 64-bit integer."""
-    source = docs.drop(out)
-    schema = T.StructType([*source.schema, T.StructField(out, T.LongType())])
+def with_keys(
+    docs: DataFrame, text_col: str, out: str, size: int, print_out: str, fingerprint: Callable[[np.ndarray], int]
+) -> DataFrame:
+    """``docs`` with the key of the text's set and the fingerprint of its shingles, as signed 64-bit integers."""
+    source = docs.drop(out, print_out)
+    schema = T.StructType([*source.schema, T.StructField(out, T.LongType()), T.StructField(print_out, T.LongType())])
     at = source.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([key_of(shingle_set(t.as_py(), size)) for t in batch.column(at)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], [f.name for f in schema])
+            keys, prints = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64)
+            for i, text in enumerate(batch.column(at)):
+                hashes = shingle_hashes(text.as_py(), size)
+                keys[i], prints[i] = key_of(np.unique(hashes)), fingerprint(hashes)
+            made = [pa.array(keys.view(np.int64)), pa.array(prints.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [f.name for f in schema])
 
     return source.mapInArrow(run, schema)
 
@@ -228,13 +235,17 @@ def shared_prefixes(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return stage(met.unionByName(rows.join(centres, "token")), "met")
 
 
-def similar_links(texts: DataFrame, total: int, size: int, similarity: float | str) -> DataFrame:
+def similar_links(
+    texts: DataFrame, total: int, size: int, similarity: float | str, candidates: DataFrame | None = None
+) -> DataFrame:
     """(a, b): links that connect all sets of at least ``similarity``.
 
     ``texts`` is a stored table (fp, text) with the key of each text's set, repeats
-    included; ``total`` is the number of keys.
+    included; ``total`` is the number of keys. The stored pairs (m, c) of ``candidates``
+    are compared first; what they connect is not compared again.
     """
     spark, wanted = texts.sparkSession, Fraction(str(similarity))
+    done, links = candidates, None if candidates is None else compared(candidates, texts, size, wanted)
     common, seen, every = common_shingles(texts, size, total)
     shared = spark.sparkContext.broadcast((common, seen))
     rows = stage(_shingle_rows(texts, size, lambda s: prefix(s, wanted, *shared.value)), "prefixes")
@@ -252,13 +263,16 @@ def similar_links(texts: DataFrame, total: int, size: int, similarity: float | s
 
     drop_stage(rows)
     near = met.where((F.col("fp") != F.col("c")) & may(("n", "place"), ("c_n", "c_place"))).select("fp", "c")
-    done, links = None, None
+    if links is not None:
+        near = not_connected(near, links)
     for turn in range(1, CENTRES + 1):
         # Two sets may be centres of each other.
         pairs = near.select(F.greatest("fp", "c").alias("m"), F.least("fp", "c").alias("c")).distinct()
         pairs = stage(pairs if done is None else pairs.join(done, ["m", "c"], "left_anti"), "pairs")
         found = compared(pairs, texts, size, wanted)
         done, links = (pairs, found) if done is None else (done.unionByName(pairs), links.unionByName(found))
+        if turn > 1:
+            drop_stage(left)
         left = still_apart(met, links)
         if turn == CENTRES or left.isEmpty():
             break
@@ -269,6 +283,7 @@ def similar_links(texts: DataFrame, total: int, size: int, similarity: float | s
             F.col("centre.place").alias("c_place"), F.col("centre.root").alias("c_root"),
         )
         near = meeting.where((F.col("root") != F.col("c_root")) & may(("n", "place"), ("c_n", "c_place")))
+    drop_stage(met)
     one, two = (left.select("token", *[F.col(n).alias(f"{n}_{side}") for n in ("fp", "n", "place", "root")]) for side in "ab")
     crossing = one.join(two, "token").where(
         (F.col("fp_a") > F.col("fp_b")) & (F.col("root_a") != F.col("root_b"))
@@ -284,9 +299,19 @@ def similar_links(texts: DataFrame, total: int, size: int, similarity: float | s
     most = (F.col("shared") + after) * (wanted.numerator + wanted.denominator)
     rest = pairs.where(most >= (F.col("n_a") + F.col("n_b")) * wanted.numerator).select("m", "c")
     rest = stage(rest.join(done, ["m", "c"], "left_anti"), "pairs")
+    drop_stage(left)
     return links.unionByName(compared(rest, texts, size, wanted))
 
 
+def not_connected(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (fp, c) that ``links`` leave in different components."""
+    roots = broadcast_if_small(components(links))
+    for name in ("fp", "c"):
+        pairs = pairs.join(roots.toDF(name, f"{name}_root"), name, "left")
+    apart = F.coalesce("fp_root", "fp") != F.coalesce("c_root", "c")
+    return pairs.where(apart).select("fp", "c")
+
+
 def still_apart(met: DataFrame, links: DataFrame) -> DataFrame:
     """(token, fp, n, place, root): stored rows of tokens whose sets are not all connected."""
     roots = components(links).select(F.col("node").alias("fp"), "root")

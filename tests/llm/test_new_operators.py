@@ -296,3 +296,19 @@ def test_tokens_of_pieces_cut_at_marks():
         wanted = [plain.encode(t or "", add_special_tokens=False).ids for t in batch]
         assert counts.tolist() == [len(w) for w in wanted]
         assert ids.tolist() == [i for w in wanted for i in w]
+
+
+def test_pipeline_offers_the_pairs_of_near_fingerprints_first(spark, monkeypatch):
+    """Texts with near fingerprints meet through the pivot tables before the exact search."""
+    from passagekit.llm import similar, simhash
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:399], "other"]), " ".join(f"x{i}" for i in range(300)), " ".join(f"x{i}" for i in range(300, 600))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t, 5)) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 < (prints[2] ^ prints[3]).bit_count()
+    offered, links = [], similar.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda *args: (offered.append(args[4].collect()), links(*args))[1])
+    kept = simhash.one_of_each(docs, size=5, similarity=0.8).select("doc_id").collect()
+    keys = sorted(np.array([similar.key_of(similar.shingle_set(t, 5)) for t in texts[:2]], np.uint64).view(np.int64).tolist())
+    assert [sorted(r) for r in offered[0]] == [keys] and sorted(r.doc_id for r in kept) == [0, 2, 3]
