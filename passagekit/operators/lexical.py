@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.window import Window as W
 
+from passagekit.functions.lexical import Weights, chunks
 from passagekit.functions.text import overlap, tokens, with_term_counts, word_set
 from passagekit.scale import BROADCAST_ROWS, broadcast_if_small, fits, one_per_id, salt, stage, top_k
 
@@ -18,6 +22,9 @@ B = 0.75
 ROWS_PER_SALT = 200_000
 
 
+#: Pairs of a passage and a document that may be sent to all workers, with the passage.
+MAX_PASSAGES = 50_000
+
 #: Passages without an inner word that are looked for in one scan.
 SHORT_PASSAGES = 200
 
@@ -78,20 +85,16 @@ def _stats(doc_count: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
-def write_index(index: LexicalIndex, path: str, buckets: int = 64, salts: int = 8) -> None:
+def write_index(index: LexicalIndex, path: str, buckets: int = 64) -> None:
     """Store the index as three Parquet tables below ``path``.
 
     Postings are partitioned by term bucket, so a search opens only the
-    buckets of its terms. The salt splits the bucket of a very frequent term
-    over several files.
+    buckets of its terms. Each task writes its documents' part of every bucket, so
+    postings are not moved and a very frequent term lies in as many files as there
+    are tasks.
     """
     bucketed = index.postings.withColumn("bucket", salt(["term"], buckets))
-    (
-        bucketed.repartition(F.col("bucket"), salt(["doc_id"], salts))
-        .sortWithinPartitions("bucket", "term")
-        .write.partitionBy("bucket")
-        .parquet(f"{path}/postings")
-    )
+    bucketed.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
     # Frequencies and lengths come from the stored postings, so the texts are
     # tokenised once.
     stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
@@ -100,6 +103,24 @@ def write_index(index: LexicalIndex, path: str, buckets: int = 64, salts: int =
     stats.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
 
 
+def with_frequencies(index: LexicalIndex, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Postings with the term's document frequency ``df``.
+
+    The most frequent terms are sent to all workers, as many as may be, so that only
+    postings of rarer ones are moved.
+    """
+    bounds = [1 << i for i in range(48)]
+    counts = index.terms.agg(*[F.count_if(F.col("df") >= n) for n in bounds]).first()
+    least = next((n for n, count in zip(bounds, counts) if count <= max_broadcast_rows), bounds[-1])
+    frequent = F.broadcast(index.terms.where(F.col("df") >= least))
+    postings = index.postings.drop("bucket")
+    known = postings.join(frequent, "term")
+    if least == 1:
+        return known
+    rare = index.terms.where(F.col("df") < least)
+    return known.unionByName(postings.join(frequent, "term", "left_anti").join(rare, "term"))
+
+
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:
     return LexicalIndex(
         spark.read.parquet(f"{path}/postings"),
@@ -139,8 +160,10 @@ def bm25_topk(
     While the query terms are few they are broadcast: postings are reduced to
     the wanted terms, shuffled once by document, and scored for all queries
     without another shuffle, so the data moved does not grow with the number
-    of queries. More query terms than that are joined by term, with the
-    postings of frequent terms salted over several tasks.
+    of queries. A first pass only counts scores per query, which gives a bound that
+    at least ``k`` documents reach; the second lets nothing below it out of a task. More
+    query terms than that are joined by term, with the postings of frequent terms salted
+    over several tasks.
     """
     # A written table: used three times below, and its size is then known.
     weights = stage(query_weights(index, queries, query_col, text_col, analyse), "query-weights")
@@ -151,9 +174,7 @@ def bm25_topk(
     )
 
     if fits(weights.select("term"), max_broadcast_rows):
-        wanted = F.broadcast(weights.select("term").distinct())
-        by_doc = postings.join(wanted, "term", "left_semi").repartition("doc_id")
-        pairs = by_doc.join(F.broadcast(weights.drop("df")), "term")
+        scored = _scored_by_document(weights, postings, k, query_col)
     else:
         splits = F.ceil(F.col("df") / ROWS_PER_SALT).cast("int")
         spread_terms = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1)))
@@ -166,11 +187,78 @@ def bm25_topk(
             .drop("_splits")
         )
         pairs = salted.join(spread_terms.drop("df"), ["term", "_salt"])
+        scored = _summed(pairs, query_col)
+    return top_k(scored, [query_col], [F.desc("score"), F.asc("doc_id")], k)
+
 
-    scored = pairs.groupBy(query_col, "doc_id").agg(
+def _summed(pairs: DataFrame, query_col: str) -> DataFrame:
+    return pairs.groupBy(query_col, "doc_id").agg(
         F.round(F.sum(F.col("weight") * F.col("part")), 6).alias("score")
     )
-    return top_k(scored, [query_col], [F.desc("score"), F.asc("doc_id")], k)
+
+
+def _scored_by_document(weights: DataFrame, postings: DataFrame, k: int, query_col: str) -> DataFrame:
+    """(query, doc_id, score) of at least the best ``k`` documents of every query.
+
+    The rows of ``weights`` were counted and may be collected.
+    """
+    spark = weights.sparkSession
+    known = weights.select(query_col, "term", "weight").orderBy(query_col, "term").toArrow()
+    asked = known.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+    terms = known.column(1).combine_chunks().dictionary_encode()
+    table = Weights(
+        asked.indices.to_numpy(), terms.indices.to_numpy(), known.column(2).to_numpy(), len(asked.dictionary), len(terms.dictionary)
+    )
+    shared, names = spark.sparkContext.broadcast(table), asked.dictionary
+    numbers = F.broadcast(spark.createDataFrame(
+        list(zip(terms.dictionary.to_pylist(), range(len(terms.dictionary)))), "term string, _no int"
+    ))
+    wanted = postings.join(numbers, "term")
+    # A document has at most one posting for each query term.
+    entry = F.sort_array(F.collect_list(F.struct("_no", "part"))).alias("entries")
+    by_doc = stage(wanted.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(entry), "query-postings")
+
+    def parts(batch: pa.RecordBatch):
+        entries = batch.column(batch.schema.get_field_index("entries"))
+        flat, sizes = entries.flatten(), np.diff(entries.offsets.to_numpy())
+        return sizes, flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = shared.value
+        counts = np.zeros((local.queries, local.bins), np.int64)
+        for batch in batches:
+            for _, scores in chunks(local, *parts(batch)):
+                docs, which = np.nonzero(scores)
+                np.add.at(counts, (which, local.bin_of(which, scores[docs, which])), 1)
+        which, place = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(which.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(counts[which, place])], ["query", "bin", "n"]
+        )
+
+    counted = by_doc.mapInArrow(count, "query int, bin int, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+    above = W.partitionBy("query").orderBy(F.desc("bin"))
+    reached = counted.withColumn("n", F.sum("n").over(above)).where(F.col("n") >= k)
+    bounds = np.zeros(table.queries)
+    # One row per query.
+    for row in reached.groupBy("query").agg(F.max("bin").alias("bin")).collect():
+        bounds[row.query] = table.edge(row.query, row.bin)
+
+    schema = T.StructType([weights.schema[query_col], by_doc.schema["doc_id"], T.StructField("score", T.DoubleType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = shared.value
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for start, scores in chunks(local, *parts(batch)):
+                docs, which = np.nonzero((scores > 0) & (scores >= bounds))
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(which)), ids.take(pa.array(docs + start)), pa.array(scores[docs, which])], schema.names
+                )
+
+    scored = by_doc.mapInArrow(score, schema).withColumn("score", F.round("score", 6))
+    # Rows without an id count as one document, of any size.
+    alone = wanted.where(F.col("doc_id").isNull()).drop("_no").join(F.broadcast(weights.drop("df")), "term")
+    return scored.unionByName(_summed(alone, query_col))
 
 
 def with_document_values(
@@ -274,15 +362,16 @@ def containing_documents(
     inside = F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0)))
     inner = words.select(passage_id, F.explode(inside).alias("term")).distinct()
     known = inner.join(index.terms, "term")
-    rarest = top_k(known, [passage_id], [F.asc("df"), F.asc("term")], 1, "_pick")
+    # One row per passage; few of them leave the postings and the texts where they are.
+    rarest = broadcast_if_small(top_k(known, [passage_id], [F.asc("df"), F.asc("term")], 1, "_pick").select(passage_id, "term"))
     candidates = (
-        index.postings.join(rarest.select(passage_id, "term"), "term")
+        _buckets_of(index, rarest).join(rarest, "term")
         .select(passage_id, owner("doc_id").alias(doc_id))
         .distinct()
     )
+    asked = candidates.join(passages.select(passage_id, F.col(passage_text).alias("_passage")), passage_id)
     pairs = (
-        candidates.join(passages.select(passage_id, F.col(passage_text).alias("_passage")), passage_id)
-        .join(texts, doc_id)
+        texts.join(broadcast_if_small(asked, MAX_PASSAGES), doc_id)
         .where(F.contains("_text", "_passage"))
         .select(passage_id, doc_id)
     )

@@ -22,7 +22,7 @@ FROM postings p JOIN lengths l ON l.doc_id = p.doc_id JOIN frequencies f ON f.te
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings with document length, frequency and corpus statistics."""
     index = fx.paragraph_index(spark, sf_dir)
-    return index.postings.drop("bucket").join(index.terms, "term").select(
+    return lexical.with_frequencies(index).select(
         "term", "doc_id", "tf", "doc_len", "df",
         index.stats.select("docs").scalar().alias("docs"),
         F.round(index.stats.select("avg_len").scalar(), 6).alias("avg_len"),

@@ -272,3 +272,30 @@ def test_search_opens_only_probed_lists(spark, base, asked, tmp_path, capsys):
     hits.explain()
     plan = capsys.readouterr().out
     assert "PartitionFilters: [isnotnull(cid" in plan or "PartitionFilters: [(cid" in plan, plan
+
+
+def test_scores_below_the_bound_stay_in_their_task(spark):
+    from passagekit.scale import stage
+
+    docs = spark.range(3_000).select(
+        F.concat(F.lit("d"), "id").alias("id"),
+        F.concat(F.lit("all w"), F.col("id") % 7, F.lit(" x"), F.col("id") % 500, F.repeat(F.lit(" pad"), (F.col("id") % 40).cast("int"))).alias("t"),
+    ).unionByName(spark.createDataFrame([(None, "all w1 x2"), (None, "w1")], "id string, t string"))
+    asked = spark.createDataFrame([(1, "all w1 x2 x2"), (2, "pad all w3"), (None, "x7"), (4, "nowhere")], "query_id int, question string")
+    index = lexical.build_index(docs, "id", "t")
+    weights = stage(lexical.query_weights(index, asked, "query_id", "question"), "weights")
+    postings = index.postings.select("term", "doc_id", (F.col("tf") / (F.col("tf") + 1)).alias("part"))
+    assert lexical._scored_by_document(weights, postings, 10, "query_id").count() < 1_000
+    columns = ["query_id", "doc_id", "score", "rank"]
+    for k in (1, 10, 100, 5_000):
+        few = lexical.bm25_topk(index, asked, k)
+        assert "HashAggregate(keys=[query_id#" not in few._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+        wide = lexical.bm25_topk(index, asked, k, max_broadcast_rows=1)
+        assert sorted(few.select(columns).collect(), key=repr) == sorted(wide.select(columns).collect(), key=repr)
+
+
+@pytest.mark.parametrize("bound", [1, 20, 500_000])
+def test_postings_with_frequencies_equal_the_join(spark, sf_dir, bound):
+    index = fx.paragraph_index(spark, sf_dir)
+    columns = ["term", "doc_id", "tf", "doc_len", "df"]
+    assert rows(lexical.with_frequencies(index, bound), *columns) == rows(index.postings.join(index.terms, "term"), *columns)
