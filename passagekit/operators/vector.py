@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,8 +22,10 @@ MAX_QUERY_BYTES = 128 * 1024 * 1024
 #: Base vectors and queries that may meet in one block.
 BLOCK_ROWS = 20_000
 QUERY_ROWS = 4_000
-#: Queries compared with one Arrow batch at a time.
+#: Queries compared with one Arrow batch at a time, as far as their matrix is bounded.
 QUERY_SLICE = 512
+#: Bytes of one hit while it is held and merged.
+HIT_BYTES = 72
 
 
 def _hit_schema(queries: DataFrame, base: DataFrame) -> str:
@@ -39,14 +42,21 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return top_k(hits, ["query_id"], [F.asc("distance"), F.asc("vec_id")], k)
 
 
-def _small_enough(queries: DataFrame, max_bytes: int) -> bool:
+def _small_enough(queries: DataFrame, k: int, max_bytes: int) -> bool:
+    """Whether the queries and ``k`` hits of each may be held by every task."""
     width = queries.select(F.size("vector").alias("d")).first()
     if width is None:
         return True
-    limit = max_bytes // (8 * max(width.d, 1))
+    limit = max_bytes // (8 * max(width.d, 1) + HIT_BYTES * k)
     return queries.select("query_id").limit(limit + 1).count() <= limit
 
 
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    """Slices of ``rows`` queries whose distances to ``width`` vectors fit in one matrix."""
+    size = max(1, min(QUERY_SLICE, kernel.MATRIX_CELLS // max(width, 1)))
+    return (slice(start, start + size) for start in range(0, rows, size))
+
+
 def _merge(best, fresh, k: int):
     """Keep the best ``k`` per query of two flat hit lists."""
     ids, base, values = (np.concatenate(pair) for pair in zip(best, fresh))
@@ -66,12 +76,13 @@ def knn_exact(
     """``k`` nearest base vectors (squared L2) of every query.
 
     ``queries`` is (query_id, vector), ``base`` (vec_id, vector). A query set
-    below the byte limit is broadcast and the base is scanned once, each task
-    keeping ``k`` hits per query. A larger one meets the base in blocks:
-    base fragments and query chunks of bounded size, paired by key.
+    that is below the byte limit together with its hits is broadcast and the base is
+    scanned once, each task keeping ``k`` hits per query. A larger one is cut into chunks
+    of bounded size. The base streams past each chunk, which keeps ``k`` hits per query,
+    so that only these leave a task.
     """
     schema = _hit_schema(queries, base)
-    if _small_enough(queries, max_query_bytes):
+    if _small_enough(queries, k, max_query_bytes):
         local = queries.select("query_id", "vector").toPandas()
         shared = base.sparkSession.sparkContext.broadcast(local)
 
@@ -98,16 +109,59 @@ def knn_exact(
 
         return _ranked(base.select("vec_id", "vector").mapInPandas(scan, schema), k)
 
-    fragments = max(1, -(-base.count() // BLOCK_ROWS))
-    chunks = max(1, -(-queries.count() // QUERY_ROWS))
-    left = queries.select("query_id", "vector", salt(["query_id"], chunks).alias("chunk")).withColumn(
-        "fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1)))
+    rows = queries.count()
+    tasks = 2 * base.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, -(-rows // QUERY_ROWS), min(tasks, rows // QUERY_SLICE))
+    query_type, base_type = queries.schema["query_id"].dataType, base.schema["vec_id"].dataType
+    left = queries.select(
+        salt(["query_id"], chunks).alias("chunk"), F.lit(0).alias("side"), "query_id", F.lit(None).cast(base_type).alias("vec_id"), "vector"
     )
-    right = base.select("vec_id", "vector", salt(["vec_id"], fragments).alias("fragment")).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    right = base.select(
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("side"),
+        F.lit(None).cast(query_type).alias("query_id"), "vec_id", "vector",
     )
-    blocks = _cogrouped(left, right, ["chunk", "fragment"])
-    return _ranked(blocks.applyInPandas(_block_search(k, skip_same_id), schema), k)
+    met = left.unionByName(right).repartition(chunks, "chunk").sortWithinPartitions("chunk", "side")
+    return _ranked(met.mapInArrow(_stream_search(k, skip_same_id), schema), k)
+
+
+def _stream_search(k: int, skip_same_id: bool):
+    """Hits of each chunk from rows ordered by chunk, its queries before all base vectors."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, asked, ids, matrix, best = None, [], None, None, {}
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for hits in best.values():
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in hits], ["query_id", "vec_id", "distance"])
+
+        for batch in batches:
+            chunks, sides = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(sides) != 0)) + 1
+            for start, stop in zip(np.r_[0, edges], np.r_[edges, len(chunks)]):
+                if start == stop:
+                    continue
+                part = batch.slice(start, stop - start)
+                if chunks[start] != chunk:
+                    yield from found()
+                    chunk, asked, ids, matrix, best = chunks[start], [], None, None, {}
+                vectors = kernel.stack(part.column(4).to_numpy(zero_copy_only=False))
+                if sides[start] == 0:
+                    asked.append((part.column(2).to_numpy(zero_copy_only=False), vectors))
+                    continue
+                if not asked:
+                    continue
+                if ids is None:
+                    ids, matrix = (np.concatenate(column) for column in zip(*asked))
+                base_ids = part.column(3).to_numpy(zero_copy_only=False)
+                # Slices are the same for every batch.
+                for rows in _slices(len(ids), 1):
+                    fresh = kernel.nearest(
+                        kernel.squared_distances(matrix[rows], vectors), ids[rows], base_ids, k, skip_same_id
+                    )
+                    best[rows.start] = _merge(best[rows.start], fresh, k) if rows.start in best else fresh
+        yield from found()
+
+    return search
 
 
 def _cogrouped(left: DataFrame, right: DataFrame, keys: list[str]):
@@ -123,8 +177,7 @@ def _block_search(k: int, skip_same_id: bool):
         ids, base_ids = asked["query_id"].to_numpy(), stored["vec_id"].to_numpy()
         matrix, base_matrix = kernel.stack(asked["vector"]), kernel.stack(stored["vector"])
         parts = []
-        for start in range(0, len(ids), QUERY_SLICE):
-            part = slice(start, start + QUERY_SLICE)
+        for part in _slices(len(ids), len(base_ids)):
             parts.append(
                 _hits(*kernel.nearest(
                     kernel.squared_distances(matrix[part], base_matrix), ids[part], base_ids, k, skip_same_id

@@ -299,3 +299,17 @@ def test_postings_with_frequencies_equal_the_join(spark, sf_dir, bound):
     index = fx.paragraph_index(spark, sf_dir)
     columns = ["term", "doc_id", "tf", "doc_len", "df"]
     assert rows(lexical.with_frequencies(index, bound), *columns) == rows(index.postings.join(index.terms, "term"), *columns)
+
+
+def test_held_hits_are_bounded_by_the_byte_limit(spark, monkeypatch):
+    """Many queries with many hits stream past the base instead of being held by every task."""
+    values = np.random.default_rng(7).normal(size=(300, 4)).round(1).tolist()
+    rows_ = spark.createDataFrame([(i if i else None, v) for i, v in enumerate(values)], "vec_id long, vector array<double>").where("vec_id IS NOT NULL")
+    asked = rows_.withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(vector, "QUERY_ROWS", 40)
+    columns = ["query_id", "vec_id", "distance", "rank"]
+    held = vector.knn_exact(asked, rows_, 30, True)
+    # 300 queries of 32 bytes fit into this limit, their hits do not.
+    streamed = vector.knn_exact(asked, rows_, 30, True, max_query_bytes=32 * 300)
+    assert "MapInArrow" in streamed._jdf.queryExecution().executedPlan().toString()
+    assert rows(streamed, *columns) == rows(held, *columns) and streamed.count() == 299 * 30
