@@ -313,3 +313,21 @@ def test_held_hits_are_bounded_by_the_byte_limit(spark, monkeypatch):
     streamed = vector.knn_exact(asked, rows_, 30, True, max_query_bytes=32 * 300)
     assert "MapInArrow" in streamed._jdf.queryExecution().executedPlan().toString()
     assert rows(streamed, *columns) == rows(held, *columns) and streamed.count() == 299 * 30
+
+
+def test_papers_are_placed_without_another_shuffle(spark):
+    from pyspark.sql.window import Window as W
+
+    hits = spark.range(200).select((F.col("id") % 9).alias("q"), F.concat(F.lit("p"), F.col("id") % 5).alias("paper_id"), "id")
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("id")))
+    placed = ranking.group_by_paper(ranked, ["q"])
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(q") == 1 and plan.count("Exchange") == 1, plan
+    assert placed.where("para_idx = 0").count() == 45
+
+
+def test_few_papers_of_many_rows_do_not_meet_in_few_tasks(spark, sf_dir):
+    from passagekit.plans.joins import _enriched
+
+    plan = _enriched(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_key" not in plan
