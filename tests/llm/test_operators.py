@@ -516,6 +516,28 @@ def test_distances_are_those_of_the_definition(spark):
     assert words
 
 
+def test_quality_counts_the_terms_of_a_text_once(spark):
+    rows = [(1, "en", "the cat and the dog " * 30), (2, "de", "und der Hund und die Katze " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    plan = quality.assess(docs, quality.language_references(docs))._jdf.queryExecution().optimizedPlan().toString()
+    compared = [line.split(".languages, lambdafunction(", 1)[1] for line in plan.splitlines() if ".languages, lambdafunction(" in line]
+    assert compared
+    # Words are looked up by hash; that belongs before the languages are gone through.
+    assert all(" hash(" not in line and "(hash(" not in line for line in compared)
+
+
+def test_repeated_words_with_few_and_many_repeats(spark):
+    texts = ["a b c d a b c", "a a a a", "a b", " ".join(str(i % 40) for i in range(300)), " ".join(str(i % 100) for i in range(250))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    hashed = docs.withColumn("h", quality.window_hashes(F.split("t", " "), 3))
+    found = {r.i: r.n for r in hashed.select("i", quality.repeated_words(F.col("h")).alias("n")).collect()}
+    for i, text in enumerate(texts):
+        words = text.split()
+        windows = [tuple(words[k:k + 3]) for k in range(len(words) - 2)]
+        covered = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        assert found[i] == len(covered)
+
+
 def test_a_rare_language_is_judged_by_its_own_reference(spark):
     # One of a thousand documents is in another language, with long words.
     prose = " ".join(f"the{i} river ran{i} over stones{i} and the{i} old mill{i} stood" for i in range(12))
