@@ -216,23 +216,31 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def shared_prefixes(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """The stored ``rows`` of tokens that several sets have, each with its token's centre.
+def shared_prefixes(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """The ``rows`` of tokens that several sets have, each with its token's centre, stored.
 
-    ``hot`` lists tokens of very many sets.
+    ``rows`` go straight into the shuffle and are not stored themselves; they are made a
+    second time if there are ``hot`` tokens, those of very many sets.
     """
     turn = F.xxhash64("fp")
-    narrow = rows.join(hot, "token", "left_anti").repartition("token").sortWithinPartitions("token", turn, "fp")
-    met = narrow.mapInArrow(_meet, _MET)
+    # At most MAX_COMMON tokens.
+    listed = F.broadcast(rows.sparkSession.createDataFrame([(t,) for t in hot], "token long"))
+    narrow = rows.join(listed, "token", "left_anti") if hot else rows
+    met = narrow.repartition("token").sortWithinPartitions("token", turn, "fp").mapInArrow(_meet, _MET)
+    if not hot:
+        return stage(met, "met")
+    wide = stage(rows.join(listed, "token", "left_semi"), "hot-prefixes")
     # At most as many rows as ``hot`` has.
     centre = F.min(F.struct(turn.alias("turn"), "fp", "n", "place")).alias("centre")
-    centres = rows.join(hot, "token", "left_semi").groupBy("token").agg(
+    centres = wide.groupBy("token").agg(
         centre, F.min("fp").alias("low"), F.max("fp").alias("high")
     ).where(F.col("low") != F.col("high"))
     centres = broadcast_if_small(centres.select(
         "token", F.col("centre.fp").alias("c"), F.col("centre.n").alias("c_n"), F.col("centre.place").alias("c_place")
     ))
-    return stage(met.unionByName(rows.join(centres, "token")), "met")
+    met = stage(met.unionByName(wide.join(centres, "token")), "met")
+    drop_stage(wide)
+    return met
 
 
 def similar_links(
@@ -248,11 +256,8 @@ def similar_links(
     done, links = candidates, None if candidates is None else compared(candidates, texts, size, wanted)
     common, seen, every = common_shingles(texts, size, total)
     shared = spark.sparkContext.broadcast((common, seen))
-    rows = stage(_shingle_rows(texts, size, lambda s: prefix(s, wanted, *shared.value)), "prefixes")
-    # At most MAX_COMMON tokens.
-    hot = common[seen * every >= HOT_ROWS].view(np.int64).tolist()
-    hot = F.broadcast(spark.createDataFrame([(t,) for t in hot], "token long"))
-    met = shared_prefixes(rows, hot)
+    rows = _shingle_rows(texts, size, lambda s: prefix(s, wanted, *shared.value))
+    met = shared_prefixes(rows, common[seen * every >= HOT_ROWS].view(np.int64).tolist())
 
     def may(a: tuple[str, str], b: tuple[str, str]):
         """Whether sets (size, place of a shared token) can be similar, if it is their first shared token."""
@@ -261,7 +266,6 @@ def similar_links(
         left = F.least(F.col(n) - F.col(at), F.col(o) - F.col(to))
         return sizes & (left * (wanted.numerator + wanted.denominator) >= (F.col(n) + F.col(o)) * wanted.numerator)
 
-    drop_stage(rows)
     near = met.where((F.col("fp") != F.col("c")) & may(("n", "place"), ("c_n", "c_place"))).select("fp", "c")
     if links is not None:
         near = not_connected(near, links)

@@ -312,3 +312,15 @@ def test_pipeline_offers_the_pairs_of_near_fingerprints_first(spark, monkeypatch
     kept = simhash.one_of_each(docs, size=5, similarity=0.8).select("doc_id").collect()
     keys = sorted(np.array([similar.key_of(similar.shingle_set(t, 5)) for t in texts[:2]], np.uint64).view(np.int64).tolist())
     assert [sorted(r) for r in offered[0]] == [keys] and sorted(r.doc_id for r in kept) == [0, 2, 3]
+
+
+def test_prefixes_are_shuffled_without_being_stored(spark, monkeypatch):
+    from passagekit.llm import similar, simhash
+
+    labels, store = [], similar.stage
+    monkeypatch.setattr(similar, "stage", lambda df, label="stage", *more: (labels.append(label), store(df, label, *more))[1])
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join([*words[:59], "x"])), (2, "a b c d e f")], "doc_id long, text string")
+    kept = simhash.one_of_each(docs, size=5, similarity=0.8).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2] and "met" in labels
+    assert not {"prefixes", "hot-prefixes"} & set(labels)
