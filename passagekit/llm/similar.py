@@ -9,10 +9,15 @@ first shingle that two sets share is at places which leave enough shingles behin
 both; pairs that meet at other places are not compared there.
 
 Pairs that another method offers, such as near fingerprints, are compared first, and
-what they connect need not meet again. A group is compared in rounds. In each, a member meets one centre of its group; from the
-second on only groups that the links so far leave apart are looked at, and another order
-chooses their centres. At last, members that are still apart meet each other. Copies of
-one text are connected by the first round, so a large class is not compared pair by pair.
+what they connect need not meet again. A group is compared in rounds. In each, a member
+meets one centre of its group. The first centre is the member whose prefix has the fewest
+shingles before the shared one: of many altered copies that is the one with the fewest
+alterations, which most others are similar to. From the second round on only groups that
+the links so far leave apart are looked at, and another order chooses their centres. At
+last, members that are still apart meet each other at the places where a first shared
+shingle can lie, and are compared if their prefixes share enough. Altered copies that are too far from each other have their own, rare
+shingles before all shared ones, so they do not meet, however many they are. Copies of one
+text are connected by the first round, so a large class is not compared pair by pair.
 
 Prefixes are shuffled once, by shingle, and read in order: what only one set has, which is
 nearly everything, goes no further. Shingles of very many sets are not shuffled; their
@@ -32,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from passagekit.llm.components import components
 from passagekit.llm.shingles import shingle_hashes
@@ -44,7 +49,7 @@ COMMON_SEEN = 3
 MAX_COMMON = 200_000
 
 #: Rounds with centres.
-CENTRES = 3
+CENTRES = 2
 
 #: Sets, by the sample, from which on a shingle's rows are not shuffled.
 HOT_ROWS = 10_000
@@ -190,9 +195,10 @@ _MET = "token long, fp long, n int, place int, c long, c_n int, c_place int"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows ordered by token and turn: those of tokens that several sets have.
+    """From rows ordered by token, place and turn: those of tokens that several sets have.
 
-    The first row of a token is its centre. It is held back until another set follows.
+    The first row of a token, that with the lowest place, is its centre. It is held back
+    until another set follows.
     """
     first = last = None
     shown = False
@@ -226,12 +232,12 @@ def shared_prefixes(rows: DataFrame, hot: list[int]) -> DataFrame:
     # At most MAX_COMMON tokens.
     listed = F.broadcast(rows.sparkSession.createDataFrame([(t,) for t in hot], "token long"))
     narrow = rows.join(listed, "token", "left_anti") if hot else rows
-    met = narrow.repartition("token").sortWithinPartitions("token", turn, "fp").mapInArrow(_meet, _MET)
+    met = narrow.repartition("token").sortWithinPartitions("token", "place", turn, "fp").mapInArrow(_meet, _MET)
     if not hot:
         return stage(met, "met")
     wide = stage(rows.join(listed, "token", "left_semi"), "hot-prefixes")
     # At most as many rows as ``hot`` has.
-    centre = F.min(F.struct(turn.alias("turn"), "fp", "n", "place")).alias("centre")
+    centre = F.min(F.struct("place", turn.alias("turn"), "fp", "n")).alias("centre")
     centres = wide.groupBy("token").agg(
         centre, F.min("fp").alias("low"), F.max("fp").alias("high")
     ).where(F.col("low") != F.col("high"))
@@ -259,14 +265,7 @@ def similar_links(
     rows = _shingle_rows(texts, size, lambda s: prefix(s, wanted, *shared.value))
     met = shared_prefixes(rows, common[seen * every >= HOT_ROWS].view(np.int64).tolist())
 
-    def may(a: tuple[str, str], b: tuple[str, str]):
-        """Whether sets (size, place of a shared token) can be similar, if it is their first shared token."""
-        (n, at), (o, to) = a, b
-        sizes = F.greatest(n, o) * wanted.numerator <= F.least(n, o) * wanted.denominator
-        left = F.least(F.col(n) - F.col(at), F.col(o) - F.col(to))
-        return sizes & (left * (wanted.numerator + wanted.denominator) >= (F.col(n) + F.col(o)) * wanted.numerator)
-
-    near = met.where((F.col("fp") != F.col("c")) & may(("n", "place"), ("c_n", "c_place"))).select("fp", "c")
+    near = met.where((F.col("fp") != F.col("c")) & may_be_similar(wanted, ("n", "place"), ("c_n", "c_place"))).select("fp", "c")
     if links is not None:
         near = not_connected(near, links)
     for turn in range(1, CENTRES + 1):
@@ -286,25 +285,73 @@ def similar_links(
             "fp", "n", "place", "root", F.col("centre.fp").alias("c"), F.col("centre.n").alias("c_n"),
             F.col("centre.place").alias("c_place"), F.col("centre.root").alias("c_root"),
         )
-        near = meeting.where((F.col("root") != F.col("c_root")) & may(("n", "place"), ("c_n", "c_place")))
+        near = meeting.where((F.col("root") != F.col("c_root")) & may_be_similar(wanted, ("n", "place"), ("c_n", "c_place")))
     drop_stage(met)
+    meeting = stage(crossing(left, wanted).distinct().join(done, ["m", "c"], "left_anti"), "crossing")
+    rest = stage(enough_shared(meeting, left, wanted), "pairs")
+    for table in (left, meeting):
+        drop_stage(table)
+    return links.unionByName(compared(rest, texts, size, wanted))
+
+
+def may_be_similar(wanted: Fraction, a: tuple[str, str], b: tuple[str, str]) -> Column:
+    """Whether sets (size, place of a shared token) can be similar, if it is their first shared token."""
+    (n, at), (o, to) = a, b
+    sizes = F.greatest(n, o) * wanted.numerator <= F.least(n, o) * wanted.denominator
+    left = F.least(F.col(n) - F.col(at), F.col(o) - F.col(to))
+    return sizes & (left * (wanted.numerator + wanted.denominator) >= (F.col(n) + F.col(o)) * wanted.numerator)
+
+
+def crossing(left: DataFrame, wanted: Fraction) -> DataFrame:
+    """(m, c), repeats included: sets of different roots that share a token where it can be their first.
+
+    Similar sets do meet: their first shared token has enough shingles behind it in both.
+    In the smaller set it lies in the first part of the prefix, so only these rows are
+    one side of the join.
+    """
     one, two = (left.select("token", *[F.col(n).alias(f"{n}_{side}") for n in ("fp", "n", "place", "root")]) for side in "ab")
-    crossing = one.join(two, "token").where(
-        (F.col("fp_a") > F.col("fp_b")) & (F.col("root_a") != F.col("root_b"))
-        & (F.greatest("n_a", "n_b") * wanted.numerator <= F.least("n_a", "n_b") * wanted.denominator)
+    early = two.where(
+        F.col("place_b") * (wanted.numerator + wanted.denominator) <= F.col("n_b") * (wanted.denominator - wanted.numerator)
     )
-    # All tokens that two prefixes share are here. Other shared tokens come after the last
-    # of them in both sets, and outside the prefix that ends first.
-    pairs = crossing.groupBy(F.col("fp_a").alias("m"), F.col("fp_b").alias("c")).agg(
-        F.count("*").alias("shared"), *[F.max(n).alias(n) for n in ("n_a", "place_a", "n_b", "place_b")]
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("fp_a") > F.col("fp_b")))
+    met = one.join(early, "token").where(
+        larger & (F.col("root_a") != F.col("root_b")) & may_be_similar(wanted, ("n_a", "place_a"), ("n_b", "place_b"))
     )
-    outside = [F.ceil(F.col(n) * wanted.numerator / wanted.denominator) - 1 for n in ("n_a", "n_b")]
-    after = F.least(F.col("n_a") - F.col("place_a") - 1, F.col("n_b") - F.col("place_b") - 1, F.greatest(*outside))
-    most = (F.col("shared") + after) * (wanted.numerator + wanted.denominator)
-    rest = pairs.where(most >= (F.col("n_a") + F.col("n_b")) * wanted.numerator).select("m", "c")
-    rest = stage(rest.join(done, ["m", "c"], "left_anti"), "pairs")
-    drop_stage(left)
-    return links.unionByName(compared(rest, texts, size, wanted))
+    return met.select(F.greatest("fp_a", "fp_b").alias("m"), F.least("fp_a", "fp_b").alias("c"))
+
+
+def enough_shared(pairs: DataFrame, left: DataFrame, wanted: Fraction) -> DataFrame:
+    """The stored ``pairs`` (m, c) whose prefixes share as many tokens as those of similar sets.
+
+    ``left`` holds all tokens that two such prefixes share; other shared tokens are outside
+    the prefix that ends first. Sixteen bits of a token are compared, repeats counted, so
+    never too few are found, and a pair takes little room.
+    """
+    needed = pairs.select(F.explode(F.array("m", "c")).alias("fp")).distinct()
+    digest = (F.col("token").bitwiseAND(0xFFFF) - (1 << 15)).cast("short")
+    digests = left.join(broadcast_if_small(needed), "fp", "left_semi").groupBy("fp").agg(
+        F.first("n").alias("n"), F.collect_list(digest).alias("digests")
+    )
+    digests = stage(digests, "prefix-digests")
+
+    def counted(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and digest as one number, each once, and how often it is there."""
+        rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        return np.unique(rows << 16 | (lists.flatten().to_numpy().astype(np.int64) + (1 << 15)), return_counts=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (one, ones), (two, twos) = counted(batch.column(3)), counted(batch.column(5))
+            both, i, j = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+            shared = np.bincount(both >> 16, np.minimum(ones[i], twos[j]), len(batch)).astype(np.int64)
+            n, o = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 4))
+            outside = -(-np.maximum(n, o) * wanted.numerator // wanted.denominator) - 1
+            enough = (shared + outside) * (wanted.numerator + wanted.denominator) >= (n + o) * wanted.numerator
+            yield batch.select([0, 1]).filter(pa.array(enough))
+
+    for name in ("m", "c"):
+        pairs = pairs.join(digests.toDF(name, f"n_{name}", f"digests_{name}"), name)
+    return pairs.select("m", "c", "n_m", "digests_m", "n_c", "digests_c").mapInArrow(run, "m long, c long")
 
 
 def not_connected(pairs: DataFrame, links: DataFrame) -> DataFrame:

@@ -324,3 +324,53 @@ def test_prefixes_are_shuffled_without_being_stored(spark, monkeypatch):
     kept = simhash.one_of_each(docs, size=5, similarity=0.8).select("doc_id").collect()
     assert sorted(r.doc_id for r in kept) == [0, 2] and "met" in labels
     assert not {"prefixes", "hot-prefixes"} & set(labels)
+
+
+def test_altered_copies_that_stay_apart_do_not_meet_pair_by_pair(spark, monkeypatch):
+    """Copies with one altered word meet the text itself; those with four are far from all others."""
+    from passagekit.llm import similar, simhash
+
+    base = [f"w{i}" for i in range(104)]
+    texts = [" ".join(base)]
+    for i in range(60):
+        places = [5 + (7 * i + 25 * j) % 95 for j in range(1 if i % 3 == 0 else 4)]
+        texts.append(" ".join(f"x{i}-{at}" if at in places else w for at, w in enumerate(base)))
+    sets = [set(similar.shingle_set(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i, one in enumerate(sets):
+        for j in range(i):
+            if 5 * len(one & sets[j]) >= 4 * len(one | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert len(set(label)) > 30
+    rows, crossing = [], similar.crossing
+    monkeypatch.setattr(similar, "crossing", lambda *args: (rows.append(crossing(*args).count()), crossing(*args))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(docs, size=5, similarity=0.8).collect()}
+    # All pairs of the copies that stay apart were 780 rows for each of their shingles.
+    assert kept == set(label) and sum(rows) < 100
+
+
+def test_pairs_whose_prefixes_share_too_little_are_not_compared(spark):
+    """A bound on the shared shingles never drops a similar pair, also if digests are equal."""
+    from fractions import Fraction
+    from passagekit.llm import similar
+
+    wanted, none = Fraction("0.8"), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(8):
+        base = rng.integers(0, 1 << 62, 200, np.uint64)
+        base[:40] = base[0] + (np.arange(40, dtype=np.uint64) << np.uint64(16))
+        sets += [np.unique(np.r_[base[cut:], rng.integers(0, 1 << 62, cut, np.uint64)]) for cut in (0, 10, 22, 45, 80)]
+    rows = [(int(t), i, len(s), at) for i, s in enumerate(sets) for at, t in enumerate(similar.prefix(s, wanted, *none).tolist())]
+    left = similar.stage(spark.createDataFrame(rows, "token long, fp long, n int, place int"))
+    pairs = similar.stage(spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(i)], "m long, c long"))
+    kept = {(r.m, r.c) for r in similar.enough_shared(pairs, left, wanted).collect()}
+    true = set()
+    for i, one in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(one, sets[j]))
+            if 5 * both >= 4 * (len(one) + len(sets[j]) - both):
+                true.add((i, j))
+    assert true and true <= kept and len(kept) < 100
