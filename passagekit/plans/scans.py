@@ -13,6 +13,7 @@ from passagekit.scale import shared_dir
 from passagekit.sources import readers, writers
 from passagekit.sources.results import (
     documents_from_maps, flatten_results, merge_shards, nest_results, read_results, read_shards,
+    without_verdicts,
 )
 
 
@@ -166,20 +167,25 @@ def shard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("patent_id").cast("long")
     shard = (number % 3).cast("int")
     name = lambda n, suffix="": F.concat(F.lit("results_verified_shard_"), n.cast("string"), F.lit(suffix))
-    stale = nest_results(fx.reviews(spark, sf_dir).withColumn("contains_answer", F.lit(None).cast("string")))
-    outputs = (
-        documents.withColumn("file", F.when(shard == 1, name(shard, "_checkpoint")).otherwise(name(shard)))
-        .unionByName(stale.where(shard == 2).withColumn("file", name(shard, "_checkpoint")))
-        .unionByName(documents.where(number % 5 == 0).withColumn("file", name(F.lit(3))))
-    )
+    copy = lambda when, file, stale=False: F.when(when, F.struct(file.alias("file"), F.lit(stale).alias("stale")))
+    # The documents are nested once; their copies are made where they lie.
+    copies = F.array_compact(F.array(
+        copy(F.lit(True), F.when(shard == 1, name(shard, "_checkpoint")).otherwise(name(shard))),
+        copy(shard == 2, name(shard, "_checkpoint"), True),
+        copy(number % 5 == 0, name(F.lit(3))),
+    ))
+    levels = F.when(F.col("stale"), without_verdicts(documents)).otherwise(F.col("question_types"))
+    outputs = documents.select("*", F.inline(copies)).withColumn("question_types", levels).drop("stale")
     path = shared_dir(spark, "shards")
-    outputs.write.partitionBy("file").json(path)
-    merged, missing = merge_shards(read_shards(spark, path), 5)
-    flat = flatten_results(merged)
-    counts = flat.groupBy("patent_id").agg(
+    outputs.write.partitionBy("file").json(path, compression="gzip")
+    files = read_shards(spark, path)
+    merged, missing = merge_shards(files, 5)
+    # Counted where the files are read: only counts and ids are moved.
+    version = ["patent_id", "shard", "is_checkpoint"]
+    counts = flatten_results(files, version[1:]).groupBy(*version).agg(
         F.count("paragraph_id").alias("paragraphs"),
         F.count_if(F.coalesce(F.col("contains_answer") == "Y", F.lit(False))).alias("yes"),
     )
-    rows = merged.select("patent_id", "shard", "is_checkpoint").distinct().join(counts, "patent_id")
+    rows = merged.select(*version).distinct().join(counts, version)
     absent = missing.select(F.lit("(missing)").alias("patent_id"), "shard")
     return rows.unionByName(absent, allowMissingColumns=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from passagekit import schemas
@@ -21,25 +23,27 @@ def documents_from_maps(df: DataFrame, column: str) -> DataFrame:
     return rows.select("patent_id", *[F.col(f"body.{name}") for name in _BODY_FIELDS])
 
 
-def flatten_results(documents: DataFrame) -> DataFrame:
+def flatten_results(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per retrieved paragraph, with its position in the document.
 
-    A question without papers stays as one row with null paper columns.
+    A question without papers stays as one row with null paper columns. Columns of the
+    documents named in ``keep`` follow.
     """
     start = F.coalesce("first_question", F.lit(0))
-    by_level = documents.select("patent_id", start.alias("_start"), F.explode("question_types").alias("qtype", "questions"))
+    by_level = documents.select("patent_id", *keep, start.alias("_start"), F.explode("question_types").alias("qtype", "questions"))
     by_question = by_level.select(
-        "patent_id", "qtype", "_start", F.posexplode("questions").alias("_pos", "_q")
+        "patent_id", *keep, "qtype", "_start", F.posexplode("questions").alias("_pos", "_q")
     )
     by_paper = by_question.select(
         "patent_id",
+        *keep,
         "qtype",
         (F.col("_start") + F.col("_pos")).alias("q_idx"),
         F.col("_q.question").alias("question"),
         F.posexplode_outer("_q.retrieved_papers").alias("paper_idx", "_paper"),
     )
     by_paragraph = by_paper.select(
-        "patent_id", "qtype", "q_idx", "question", "paper_idx",
+        "patent_id", *keep, "qtype", "q_idx", "question", "paper_idx",
         F.col("_paper.paper_id").alias("paper_id"),
         F.posexplode_outer("_paper.paragraphs").alias("para_idx", "_para"),
     )
@@ -48,7 +52,7 @@ def flatten_results(documents: DataFrame) -> DataFrame:
     ]
     return by_paragraph.select(
         "patent_id", "qtype", "q_idx", "question", "paper_idx", "paper_id", "para_idx",
-        *[F.col(f"_para.{name}").alias(name) for name in fields],
+        *[F.col(f"_para.{name}").alias(name) for name in fields], *keep,
     )
 
 
@@ -137,6 +141,14 @@ def nest_results(
     return nested.select("patent_id", *_BODY_FIELDS)
 
 
+def without_verdicts(documents: DataFrame) -> Column:
+    """``question_types`` of nested documents with every ``contains_answer`` null."""
+    paragraph = lambda p: p.withField("contains_answer", F.lit(None).cast("string"))
+    paper = lambda p: p.withField("paragraphs", F.transform(p["paragraphs"], paragraph))
+    question = lambda q: q.withField("retrieved_papers", F.transform(q["retrieved_papers"], paper))
+    return F.transform_values(documents["question_types"], lambda _, questions: F.transform(questions, question))
+
+
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """Documents of all shard outputs with ``shard`` and ``is_checkpoint``.
 

@@ -304,3 +304,39 @@ def test_left_join_spreads_missing_keys(spark):
     got = left_join(left, right, "k", ["id"])
     assert got.count() == 1000 and got.where("v is not null").count() == 2
     assert {(r.id, r.v) for r in got.where("v is not null").collect()} == {(0, "a"), (2, "b")}
+
+
+def test_merged_shards_move_no_documents(spark, sf_dir):
+    """Paragraphs are counted before versions are joined, and documents are nested once."""
+    import duckdb
+    from passagekit.plans import scans
+    from passagekit.plans.registry import ORACLES
+
+    result = scans.shard_merge(spark, sf_dir)
+    moved, open_ = [], [result._jdf.queryExecution().optimizedPlan()]
+    while open_:
+        node = open_.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        open_ += below
+        if node.nodeName() in ("Join", "Aggregate"):
+            moved += [column.name() for b in below for column in (b.output().apply(i) for i in range(b.output().size()))]
+    assert "paragraph_id" in moved and "question_types" not in moved
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    columns = result.columns
+    wanted = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['shard_merge']})").fetchall()
+    assert values(result, *columns) == sorted(wanted, key=repr)
+
+
+def test_documents_without_verdicts(spark):
+    from passagekit.sources.results import without_verdicts
+
+    rows = [("1", level, q, "why", 0, "a", p, f"a_p{p}", p + 1, "text", "Y", "x", None, 1.0) for level in ("r", "u") for q in (0, 1) for p in (0, 1)]
+    rows += [("2", "r", 0, "none", None, None, None, None, None, None, None, None, None, None)]
+    flat = spark.createDataFrame(rows, schemas.RESULTS_FLAT)
+    documents = nest_results(flat)
+    bare = flatten_results(documents.withColumn("question_types", without_verdicts(documents)).withColumn("shard", F.lit(3)), ["shard"])
+    assert bare.columns == [*schemas.FLAT_COLUMNS, "shard"] and bare.where("shard = 3").count() == 9
+    wanted = flatten_results(nest_results(flat.withColumn("contains_answer", F.lit(None).cast("string"))))
+    assert values(bare, *schemas.FLAT_COLUMNS) == values(wanted, *schemas.FLAT_COLUMNS)
