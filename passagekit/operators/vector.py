@@ -21,7 +21,7 @@ from passagekit.scale import hash_sample, row_index, salt, stage, top_k
 MAX_QUERY_BYTES = 128 * 1024 * 1024
 #: Base vectors and queries that may meet in one block.
 BLOCK_ROWS = 20_000
-QUERY_ROWS = 4_000
+QUERY_ROWS = 16_000
 #: Queries compared with one Arrow batch at a time, as far as their matrix is bounded.
 QUERY_SLICE = 512
 #: Bytes of one hit while it is held and merged.
@@ -57,13 +57,16 @@ def _slices(rows: int, width: int) -> Iterator[slice]:
     return (slice(start, start + size) for start in range(0, rows, size))
 
 
-def _merge(best, fresh, k: int):
-    """Keep the best ``k`` per query of two flat hit lists."""
-    ids, base, values = (np.concatenate(pair) for pair in zip(best, fresh))
-    order = np.lexsort((base, values, ids))
-    ids, base, values = ids[order], base[order], values[order]
-    keep = np.arange(len(ids)) - np.searchsorted(ids, ids, side="left") < k
-    return ids[keep], base[keep], values[keep]
+def _begun(ids: np.ndarray, matrix: np.ndarray, k: int, skip_same_id: bool) -> list[kernel.Best]:
+    return [kernel.Best(ids[part], matrix[part], k, skip_same_id) for part in _slices(len(ids), 1)]
+
+
+def _found(best: list[kernel.Best], *kinds: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Hits with ids of the given types; numpy has none for numbers with nulls."""
+    for hits in (part.found() for part in best):
+        if hits:
+            columns = [pa.array(column, from_pandas=True).cast(kind) for column, kind in zip(hits, [*kinds, pa.float64()])]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "distance"])
 
 
 def knn_exact(
@@ -78,36 +81,26 @@ def knn_exact(
     ``queries`` is (query_id, vector), ``base`` (vec_id, vector). A query set
     that is below the byte limit together with its hits is broadcast and the base is
     scanned once, each task keeping ``k`` hits per query. A larger one is cut into chunks
-    of bounded size. The base streams past each chunk, which keeps ``k`` hits per query,
+    of bounded size, one to a task. The base streams past each chunk, which keeps ``k`` hits per query,
     so that only these leave a task.
     """
     schema = _hit_schema(queries, base)
     if _small_enough(queries, k, max_query_bytes):
-        local = queries.select("query_id", "vector").toPandas()
+        local = queries.select("query_id", "vector").toArrow().combine_chunks()
         shared = base.sparkSession.sparkContext.broadcast(local)
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = shared.value
-            if wanted.empty:
+            if not wanted.num_rows:
                 return
-            ids = wanted["query_id"].to_numpy()
-            matrix = kernel.stack(wanted["vector"])
-            best: dict[int, tuple] = {}
+            ids, vectors = (column.combine_chunks() for column in wanted.columns)
+            best = _begun(ids.to_numpy(zero_copy_only=False), kernel.matrix_of(vectors), k, skip_same_id)
             for batch in batches:
-                if batch.empty:
-                    continue
-                base_ids, base_matrix = batch["vec_id"].to_numpy(), kernel.stack(batch["vector"])
-                for start in range(0, len(ids), QUERY_SLICE):
-                    part = slice(start, start + QUERY_SLICE)
-                    fresh = kernel.nearest(
-                        kernel.squared_distances(matrix[part], base_matrix),
-                        ids[part], base_ids, k, skip_same_id,
-                    )
-                    best[start] = _merge(best[start], fresh, k) if start in best else fresh
-            for found in best.values():
-                yield _hits(*found)
-
-        return _ranked(base.select("vec_id", "vector").mapInPandas(scan, schema), k)
+                kind = batch.column(0).type
+                kernel.offer_vectors(best, batch.column(0).to_numpy(zero_copy_only=False), kernel.matrix_of(batch.column(1)))
+            yield from _found(best, ids.type, kind) if best[0].seen else ()
+
+        return _ranked(base.select("vec_id", "vector").mapInArrow(scan, schema), k)
 
     rows = queries.count()
     tasks = 2 * base.sparkSession.sparkContext.defaultParallelism
@@ -120,7 +113,8 @@ def knn_exact(
         F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("side"),
         F.lit(None).cast(query_type).alias("query_id"), "vec_id", "vector",
     )
-    met = left.unionByName(right).repartition(chunks, "chunk").sortWithinPartitions("chunk", "side")
+    # One chunk to a task: by hash some tasks would get several and others none.
+    met = left.unionByName(right).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "side")
     return _ranked(met.mapInArrow(_stream_search(k, skip_same_id), schema), k)
 
 
@@ -128,13 +122,9 @@ def _stream_search(k: int, skip_same_id: bool):
     """Hits of each chunk from rows ordered by chunk, its queries before all base vectors."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, asked, ids, matrix, best = None, [], None, None, {}
-
-        def found() -> Iterator[pa.RecordBatch]:
-            for hits in best.values():
-                yield pa.RecordBatch.from_arrays([pa.array(column) for column in hits], ["query_id", "vec_id", "distance"])
-
+        chunk, asked, best, kinds = None, [], [], ()
         for batch in batches:
+            kinds = batch.column(2).type, batch.column(3).type
             chunks, sides = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edges = np.flatnonzero((np.diff(chunks) != 0) | (np.diff(sides) != 0)) + 1
             for start, stop in zip(np.r_[0, edges], np.r_[edges, len(chunks)]):
@@ -142,24 +132,18 @@ def _stream_search(k: int, skip_same_id: bool):
                     continue
                 part = batch.slice(start, stop - start)
                 if chunks[start] != chunk:
-                    yield from found()
-                    chunk, asked, ids, matrix, best = chunks[start], [], None, None, {}
-                vectors = kernel.stack(part.column(4).to_numpy(zero_copy_only=False))
+                    yield from _found(best, *kinds)
+                    chunk, asked, best = chunks[start], [], []
+                vectors = kernel.matrix_of(part.column(4))
                 if sides[start] == 0:
                     asked.append((part.column(2).to_numpy(zero_copy_only=False), vectors))
                     continue
-                if not asked:
-                    continue
-                if ids is None:
-                    ids, matrix = (np.concatenate(column) for column in zip(*asked))
-                base_ids = part.column(3).to_numpy(zero_copy_only=False)
-                # Slices are the same for every batch.
-                for rows in _slices(len(ids), 1):
-                    fresh = kernel.nearest(
-                        kernel.squared_distances(matrix[rows], vectors), ids[rows], base_ids, k, skip_same_id
-                    )
-                    best[rows.start] = _merge(best[rows.start], fresh, k) if rows.start in best else fresh
-        yield from found()
+                if asked:
+                    best = _begun(*(np.concatenate(column) for column in zip(*asked)), k, skip_same_id)
+                    asked = []
+                if best:
+                    kernel.offer_vectors(best, part.column(3).to_numpy(zero_copy_only=False), vectors)
+        yield from _found(best, *kinds)
 
     return search
 
@@ -176,14 +160,10 @@ def _block_search(k: int, skip_same_id: bool):
             return _hits([], [], [])
         ids, base_ids = asked["query_id"].to_numpy(), stored["vec_id"].to_numpy()
         matrix, base_matrix = kernel.stack(asked["vector"]), kernel.stack(stored["vector"])
-        parts = []
-        for part in _slices(len(ids), len(base_ids)):
-            parts.append(
-                _hits(*kernel.nearest(
-                    kernel.squared_distances(matrix[part], base_matrix), ids[part], base_ids, k, skip_same_id
-                ))
-            )
-        return pd.concat(parts, ignore_index=True)
+        best = _begun(ids, matrix, k, skip_same_id)
+        kernel.offer_vectors(best, base_ids, base_matrix)
+        parts = [_hits(*hits) for hits in (slice_.found() for slice_ in best) if hits]
+        return pd.concat(parts, ignore_index=True) if parts else _hits([], [], [])
 
     return search
 

@@ -1,6 +1,7 @@
 """Properties that hold on any data, and the ways taken beyond a size bound."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,3 +332,52 @@ def test_few_papers_of_many_rows_do_not_meet_in_few_tasks(spark, sf_dir):
 
     plan = _enriched(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_key" not in plan
+
+
+def cells_compared(monkeypatch):
+    """Sizes of all whole distance matrices from now on."""
+    sizes, plain = [], kernel.nearest
+    monkeypatch.setattr(kernel, "nearest", lambda distances, *rest, **named: sizes.append(distances.size) or plain(distances, *rest, **named))
+    return sizes
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "equal", "far first", "tiny", "odd"])
+def test_screened_search_equals_brute_force(kind):
+    """What a product in single precision leaves out is no hit, whatever the vectors are."""
+    rng = np.random.default_rng(3)
+    base = {
+        "normal": lambda: rng.normal(size=(5_000, 16)),
+        "ties": lambda: rng.normal(size=(3_000, 3)).round(1),
+        "equal": lambda: np.ones((1_500, 4)),
+        "far first": lambda: (rng.normal(size=(2_000, 8)).T * np.linspace(9, 1, 2_000)).T,
+        "tiny": lambda: rng.normal(size=(1_500, 4)) * 1e-25,
+        "odd": lambda: np.r_[rng.normal(size=(1_500, 4)), [[1e20] * 4, [np.inf] * 4, [np.nan] * 4]],
+    }[kind]()
+    names = rng.permutation(len(base))
+    best = [kernel.Best(names[-20:], base[-20:], 9, True)]
+    with np.errstate(all="ignore"):
+        for start in range(0, len(base), 1_100):
+            kernel.offer_vectors(best, names[start:start + 1_100], base[start:start + 1_100])
+        ids, found, values = best[0].found()
+        for name, left in zip(names[-20:], base[-20:]):
+            gaps = np.round(((base - left) ** 2).sum(axis=1), 6)
+            expected = sorted((g, n) for g, n in zip(gaps, names) if n != name and np.isfinite(g))[:9]
+            assert [n for _, n in expected] == found[ids == name].tolist()
+            assert values[ids == name] == pytest.approx([g for g, _ in expected], rel=1e-9, abs=1e-6)
+
+
+def test_most_vectors_are_screened_out(monkeypatch):
+    base = np.random.default_rng(4).normal(size=(20_000, 32))
+    search = vector._block_search(10, True)
+    sizes = cells_compared(monkeypatch)
+    asked = pd.DataFrame({"query_id": range(300), "vector": list(base[:300])})
+    hits = search(asked, pd.DataFrame({"vec_id": range(20_000), "vector": list(base)}))
+    assert len(hits) == 3_000
+    # The whole matrix has six million cells.
+    assert sum(sizes) < 300_000
+
+
+def test_each_chunk_of_queries_has_a_task_of_its_own(spark, asked, base, monkeypatch):
+    monkeypatch.setattr(vector, "QUERY_ROWS", 20)
+    plan = vector.knn_exact(asked, base, 7, max_query_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(chunk" not in plan, plan
