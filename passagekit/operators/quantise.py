@@ -107,6 +107,41 @@ def pq_encode(lists: DataFrame, centroids: DataFrame, books: np.ndarray) -> Data
     return lists.withColumn("codes", encode("vector", "cid"))
 
 
+def _code_search(shared, k: int, skip_same_id: bool):
+    """Hits of a block of queries and codes; ``shared`` holds list names, centroids and books."""
+
+    def search(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or stored.empty:
+            return _hits([], [], [])
+        labels, middles, current = shared.value
+        parts, _, width = current.shape
+        codes = np.stack([np.asarray(c, dtype=np.int64) for c in stored["codes"]])
+        base_ids = stored["vec_id"].to_numpy()
+        # The sum of table entries is the distance to the vector that the codes stand for.
+        meant = np.concatenate([current[m][codes[:, m]] for m in range(parts)], axis=1)
+        cuts = list(kernel.blocks(len(codes)))
+        screens = [kernel.Screen(meant[block]) for block in cuts]
+        found = []
+        for start in range(0, len(asked), QUERY_SLICE):
+            some = asked.iloc[start : start + QUERY_SLICE]
+            rest = _residuals(kernel.stack(some["vector"]), some["cid"].to_numpy(), labels, middles)
+            split = rest.reshape(len(rest), parts, width)
+            tables = [kernel.squared_distances(split[:, m], current[m]) for m in range(parts)]
+            best = kernel.Best(some["query_id"].to_numpy(), rest, k, skip_same_id)
+            for block, screen in zip(cuts, screens):
+                mine = codes[block]
+                best.offer(
+                    base_ids[block], screen, lambda _: sum(table[:, mine[:, m]] for m, table in enumerate(tables)),
+                    lambda _, rows, cols: sum(table[rows, mine[cols, m]] for m, table in enumerate(tables)),
+                )
+            hits = best.found()
+            if hits:
+                found.append(_hits(*hits))
+        return pd.concat(found, ignore_index=True) if found else _hits([], [], [])
+
+    return search
+
+
 def pq_search(
     queries: DataFrame,
     encoded: DataFrame,
@@ -125,25 +160,4 @@ def pq_search(
     probes = stage(ivf_probes(queries.select("query_id", "vector"), centroids, nprobe), "probes")
     blocks = paired_blocks(probes, probed_only(probes, encoded.select("vec_id", "codes", "cid")))
 
-    def search(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or stored.empty:
-            return _hits([], [], [])
-        labels, middles, current = shared.value
-        parts, _, width = current.shape
-        codes = np.stack([np.asarray(c, dtype=np.int64) for c in stored["codes"]])
-        base_ids = stored["vec_id"].to_numpy()
-        found = []
-        for start in range(0, len(asked), QUERY_SLICE):
-            some = asked.iloc[start : start + QUERY_SLICE]
-            rest = _residuals(kernel.stack(some["vector"]), some["cid"].to_numpy(), labels, middles)
-            split = rest.reshape(len(rest), parts, width)
-            distances = np.zeros((len(rest), len(codes)))
-            for m in range(parts):
-                table = kernel.squared_distances(split[:, m], current[m])
-                distances += table[:, codes[:, m]]
-            found.append(
-                _hits(*kernel.nearest(distances, some["query_id"].to_numpy(), base_ids, k, skip_same_id))
-            )
-        return pd.concat(found, ignore_index=True)
-
-    return _ranked(blocks.applyInPandas(search, _hit_schema(queries, encoded)), k)
+    return _ranked(blocks.applyInPandas(_code_search(shared, k, skip_same_id), _hit_schema(queries, encoded)), k)

@@ -381,3 +381,23 @@ def test_each_chunk_of_queries_has_a_task_of_its_own(spark, asked, base, monkeyp
     monkeypatch.setattr(vector, "QUERY_ROWS", 20)
     plan = vector.knn_exact(asked, base, 7, max_query_bytes=0)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(chunk" not in plan, plan
+
+
+def test_most_codes_are_screened_out(monkeypatch):
+    """Sums of table entries are worked out only for codes that may be near; the hits are the same."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(6)
+    books, codes, asked = rng.normal(size=(4, 16, 3)), rng.integers(0, 16, (20_000, 4)), rng.normal(size=(300, 12))
+    shared = SimpleNamespace(value=(np.array([0]), np.zeros((1, 12)), books))
+    sizes = cells_compared(monkeypatch)
+    hits = quantise._code_search(shared, 10, True)(
+        pd.DataFrame({"query_id": range(300), "vector": list(asked), "cid": 0}),
+        pd.DataFrame({"vec_id": range(20_000), "codes": list(codes), "cid": 0}),
+    )
+    assert sum(sizes) < 300_000
+    meant = np.concatenate([books[m][codes[:, m]] for m in range(4)], axis=1)
+    for query in range(0, 300, 37):
+        gaps = np.round(((meant - asked[query]) ** 2).sum(axis=1), 6)
+        expected = sorted((g, i) for i, g in enumerate(gaps) if i != query)[:10]
+        assert hits.vec_id[hits.query_id == query].tolist() == [i for _, i in expected]
