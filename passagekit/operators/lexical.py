@@ -273,11 +273,12 @@ def with_document_values(
     """
     docs = corpus.withColumnRenamed(id_col, "doc_id")
     wanted = broadcast_if_small(candidates.select("doc_id").distinct())
-    reduced = docs.join(wanted, "doc_id", "left_semi").select("doc_id", value.alias(name), *[
-        F.col(c).alias(f"_order_{c}") for c in ("shard", "paragraph_text") if c in docs.columns
-    ])
-    order = [F.asc(c) for c in reduced.columns if c.startswith("_order_")] or [F.asc(name)]
-    found = top_k(reduced, ["doc_id"], order, 1, "_copy").select("doc_id", name)
+    reduced = docs.join(wanted, "doc_id", "left_semi")
+    order = [F.asc(c) for c in ("shard", "paragraph_text") if c in docs.columns]
+    if not order:
+        reduced, value, order = reduced.select("doc_id", value.alias(name)), F.col(name), [F.asc(name)]
+    # The value is made where the rows of a document have met: a set of words is longer than its text.
+    found = top_k(reduced, ["doc_id"], order, 1, "_copy").select("doc_id", value.alias(name))
     return candidates.join(found, "doc_id", "left")
 
 

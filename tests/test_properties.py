@@ -401,3 +401,20 @@ def test_most_codes_are_screened_out(monkeypatch):
         gaps = np.round(((meant - asked[query]) ** 2).sum(axis=1), 6)
         expected = sorted((g, i) for i, g in enumerate(gaps) if i != query)[:10]
         assert hits.vec_id[hits.query_id == query].tolist() == [i for _, i in expected]
+
+
+def test_texts_meet_before_their_words_are_listed(spark):
+    """Only texts are shuffled; the sets of words are made where a document's copies have met."""
+    from passagekit.functions.text import word_set
+
+    corpus_ = spark.createDataFrame(
+        [("a", 1, "late copy"), ("a", 0, "zebra Zebra first"), ("b", 0, None), ("c", 0, "unasked")], "id string, shard int, paragraph_text string"
+    )
+    asked = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("x", 1)], "doc_id string, query_id long")
+    found = lexical.with_document_values(asked, corpus_, "id", word_set("paragraph_text"), "words")
+    got = {(r.doc_id, r.query_id): r.words for r in found.collect()}
+    assert got == {("a", 1): ["zebra", "first"], ("a", 2): ["zebra", "first"], ("b", 1): None, ("x", 1): None}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("array_distinct") < plan.index("Window [row_number"), plan
+    bare = lexical.with_document_values(asked, corpus_.select("id", F.length("paragraph_text").alias("n")), "id", F.col("n"), "size")
+    assert {r.doc_id: r.size for r in bare.collect()} == {"a": 9, "b": None, "x": None}
