@@ -9,7 +9,7 @@ from passagekit.operators.patents import stratified_cap
 from passagekit.plans import fixtures as fx
 from passagekit.plans.fixtures import table, with_sql
 from passagekit.plans.registry import query
-from passagekit.scale import shared_dir
+from passagekit.scale import shared_dir, shuffles_dropped
 from passagekit.sources import readers, writers
 from passagekit.sources.results import (
     documents_from_maps, flatten_results, merge_shards, nest_results, read_results, read_shards,
@@ -108,12 +108,14 @@ def results_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("results_nest", with_sql(f"SELECT {FLAT_COLUMNS} FROM reviews", fx.REVIEWS))
 def results_nest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows nested, stored as JSON lines, read back and flattened.
+    """Rows nested, stored as compressed JSON lines, read back and flattened.
 
     Two questions per document make every patent continue in a second one.
     """
     path = shared_dir(spark, "documents")
-    writers.write_results(nest_results(fx.reviews(spark, sf_dir), questions_per_document=2), path)
+    documents = nest_results(fx.reviews(spark, sf_dir), questions_per_document=2)
+    with shuffles_dropped(spark):
+        writers.write_results(documents, path, compression="gzip")
     return flatten_results(read_results(spark, path))
 
 

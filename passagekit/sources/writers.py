@@ -19,11 +19,14 @@ def write_by_class(
     salted.write.partitionBy(marker, by).parquet(path)
 
 
-def write_results(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """JSON lines or CSV with header."""
+def write_results(df: DataFrame, path: str, fmt: str = "json", compression: str | None = None) -> None:
+    """JSON lines or CSV with header, as plain text unless ``compression`` names a codec.
+
+    Readers tell the codec by the file name.
+    """
     if fmt == "json":
-        df.write.json(path, ignoreNullFields=False)
+        df.write.json(path, ignoreNullFields=False, compression=compression)
     elif fmt == "csv":
-        df.write.csv(path, header=True, quote='"', escape='"')
+        df.write.csv(path, header=True, quote='"', escape='"', compression=compression)
     else:
         raise ValueError(f"unknown result format: {fmt}")

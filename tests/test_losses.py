@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from passagekit.functions import filters
 from passagekit.operators import lexical, links, metadata, metrics, ranking, verdicts
-from passagekit.plans import fixtures, reports
+from passagekit.plans import fixtures, reports, scans
 from passagekit.scale import ALL_KEYS, CLEANUP, hash_sample, one_per_id, shuffles_dropped, stage
 from passagekit.sources.readers import read_tolerant, read_tsv_years
 from passagekit.sources.results import flatten_results, nest_results
@@ -241,3 +241,18 @@ def test_shuffles_of_a_written_table_are_dropped(spark, tmp_path):
         time.sleep(0.2)
     assert not files() - before
     assert spark.read.parquet(str(tmp_path / "rows")).count() == rows.count() == 999
+
+
+def test_nested_results_are_stored_compressed(spark, monkeypatch, tmp_path):
+    rows = flat(
+        spark,
+        *[("7", "remembering", q, "A", "first line\n\"second\" \u00e9\u4e2d", "Y", None) for q in range(5)],
+        ("7", "understanding", 0, None, None, None, None), ("8", "applying", 0, "B", None, None, "timeout"),
+        (None, "remembering", 0, "C", "", "N", None),
+    )
+    monkeypatch.setattr(fixtures, "reviews", lambda *_: rows)
+    monkeypatch.setattr(scans, "shared_dir", lambda _, label: str(tmp_path / label))
+    key = lambda row: tuple(str(v) for v in row)
+    assert sorted(scans.results_nest(spark, "").collect(), key=key) == sorted(rows.collect(), key=key)
+    names = [f.name for f in (tmp_path / "documents").glob("part-*")]
+    assert names and all(name.endswith(".json.gz") for name in names)
