@@ -9,7 +9,7 @@ from passagekit.operators.patents import stratified_cap
 from passagekit.plans import fixtures as fx
 from passagekit.plans.fixtures import table, with_sql
 from passagekit.plans.registry import query
-from passagekit.scale import shared_dir, shuffles_dropped
+from passagekit.scale import lists_by_one_sort, shared_dir, shuffles_dropped
 from passagekit.sources import readers, writers
 from passagekit.sources.results import (
     documents_from_maps, flatten_results, merge_shards, nest_results, read_results, read_shards,
@@ -114,7 +114,7 @@ def results_nest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     path = shared_dir(spark, "documents")
     documents = nest_results(fx.reviews(spark, sf_dir), questions_per_document=2)
-    with shuffles_dropped(spark):
+    with lists_by_one_sort(spark), shuffles_dropped(spark):
         writers.write_results(documents, path, compression="gzip")
     return flatten_results(read_results(spark, path))
 

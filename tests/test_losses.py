@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from passagekit.functions import filters
 from passagekit.operators import lexical, links, metadata, metrics, ranking, verdicts
 from passagekit.plans import fixtures, reports, scans
-from passagekit.scale import ALL_KEYS, CLEANUP, hash_sample, one_per_id, shuffles_dropped, stage
+from passagekit.scale import ALL_KEYS, CLEANUP, hash_sample, lists_by_one_sort, one_per_id, shuffles_dropped, stage
 from passagekit.sources.readers import read_tolerant, read_tsv_years
 from passagekit.sources.results import flatten_results, nest_results
 from passagekit.streaming.incremental import read_target, run_incremental
@@ -256,3 +256,10 @@ def test_nested_results_are_stored_compressed(spark, monkeypatch, tmp_path):
     assert sorted(scans.results_nest(spark, "").collect(), key=key) == sorted(rows.collect(), key=key)
     names = [f.name for f in (tmp_path / "documents").glob("part-*")]
     assert names and all(name.endswith(".json.gz") for name in names)
+
+
+def test_nesting_sorts_rows_once(spark):
+    rows = flat(spark, *[("7", "remembering", q, "A", "text", "Y", None) for q in range(5)])
+    with lists_by_one_sort(spark):
+        plan = nest_results(rows, questions_per_document=2)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bSort \[", plan)) == 1 and "ObjectHashAggregate" not in plan
